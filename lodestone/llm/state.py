@@ -1,0 +1,41 @@
+"""Places that every executor can read, and checks of size before a broadcast."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bytes of a side that may be broadcast; beyond them a join shuffles.
+BROADCAST_BYTES = 64 << 20
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Only where it is unset, as in tests on one machine, is one made."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="checkpoint-"))
+    return _own[0]
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df written once as a table in the shared folder and read again: no lineage, known size, safe from lost executors.
+
+    The table goes when the session's JVM ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its counted rows take at most so many bytes, as it is otherwise."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
