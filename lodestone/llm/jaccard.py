@@ -260,6 +260,10 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all their columns, without those of a group whose doc_id isn't its least."""
+    """The rows of docs, all their columns, without those of a group whose doc_id isn't its least.
+
+    Rows in no pair stay, such as those of null ids or texts; so do repeated rows of a doc_id that stays.
+    """
     gone = checkpoint(groups(docs).where("doc_id <> group_id").select(F.col("doc_id").alias("gone_id")))
-    return docs.join(small(gone, 16), docs["doc_id"] == F.col("gone_id"), "left_anti")
+    gone = small(gone, 16)
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")

@@ -9,11 +9,11 @@ An alignment uses each word once, so the words that text and template have in co
 coverage. The bound is taken for whole texts by array passes, then along each remaining text by a moving count, and windows that
 can't reach the threshold aren't aligned. No case is lost by it. Texts are never shuffled.
 
-Of windows that overlap, whatever their licenses, the one of greatest coverage stays, then of the longest template, then the
-first: so a notice isn't also reported as its near relatives.
+A find reaches from the first to the last matched word. Of finds that overlap, whatever their licenses, the one of greatest
+coverage stays, then of the longest template, then the first: so a notice isn't also reported as its near relatives.
 
 Defined results: null or empty texts, and texts without a license, have no row. A license has one row for each text, with
-the remaining window of greatest coverage, the first of equal ones. Several licenses in one text have a row each. Repeated rows are scanned
+the remaining find of greatest coverage, the first of equal ones. Several licenses in one text have a row each. Repeated rows are scanned
 one by one; a null doc_id is kept. Further columns are ignored.
 """
 
@@ -76,15 +76,17 @@ def increasing(values: Sequence[int]) -> list[int]:
     return out[::-1]
 
 
-def matched(a: Sequence[int], b: Sequence[int]) -> int:
-    """How many words of a the patience alignment of a and b matches."""
-    total, todo = 0, [(0, len(a), 0, len(b))]
+def matched(a: Sequence[int], b: Sequence[int]) -> tuple[int, int, int]:
+    """How many words of a the patience alignment of a and b matches, and from where to where they are in b."""
+    total, todo, low, high = 0, [(0, len(a), 0, len(b))], len(b), 0
     while todo:
         a0, a1, b0, b1 = todo.pop()
         while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            low, high = min(low, b0), max(high, b0 + 1)
             a0, b0, total = a0 + 1, b0 + 1, total + 1
         while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
             a1, b1, total = a1 - 1, b1 - 1, total + 1
+            low, high = min(low, b1), max(high, b1 + 1)
         if a0 == a1 or b0 == b1:
             continue
         in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
@@ -93,8 +95,9 @@ def matched(a: Sequence[int], b: Sequence[int]) -> int:
         kept = [anchors[k] for k in increasing([p for _, p in anchors])]
         total += len(kept)
         if kept:
+            low, high = min(low, kept[0][1]), max(high, kept[-1][1] + 1)
             todo += [(x + 1, y, u + 1, v) for (x, u), (y, v) in zip([(a0 - 1, b0 - 1), *kept], [*kept, (a1, b1)]) if y > x + 1 and v > u + 1]
-    return total
+    return total, min(low, high), high
 
 
 def window(n: int) -> int:
@@ -118,7 +121,7 @@ class Scanner:
         self.seen[(self.vocab >> X.U(44)).astype(np.int64)] = True
 
     def scan(self, words: np.ndarray, of: np.ndarray) -> Iterator[tuple[int, str, float, int, int]]:
-        """(text, license, coverage, first word, words of the window)."""
+        """(text, license, coverage, first word, words from there to the last)."""
         at = np.flatnonzero(self.seen[(words >> X.U(44)).astype(np.int64)])
         word = np.minimum(np.searchsorted(self.vocab, words[at]), len(self.vocab) - 1)
         same = self.vocab[word] == words[at]
@@ -148,7 +151,7 @@ class Scanner:
                 yield d, name, *hit
 
     def windows(self, places: np.ndarray, found: np.ndarray, k: int, n_words: int) -> Iterator[tuple[float, int, int, int]]:
-        """(coverage, first word, words, template) of windows at or above the threshold; places: of the known words of a text."""
+        """(coverage, first word, words, template) of finds at or above the threshold; places: of the known words of a text."""
         mine = self.words[k]
         want, width = Counter(mine), window(len(mine))
         need = self.threshold * len(mine) - 1e-9
@@ -166,16 +169,16 @@ class Scanner:
                 row = [-1 - x for x in range(min(width, n_words - p))]  # other words differ from each other and match none
                 for x in range(start, end):
                     row[places[x] - p] = found[x]
-                got = matched(mine, row)
+                got, low, high = matched(mine, row)
                 if got >= need:
-                    yield round(got / len(mine), 6), p, len(row), k
+                    yield round(got / len(mine), 6), p + low, high - low, k
             w = found[start]
             have[w] -= 1
             both -= have[w] < want[w]
 
 
 def apart(found: list[tuple[float, int, int, int]], size: Sequence[int]) -> list[tuple[float, int, int, int]]:
-    """Of windows (coverage, first word, words, template) that overlap, the best."""
+    """Of finds (coverage, first word, words, template) that overlap, the best."""
     starts: list[int] = []
     ends: list[int] = []
     out = []
