@@ -4,6 +4,8 @@ In every labelled text that mentions an identity group, the mention is swapped f
 squared change of the score is added to the loss. A term that labels merely happen to follow then carries no weight,
 so that neutral mentions of groups aren't rejected.
 
+Near copies in the sample count as one text (the first): otherwise any word of a toxic text with many copies would seem toxic.
+
 The fit uses a bounded sample of the labelled rows (``most_clean`` and ``most_toxic``, those of the least hash of
 doc_id, so the same rows at every run); scoring covers the whole text of every row.
 
@@ -23,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import text as X
+from lodestone.llm.jaccard import signatures
 
 BITS = 22
 HEADS = (4, 5, 6)
+COPY_ORDERS = 8
 MOST_TOXIC, MOST_CLEAN, MOST_FEATURES = 3000, 5000, 20000
 #: A feature is used if its mean values in the classes differ by so many standard errors, and it is in so many texts.
 LEAST_Z, LEAST_TEXTS = 5.0, 5
-PENALTY = 4.0
+PENALTY, RIDGE = 4.0, 3e-3
 THRESHOLD = 0.5
 
 #: Sets of terms of which one can stand for another in a sentence without changing how toxic it is.
@@ -133,7 +137,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], pairs: list[tuple[np.nda
     for t in range(1, rounds + 1):
         z = np.bincount(of, value * w[f], minlength=len(y)) + b
         e = balance * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        g = np.bincount(f, value * e[of], minlength=len(w)) + 1e-4 * w
+        g = np.bincount(f, value * e[of], minlength=len(w)) + RIDGE * w
         if len(pairs):
             change = np.bincount(po, pv * w[pf], minlength=len(pairs))
             g += 2 * penalty / len(pairs) * np.bincount(pf, pv * change[po], minlength=len(w))
@@ -146,22 +150,47 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], pairs: list[tuple[np.nda
     return weights
 
 
+def paths(text: str) -> list[int]:
+    """What near copies of a text share at least one of: its subtrees in COPY_ORDERS orders of its n-grams."""
+    _, _, words, of = next(X.hashes([text]))
+    sets, bounds = X.sets(words, of, 3)
+    return signatures(sets, bounds, COPY_ORDERS)[2][0].view(np.int64).tolist() if len(sets) else []
+
+
+def unlike(rows: list[list[int]]) -> list[int]:
+    """The first of each group of rows that share a path, directly or through others."""
+    root = list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    seen: dict[int, int] = {}
+    for i, row in enumerate(rows):
+        for p in row:
+            a, b = sorted((find(i), find(seen.setdefault(p, i))))
+            root[b] = a
+    return [i for i in range(len(rows)) if find(i) == i]
+
+
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             i, v = vector(text or "")
-            rows.append((y, i, v, False))
+            rows.append((y, i, v, False, paths(text or "")))
             for s in swaps(text or ""):
                 j, u = vector(s)
                 every = np.union1d(i, j)
                 change = np.zeros(len(every))
                 change[np.searchsorted(every, i)] += v
                 change[np.searchsorted(every, j)] -= u
-                rows.append((y, every[change != 0], change[change != 0], True))
+                rows.append((y, every[change != 0], change[change != 0], True, []))
         if rows:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[2].astype(np.float32) for r in rows], pa.list_(pa.float32())), pa.array([r[3] for r in rows])], names=["y", "i", "v", "swap"]
+                [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[2].astype(np.float32) for r in rows], pa.list_(pa.float32())), pa.array([r[3] for r in rows]), pa.array([r[4] for r in rows], pa.list_(pa.int64()))], names=["y", "i", "v", "swap", "p"]
             )
 
 
@@ -176,15 +205,15 @@ def sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, mos
 
 def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN, penalty: float = PENALTY) -> np.ndarray:
     """Weights fitted to the sample. Only sparse vectors of the sample reach the driver."""
-    got = sample(docs, labels, most_toxic, most_clean).mapInArrow(_vectors, "y int, i array<int>, v array<float>, swap boolean").toArrow()
+    got = sample(docs, labels, most_toxic, most_clean).mapInArrow(_vectors, "y int, i array<int>, v array<float>, swap boolean, p array<long>").toArrow()
     rows, pairs = [], []
     for chunk in got.to_batches():
         i, v = chunk.column("i"), chunk.column("v")
-        for k, (y, swap) in enumerate(zip(chunk.column("y").to_pylist(), chunk.column("swap").to_pylist())):
+        for k, (y, swap, p) in enumerate(zip(*(chunk.column(c).to_pylist() for c in ("y", "swap", "p")))):
             a, b = i[k].values.to_numpy(), v[k].values.to_numpy().astype(float)
-            pairs.append((a, b)) if swap else rows.append((y, a, b))
-    order = sorted(range(len(rows)), key=lambda k: (rows[k][0], len(rows[k][1]), rows[k][1].tolist()[:8]))
-    return fit([rows[k] for k in order], pairs, penalty=penalty)
+            pairs.append((a, b)) if swap else rows.append((y, a, b, p))
+    rows.sort(key=lambda r: (-r[0], len(r[1]), r[1].tolist()))
+    return fit([rows[k][:3] for k in unlike([r[3] for r in rows])], pairs, penalty=penalty)
 
 
 def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
