@@ -21,3 +21,8 @@ def query(name: str, sql: str | None = None) -> Callable:
         return f
 
     return add
+
+
+def register() -> None:
+    """Imports the modules of queries."""
+    from lodestone.plans import lookups, risks, structures  # noqa: F401
