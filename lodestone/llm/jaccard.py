@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import text as X
 from lodestone.llm.components import components
-from lodestone.llm.state import checkpoint, small
+from lodestone.state import checkpoint, small
 
 N, THRESHOLD, ORDERS = 3, 0.5, 16
 #: Sets of at least so many n-grams are compared by sketch, of which so many of 128 bits may differ.

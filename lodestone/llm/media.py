@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.state import checkpoint, small
+from lodestone.state import checkpoint, small
 
 LEAST, MASK_BITS, MOST = 256, 10, 8192
 _GEAR = np.random.default_rng(6).integers(0, 1 << 32, 256, dtype=np.int64).astype(np.uint32)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.state import checkpoint, small
+from lodestone.state import checkpoint, small
 
 LEVELS, LEAST_CHILDREN, MOST_REPEATS = 12, 10, 3.0
 SIMILAR_Z, PRIOR, LEAST_PURITY = 1.96, 10.0, 0.6
