@@ -17,6 +17,7 @@ and kept by ``keep_clean``. If the labels lack one of the classes (or are empty,
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,24 +107,29 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], pairs: list[tuple[np.nda
     if not 0 < y.sum() < len(y):
         weights[-1] = -np.inf
         return weights
-    feature = np.concatenate([r[1] for r in rows])
-    of = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    value = np.concatenate([r[2] for r in rows])
     size, n1, n0 = 1 << BITS, y.sum(), len(y) - y.sum()
-    seen = np.bincount(feature, minlength=size)
-    one, all_, squares = (np.bincount(feature, x, minlength=size) for x in (value * y[of], value, value**2))
-    mean = all_ / len(y)
-    error = np.sqrt(np.maximum(squares / len(y) - mean**2, 1e-12) * (1 / n1 + 1 / n0))
-    z = np.where(seen >= LEAST_TEXTS, np.abs(one / n1 - (all_ - one) / n0) / error, 0)
-    chosen = np.sort(np.argsort(-z, kind="stable")[:most])
-    chosen = chosen[z[chosen] >= LEAST_Z]
+    seen, one, all_, squares = np.zeros(size, np.int32), *(np.zeros(size, np.float32) for _ in range(3))
+    for label, feature, value in rows:  # features of a row are distinct; row by row, as all rows at once take much of the driver's memory
+        seen[feature] += 1
+        all_[feature] += value
+        squares[feature] += value**2
+        if label:
+            one[feature] += value
+    often = np.flatnonzero(seen >= LEAST_TEXTS)
+    one, all_, squares = (x[often].astype(float) for x in (one, all_, squares))
+    error = np.sqrt(np.maximum(squares / len(y) - (all_ / len(y)) ** 2, 1e-12) * (1 / n1 + 1 / n0))
+    z = np.abs(one / n1 - (all_ - one) / n0) / error
+    best = np.argsort(-z, kind="stable")[:most]
+    chosen = np.sort(often[best[z[best] >= LEAST_Z]])
     if not len(chosen):
         weights[-1] = -np.inf
         return weights
-    place = np.full(1 << BITS, -1)
+    place = np.full(size, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    use = place[feature] >= 0
-    f, of, value = place[feature[use]], of[use], value[use]
+    kept = [place[r[1]] >= 0 for r in rows]
+    f = np.concatenate([place[r[1][k]] for r, k in zip(rows, kept)])
+    value = np.concatenate([r[2][k] for r, k in zip(rows, kept)]).astype(float)
+    of = np.repeat(np.arange(len(rows)), [int(k.sum()) for k in kept])
     scale = np.sqrt(np.bincount(f, value**2, minlength=len(chosen)) / len(y) + 1e-4)
     value = value / scale[f]
     pf = np.concatenate([place[i] for i, _ in pairs]) if pairs else np.zeros(0, int)
@@ -210,9 +216,9 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     for chunk in got.to_batches():
         i, v = chunk.column("i"), chunk.column("v")
         for k, (y, swap, p) in enumerate(zip(*(chunk.column(c).to_pylist() for c in ("y", "swap", "p")))):
-            a, b = i[k].values.to_numpy(), v[k].values.to_numpy().astype(float)
+            a, b = i[k].values.to_numpy(), v[k].values.to_numpy()
             pairs.append((a, b)) if swap else rows.append((y, a, b, p))
-    rows.sort(key=lambda r: (-r[0], len(r[1]), r[1].tolist()))
+    rows.sort(key=lambda r: (-r[0], len(r[1]), hashlib.blake2b(r[1].tobytes()).digest()))  # the same order at every run
     return fit([rows[k][:3] for k in unlike([r[3] for r in rows])], pairs, penalty=penalty)
 
 
