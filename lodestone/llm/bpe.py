@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from lodestone.llm import text as X
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-KEPT, BATCH_CHARS = 400_000, 1 << 21
+KEPT, BATCH_CHARS = 400_000, 1 << 20
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 
 
