@@ -81,7 +81,7 @@ def predict(h: DataFrame, pairs: DataFrame) -> DataFrame:
         F.least(F.lit(1.0), 0.5 * F.col("recent") / F.col("n") + 0.5 * F.least(F.lit(1.0), F.col("recent") / 5)).alias("velocity"),
         F.least(F.lit(1.0), 0.4 * F.col("bugfixes") / F.col("n") + 0.6 * F.when(F.col("recent") > 0, F.col("recent_bugfixes") / F.when(F.col("recent") > 0, F.col("recent"))).otherwise(0.0)).alias("bugfix_trend"),
         (net / (net + 100)).alias("growth"),
-        F.coalesce(F.least(F.lit(1.0), 0.6 * F.col("s") + 0.4 * F.least(F.lit(1.0), F.sqrt("k") / 3)), F.lit(0.0)).alias("coupling"),
+        F.when(F.col("k").isNull(), 0.0).otherwise(F.least(F.lit(1.0), 0.6 * F.col("s") + 0.4 * F.least(F.lit(1.0), F.sqrt("k") / 3))).alias("coupling"),
     )
     v, b, g, c = (F.col(x) for x in ("velocity", "bugfix_trend", "growth", "coupling"))
     kind = case([((b >= v) & (b >= g) & (b >= c), "bug_risk"), ((c >= v) & (c >= g), "coupling_risk"), (g >= v, "complexity_growth")], "change_velocity")

@@ -38,7 +38,7 @@ _paths = lambda g: g.edges.where("edge_type in ('calls', 'couples_with')").selec
 _q("h5_cochange", _P, "select cc.*, case when exists (select 1 from edges where edge_type in ('calls', 'couples_with') and 'p' || source_id = path_a and 'p' || target_id = path_b) then 'explicit_edge' else 'co_change' end as kind from cc where strength >= 5e-2")(
     lambda s, d: T.cochange(load(s, d).changes, 2, 0.05, _paths(load(s, d)))
 )
-_R = _P + ", nr as (select path, avg(strength) as s, count(*) as k from (select path_a as path, strength from cc where strength >= 5e-2 union all select path_b, strength from cc where strength >= 5e-2) x group by path), pf as (select h.path, least(1e0, 5e-1 * recent / n + 5e-1 * least(1e0, recent / 5e0)) as v, least(1e0, 4e-1 * bugfixes / n + 6e-1 * case when recent > 0 then recent_bugfixes * 1e0 / recent else 0e0 end) as b, greatest(0, added - deleted) * 1e0 / (greatest(0, added - deleted) + 100) as g, coalesce(least(1e0, 6e-1 * s + 4e-1 * least(1e0, sqrt(k) / 3)), 0e0) as c from h left join nr on nr.path = h.path), pred as (select path, round(v, 6) as velocity, round(b, 6) as bugfix_trend, round(g, 6) as growth, round(c, 6) as coupling, round(3e-1 * v + 3e-1 * b + 15e-2 * g + 25e-2 * c, 6) as risk, case when b >= v and b >= g and b >= c then 'bug_risk' when c >= v and c >= g then 'coupling_risk' when g >= v then 'complexity_growth' else 'change_velocity' end as kind from pf)"
+_R = _P + ", nr as (select path, avg(strength) as s, count(*) as k from (select path_a as path, strength from cc where strength >= 5e-2 union all select path_b, strength from cc where strength >= 5e-2) x group by path), pf as (select h.path, least(1e0, 5e-1 * recent / n + 5e-1 * least(1e0, recent / 5e0)) as v, least(1e0, 4e-1 * bugfixes / n + 6e-1 * case when recent > 0 then recent_bugfixes * 1e0 / recent else 0e0 end) as b, greatest(0, added - deleted) * 1e0 / (greatest(0, added - deleted) + 100) as g, case when k is null then 0e0 else least(1e0, 6e-1 * s + 4e-1 * least(1e0, sqrt(k) / 3)) end as c from h left join nr on nr.path = h.path), pred as (select path, round(v, 6) as velocity, round(b, 6) as bugfix_trend, round(g, 6) as growth, round(c, 6) as coupling, round(3e-1 * v + 3e-1 * b + 15e-2 * g + 25e-2 * c, 6) as risk, case when b >= v and b >= g and b >= c then 'bug_risk' when c >= v and c >= g then 'coupling_risk' when g >= v then 'complexity_growth' else 'change_velocity' end as kind from pf)"
 _pred = lambda s, d: T.predict(_h(s, d), T.cochange(load(s, d).changes, 2, 0.05))
 _q("h6_predictions", _H1 + _R, "select * from pred")(_pred)
 _q("h6_top_predictions", _H1 + _R, "select * from pred where risk >= 2e-1 order by risk desc, path limit 20")(lambda s, d: T.top_predictions(_pred(s, d), 20, 0.2))

@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 def register() -> None:
     """Imports the modules of queries."""
-    from lodestone.plans import histories, lookups, reports, risks, structures, texts  # noqa: F401
+    from lodestone.plans import histories, ingests, lookups, reports, risks, structures, texts  # noqa: F401
