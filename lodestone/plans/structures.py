@@ -11,7 +11,7 @@ from lodestone.operators import traverse as T
 from lodestone.registry import query
 
 UNIT, TARGET, TYPE, MODULE, DEST = 138, 169, 30000001, 10000001, 178
-_TEXT = F.array_join("path", ",").alias("path")
+_TEXT = lambda: F.array_join("path", ",").alias("path")
 _PATH = "array_to_string(path, ',') as path"
 _deps = ", ".join(f"'{d}'" for d in DEPS)
 
@@ -49,11 +49,11 @@ _q("t1_bfs", reach(_at(UNIT), 3), "select id, depth from r")(lambda s, d: T.bfs(
 _q("t1_bfs_both_ways", reach(_at(UNIT), 3, "'calls'", "both"), "select id, depth from r")(lambda s, d: T.bfs(load(s, d).edges, _start(s, UNIT), 3, ["calls"], "both").select("id", "depth"))
 query("t2_dfs")(lambda s, d: T.dfs(load(s, d).edges, UNIT, 3, ["calls"]))
 _q("t3_simple_paths", f", pe as materialized (select distinct source_id as s, target_id as t from edges where edge_type in ('calls', 'uses_type')), pw as (select cast({UNIT} as bigint) as id, [cast({UNIT} as bigint)] as path union all select t, list_append(path, t) from pw join pe on s = id where len(path) <= 4 and id <> {DEST} and not list_contains(path, t))", f"select {_PATH}, cast(len(path) - 1 as integer) as length from pw where id = {DEST}")(
-    lambda s, d: T.simple_paths(load(s, d).edges, UNIT, DEST, 4, ["calls", "uses_type"]).select(_TEXT, "length")
+    lambda s, d: T.simple_paths(load(s, d).edges, UNIT, DEST, 4, ["calls", "uses_type"]).select(_TEXT(), "length")
 )
-_q("q2_dependency_graph", paths(UNIT, 3, _deps), f"select id, depth, {_PATH} from p where depth > 0")(lambda s, d: S.dependencies(load(s, d), UNIT, 3).select("id", "depth", _TEXT))
-_q("q2_dependency_direct", paths(UNIT, 1, _deps), f"select id, depth, {_PATH} from p where depth > 0")(lambda s, d: S.dependencies(load(s, d), UNIT, 3, transitive=False).select("id", "depth", _TEXT))
-_q("q3_reverse_dependency", paths(TARGET, 3, _deps, "backward"), f"select id, depth, {_PATH} from p where depth > 0")(lambda s, d: S.dependencies(load(s, d), TARGET, 3, direction="backward").select("id", "depth", _TEXT))
+_q("q2_dependency_graph", paths(UNIT, 3, _deps), f"select id, depth, {_PATH} from p where depth > 0")(lambda s, d: S.dependencies(load(s, d), UNIT, 3).select("id", "depth", _TEXT()))
+_q("q2_dependency_direct", paths(UNIT, 1, _deps), f"select id, depth, {_PATH} from p where depth > 0")(lambda s, d: S.dependencies(load(s, d), UNIT, 3, transitive=False).select("id", "depth", _TEXT()))
+_q("q3_reverse_dependency", paths(TARGET, 3, _deps, "backward"), f"select id, depth, {_PATH} from p where depth > 0")(lambda s, d: S.dependencies(load(s, d), TARGET, 3, direction="backward").select("id", "depth", _TEXT()))
 _both = reach(_at(UNIT), 2, "'calls'", "forward", "f") + reach(_at(UNIT), 2, "'calls'", "backward", "b")
 _q("q4_call_graph", _both, "select id, depth from f union all select id, depth from b where id not in (select id from f)")(lambda s, d: S.call_graph(load(s, d), UNIT, "both", 2)[0])
 _q("q4_call_sites", _both, "select source_id as caller, target_id as callee, context as line from edges where edge_type = 'calls' and source_id in (select id from f where depth < 2) union all select source_id, target_id, context from edges where edge_type = 'calls' and target_id in (select id from b where depth < 2)")(
