@@ -38,6 +38,8 @@ from lodestone.state import checkpoint, small
 N, THRESHOLD, ORDERS = 3, 0.5, 16
 #: Sets of at least so many n-grams are compared by sketch, of which so many of 128 bits may differ.
 SKETCHED, DIFFERENT = 128, 50
+#: Rows of subtrees that a task holds before it links those that are complete.
+HELD = 200_000
 _KEYS = np.random.default_rng(10).integers(1, 1 << 62, (64, 2), dtype=np.int64).astype(X.U) * X.U(2) + X.U(1)
 _TOP = X.U(0xFFFFFFFFFFFFFFFF)
 
@@ -126,25 +128,34 @@ def _links(path: np.ndarray, whole: np.ndarray, ids: np.ndarray, n: np.ndarray,
 
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept = None
+    kept, most = None, HELD
 
-    def edges(t: pa.Table) -> pa.RecordBatch:
-        c = [t.column(k).to_numpy() for k in ("path", "whole", "id", "n", "s1", "s2")]
-        a, b = _links(c[0], c[1], c[2], c[3], np.stack(c[4:], axis=1))
+    def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+    def linked(t: pa.Table) -> pa.RecordBatch:
+        c = [t.column(k).to_numpy() for k in ("path", "whole", "id", "n", "s1", "s2")]
+        return edges(*_links(c[0], c[1], c[2], c[3], np.stack(c[4:], axis=1)))
+
     for batch in batches:
         t = pa.Table.from_batches([batch])
         kept = pa.concat_tables([kept, t]) if kept is not None else t
-        if kept.num_rows < 200_000:
+        if kept.num_rows < most:
             continue
         path = kept.column("path").to_numpy()
         cut = int(np.searchsorted(path, path[-1]))  # the last subtree may go on in the next batch
         if cut:
-            yield edges(kept.slice(0, cut))
+            yield linked(kept.slice(0, cut))
             kept = kept.slice(cut).combine_chunks()
+        # of a subtree as large as the buffer, only distinct sets stay; their copies are linked at once
+        whole, n, ids = (kept.column(k).to_numpy() for k in ("whole", "n", "id"))
+        new = np.concatenate(([True], (whole[1:] != whole[:-1]) | (n[1:] != n[:-1])))
+        if int(path[-1]) & 255 == 0:
+            yield edges(ids[np.flatnonzero(new)][np.cumsum(new) - 1][~new], ids[~new])
+        kept = kept.filter(pa.array(new)).combine_chunks()
+        most = max(HELD, 2 * kept.num_rows)
     if kept is not None and kept.num_rows:
-        yield edges(kept)
+        yield linked(kept)
 
 
 def trie_join(sets: list[np.ndarray], threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:

@@ -78,3 +78,32 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 102), (102, 101), (101, 100), (5, 5), (100, 102)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_subtrees_larger_than_the_buffer(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    whole = np.sort(rng.integers(0, 40, 600))
+    path = np.repeat([256, 512], 300)  # of order 0: copies are linked there
+    rows = sorted(zip(path.tolist(), whole.tolist(), [200 + int(w) % 3 for w in whole], range(600)))
+    p, w, n, i = (np.array(c, np.int64) for c in zip(*rows))
+    sketch = np.array([hash((int(x), 1)) for x in w], np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(p), pa.array(w), pa.array(i), pa.array(n.astype(np.int32)), pa.array(sketch), pa.array(sketch)], names=["path", "whole", "id", "n", "s1", "s2"])
+
+    def linked(size):
+        monkeypatch.setattr(J, "HELD", size)
+        group = {}
+
+        def root(x):
+            while group.setdefault(x, x) != x:
+                x = group[x]
+            return x
+
+        for out in J._link(batch.slice(k, 7) for k in range(0, 600, 7)):
+            for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+                x, y = sorted((root(a), root(b)))
+                group[y] = x
+        return {x: root(x) for x in range(600)}
+
+    assert linked(20) == linked(10**6)
