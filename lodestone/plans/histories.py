@@ -9,7 +9,6 @@ from lodestone.graph import WITH, load
 from lodestone.operators import temporal as T
 from lodestone.operators import vectors as V
 from lodestone.operators.risk import with_degrees
-from lodestone.plans.risks import DEG
 from lodestone.registry import query
 
 NOW = 996624000

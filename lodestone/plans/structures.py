@@ -67,7 +67,7 @@ _q("q11_language_trace", reach(_at(13), 4, "'ffi_binds'", "both") + ", l as (sel
 )
 _roots = "select id from units where case when unit_type = 'function' then name = 'main' or name like 'test\\_%' escape '\\' or visibility = 'public' when unit_type = 'test' then true else visibility = 'public' end"
 _q("q16_dead_code", reach(_roots, None, "", "forward", "f") + reach(_roots, None, "", "backward", "b"), "select id, name from units where id not in (select id from f) and id not in (select id from b)")(lambda s, d: S.dead_code(load(s, d)))
-_q("q23_shortest_path", paths(UNIT, 4, "'calls', 'uses_type'"), f"select p.id is not null as found, coalesce(array_to_string(path, ','), '') as path, cast(coalesce(len(path) - 1, 0) as integer) as length from (select 1) o left join p on p.id = {DEST}")(lambda s, d: S.path_between(load(s, d), UNIT, DEST, ["calls", "uses_type"]).select("found", _TEXT, "length"))
+_q("q23_shortest_path", paths(UNIT, 4, "'calls', 'uses_type'"), f"select p.id is not null as found, coalesce(array_to_string(path, ','), '') as path, cast(coalesce(len(path) - 1, 0) as integer) as length from (select 1) o left join p on p.id = {DEST}")(lambda s, d: S.path_between(load(s, d), UNIT, DEST, ["calls", "uses_type"]).select("found", _TEXT(), "length"))
 _roots_c = reach(_roots, None, "'calls', 'tests'", "forward", "f") + reach(_roots, None, "'calls', 'tests'", "backward", "b")
 _q("q16_dead_code_calls", _roots_c, "select id, name from units where unit_type = 'function' and id not in (select id from f) and id not in (select id from b)")(lambda s, d: S.dead_code(Graph(load(s, d).units, load(s, d).edges.where("edge_type in ('calls', 'tests')"), load(s, d).changes), ["function"]))
 _q("q21_cycle_nodes", ", ce as materialized (select distinct source_id as s, target_id as t from edges where edge_type = 'calls' and source_id <> target_id), cw as materialized (select s, t from ce union select cw.s, ce.t from cw join ce on cw.t = ce.s), cyc as (select distinct s from cw where s = t)", "select a.t as id from (select s, t from cw union select s, s from cyc) a join cyc x on a.s = x.s intersect select b.s from (select s, t from cw union select s, s from cyc) b join cyc y on b.t = y.s")(
