@@ -206,3 +206,16 @@ def design_patterns(g: Graph) -> DataFrame:
     holders = functions.where(n.isin("instance", "get_instance", "shared", "default")).select(parent.alias("owner"), F.lit(1).alias("i")).distinct()
     single = types.select("id", F.lower("qualified_name").alias("owner"), "visibility").join(holders, "owner").select(F.lit("singleton"), "id", (0.5 * (F.col("i") + (F.col("visibility") == "private").cast("int"))).alias("score"))
     return factory.unionAll(repository).unionAll(decorator).unionAll(single)
+
+
+def extract_concepts(units: DataFrame) -> DataFrame:
+    """(concept, id, score) as a compiler scores them: for each keyword the name, else the qualified name; a document line once; typical unit types; above 0.3."""
+    n, q, d = F.lower("name"), F.lower("qualified_name"), F.lower(F.coalesce("doc_summary", F.lit("")))
+    parts = []
+    for c, ks in list(CONCEPTS.items())[:10]:
+        per = total([case([(n.contains(k), 0.4), (q.contains(k), 0.2)], 0.0) for k in ks])
+        doc = F.when(d.rlike("|".join(ks)), 0.15).otherwise(0.0)
+        typical = F.when(F.col("unit_type").isin(*(("test",) if c == "testing" else ("function", "type"))), 0.1).otherwise(0.0)
+        parts.append(F.struct(F.lit(c).alias("concept"), (per + doc + typical).alias("score")))
+    x = units.select("id", F.explode(F.array(*parts)).alias("x")).where(F.col("x.score") > 0.3 + 1e-9)
+    return x.select("x.concept", "id", r6(F.least(F.lit(1.0), F.col("x.score"))).alias("score"))

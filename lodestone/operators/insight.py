@@ -149,3 +149,27 @@ def projection(sizes: DataFrame, days: int, budget: int) -> DataFrame:
 def log_operation(log: DataFrame, session: str, operation: str, at: int) -> DataFrame:
     """An operation log with one more row."""
     return log.unionByName(log.sparkSession.createDataFrame([(session, operation, at)], "session string, operation string, at long"))
+
+
+def api_usage(g: Graph, text: str) -> DataFrame:
+    """(id, callers, files): how widely units of a name are called."""
+    hit = g.units.where(F.lower("name").contains(text.lower())).select("id")
+    calls = g.edges.where("edge_type = 'calls'").select(F.col("target_id").alias("id"), "source_id").join(g.units.select(F.col("id").alias("source_id"), "file_path"), "source_id")
+    by = calls.groupBy("id").agg(F.countDistinct("source_id").alias("callers"), F.countDistinct("file_path").alias("files"))
+    return hit.join(by, "id", "left").na.fill(0)
+
+
+def solve(units: DataFrame, problem: str) -> DataFrame:
+    """(id, relevance): the share of a problem's words that a unit's name or document line holds."""
+    words = sorted({w for w in problem.lower().split() if len(w) > 2})
+    t = F.lower(F.concat_ws(" ", "name", "doc_summary"))
+    hits = F.lit(0)
+    for w in words:
+        hits = hits + t.contains(w).cast("int")
+    return units.select("id", r6(hits / F.lit(float(max(1, len(words))))).alias("relevance")).where("relevance > 0")
+
+
+def soul(g: Graph) -> DataFrame:
+    """(id, traits) of units by thresholds."""
+    traits = F.concat_ws(",", F.when(F.col("tests_in") > 0, "tested"), F.when(F.col("doc_summary").isNotNull(), "documented"), F.when(F.col("stability_score") > 0.8, "stable"), F.when(F.col("complexity") < 10, "simple"), F.when(F.col("is_async"), "asynchronous"))
+    return with_degrees(g).select("id", traits.alias("traits"))

@@ -83,3 +83,17 @@ def changed_files(old: DataFrame, new: DataFrame) -> DataFrame:
     h = lambda f, c: f.select("path", F.sha2("content", 256).alias(c))
     j = h(old, "o").join(h(new, "n"), "path", "full_outer")
     return j.withColumn("change", F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(F.col("o") != F.col("n"), "modified")).where("change is not null").select("path", "change")
+
+
+def suffix_patterns(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(pattern, n_a, n_b): how often two graphs use six customary endings of names."""
+    ends = ("service", "controller", "repository", "handler", "factory", "test")
+    n = lambda u, c: u.select(F.explode(F.array(*(F.when(F.lower("name").endswith(e), F.lit(e)) for e in ends))).alias("pattern")).where("pattern is not null").groupBy("pattern").agg(F.count("*").alias(c))
+    every = a.sparkSession.createDataFrame([(e,) for e in ends], "pattern string")
+    return every.join(n(a, "n_a"), "pattern", "left").join(n(b, "n_b"), "pattern", "left").na.fill(0)
+
+
+def concept_differences(found_a: DataFrame, found_b: DataFrame) -> DataFrame:
+    """(concept, n_a, n_b) of concepts (concept, id) that two graphs hold differently often."""
+    n = lambda f, c: f.groupBy("concept").agg(F.count("*").alias(c))
+    return n(found_a, "n_a").join(n(found_b, "n_b"), "concept", "full_outer").na.fill(0).where("n_a <> n_b")

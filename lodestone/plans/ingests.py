@@ -63,3 +63,10 @@ def st_windowed_events(spark, sf_dir):
     out = counts.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/out"))
     out.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/out").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("s5_ffi", "select count(*) as n, 'http' as kind from part where p_partkey % 3 = 0 union all select count(*), 'ctypes' from part where p_partkey % 3 = 1")
+def s5_ffi(spark, sf_dir):
+    """References of a made file for each part: an HTTP call, a foreign library, or neither."""
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey as id", "case p_partkey % 3 when 0 then 'requests.get' when 1 then 'ctypes.CDLL' else 'helper' end as name")
+    return I.trace_ffi(rows, rows).groupBy("kind").agg(F.count("*").alias("n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.graph import WITH, load
+from lodestone.operators import concepts as C
 from lodestone.operators import insight as N
 from lodestone.operators import workspace as W
 from lodestone.plans.risks import DEG
@@ -69,3 +70,13 @@ _q("m_omniscience_trend", ", tr as (select language, round(avg(stability_score),
 _q("m_omniscience_scorecard", ", sc as (select round(1e2 * (3e-1 * count(case when t > 0 then 1 end) / count(*) + 2e-1 * count(doc_summary) / count(*) + 3e-1 * avg(stability_score) + 2e-1 * count(case when complexity < 15 then 1 end) / count(*)), 6) as score from full_u where unit_type = 'function')", "select score, case when score >= 80 then 'A' when score >= 60 then 'B' when score >= 40 then 'C' else 'D' end as grade from sc", True)(lambda s, d: N.scorecard(load(s, d)))
 _sizes = lambda s, d: load(s, d).changes.groupBy("ts").agg(F.sum("lines_added").alias("x")).selectExpr("ts", "(ts div 1000) + x as bytes")
 _q("x7_projection", ", sz as (select ts, ts // 1000 + sum(lines_added) as bytes from changes group by ts), e as (select cast(arg_min(bytes, ts) as double) as b0, cast(arg_max(bytes, ts) as double) as b1, min(ts) as t0, max(ts) as t1 from sz)", "select round((b1 - b0) * 86400e0 / (t1 - t0), 6) as growth_per_day, round(b1 + (b1 - b0) * 86400e0 / (t1 - t0) * 90, 6) as projected, b1 + (b1 - b0) * 86400e0 / (t1 - t0) * 90 > 1000000 as over from e where t1 > t0 and b1 > b0")(lambda s, d: N.projection(_sizes(s, d), 90, 1_000_000))
+_kw = lambda ks: " + ".join(f"case when contains(lower(name), '{k}') then 4e-1 when contains(lower(qualified_name), '{k}') then 2e-1 else 0e0 end" for k in ks)
+_ty = lambda c: "('test')" if c == "testing" else "('function', 'type')"
+_ex = ", xc as (" + " union all ".join(f"select '{c}' as concept, id, {_kw(ks)} + case when regexp_matches(lower(coalesce(doc_summary, '')), '{'|'.join(ks)}') then 15e-2 else 0e0 end + case when unit_type in {_ty(c)} then 1e-1 else 0e0 end as s from units" for c, ks in list(C.CONCEPTS.items())[:10]) + ")"
+_q("s7_extract_concepts", _ex, "select concept, id, round(least(1e0, s), 6) as score from xc where s > 3e-1 + 1e-9")(lambda s, d: C.extract_concepts(load(s, d).units))
+_suf = lambda t, e: f"(select count(*) from {t} x where lower(name) like '%{e}')"
+_q("w5_suffix_patterns", _WS, " union all ".join(f"select '{e}' as pattern, {_suf(_A, e)} as n_a, {_suf(_B, e)} as n_b" for e in ("service", "controller", "repository", "handler", "factory", "test")))(lambda s, d: W.suffix_patterns(*_ab(s, d)))
+_q("w5_concepts", _ex + ", fx as (select concept, id from xc where s > 3e-1 + 1e-9), cp as (select concept, count(case when u.language <> 'Rust' then 1 end) as n_a, count(case when u.language <> 'Python' and u.id % 4 <> 1 then 1 end) as n_b from fx join units u on u.id = fx.id group by concept)", "select * from cp where n_a <> n_b")(lambda s, d: W.concept_differences(*(C.extract_concepts(x) for x in _ab(s, d))))
+_q("m_omniscience_api_usage", "", "select u.id, count(distinct e.source_id) as callers, count(distinct v.file_path) as files from units u left join edges e on e.target_id = u.id and e.edge_type = 'calls' left join units v on v.id = e.source_id where contains(lower(u.name), 'red') group by u.id")(lambda s, d: N.api_usage(load(s, d), "red"))
+_q("m_omniscience_solve", ", sv as (select id, round((cast(contains(t, 'deprecated') as int) + cast(contains(t, 'cache') as int) + cast(contains(t, 'tin') as int)) / 3e0, 6) as relevance from (select id, lower(concat_ws(' ', name, doc_summary)) as t from units) x)", "select * from sv where relevance > 0")(lambda s, d: N.solve(load(s, d).units, "deprecated tin cache"))
+_q("m_soul_extract", "", "select id, concat_ws(',', case when t > 0 then 'tested' end, case when doc_summary is not null then 'documented' end, case when stability_score > 8e-1 then 'stable' end, case when complexity < 10 then 'simple' end, case when is_async then 'asynchronous' end) as traits from full_u", True)(lambda s, d: N.soul(load(s, d)))
