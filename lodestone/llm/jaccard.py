@@ -17,14 +17,17 @@ every pair of documents whose sets have a Jaccard similarity of at least ``thres
 Two sets of similarity s miss each other in step 1 with probability (1 - s²)^ORDERS: 1.0 % at 0.5, 0.02 % at 0.65.
 
 Defined results: documents with a null id, null or empty texts, and texts without words, are in no pair. Identical
-sets have similarity 1.0; of c of them the c - 1 pairs with the least doc_id are returned rather than all c(c - 1)/2,
-and that doc_id stands for all of them in pairs with other sets. Repeated rows of one doc_id are one document: no
-document is paired with itself. Further columns are ignored by ``pairs`` and kept by ``keep_one``.
+sets have similarity 1.0. ``all_pairs`` returns every pair: of c identical sets all c(c - 1)/2, and each of the c with each
+similar set. ``pairs``, from which groups are made, returns of c of them the c - 1 pairs with the least doc_id, and that
+doc_id stands for all of them in pairs with other sets; the groups are the same. Repeated rows of one doc_id are one
+document: no document is paired with itself, and of several texts of one doc_id the most similar counts in ``all_pairs``.
+Further columns are ignored by ``pairs`` and ``all_pairs`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, combinations_with_replacement, product
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,8 @@ N, THRESHOLD, ORDERS = 3, 0.5, 16
 SKETCHED, DIFFERENT = 128, 50
 #: Rows of subtrees that a task holds before it links those that are complete.
 HELD = 200_000
+#: Identical documents that are multiplied out at once.
+BLOCK = 256
 _KEYS = np.random.default_rng(10).integers(1, 1 << 62, (64, 2), dtype=np.int64).astype(X.U) * X.U(2) + X.U(1)
 _TOP = X.U(0xFFFFFFFFFFFFFFFF)
 
@@ -211,27 +216,23 @@ def trie_join(sets: list[np.ndarray], threshold: float = THRESHOLD) -> list[tupl
     return out
 
 
-def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each component; rows (component, id, text) come sorted by component and id."""
-
-    def solve(ids: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
-        lead: dict[bytes, int] = {}
-        rows, reps, sets = set(), [], []
-        for i, s in zip(ids, found):
-            key = s.tobytes()
-            if key in lead:
-                if lead[key] != i:
-                    rows.add((lead[key], i, 1.0, len(s)))
-            else:
-                lead[key] = i
-                reps.append(i)
-                sets.append(s)
-        for x, y, both in trie_join(sets) if len(sets) > 1 else []:
-            if reps[x] != reps[y]:
-                rows.add((min(reps[x], reps[y]), max(reps[x], reps[y]), round(both / (len(sets[x]) + len(sets[y]) - both), 6), both))
-        cols = list(zip(*sorted(rows))) or [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["doc_a", "doc_b", "jaccard", "shared"])
+def _solve(ids: list[int], found: list[np.ndarray]) -> tuple[list[list[int]], list[int], list[tuple[int, int, float, int]]]:
+    """Of one component: the ascending ids of each distinct set, the sets' sizes, and (x, y, jaccard, shared) of those that are similar."""
+    place: dict[bytes, int] = {}
+    members: list[set[int]] = []
+    sets = []
+    for i, s in zip(ids, found):
+        k = place.setdefault(s.tobytes(), len(sets))
+        if k == len(sets):
+            members.append(set())
+            sets.append(s)
+        members[k].add(i)
+    hits = trie_join(sets) if len(sets) > 1 else []
+    return [sorted(m) for m in members], [len(s) for s in sets], [(x, y, round(both / (len(sets[x]) + len(sets[y]) - both), 6), both) for x, y, both in hits]
 
+
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """_solve of each component; rows (component, id, text) come sorted by component and id."""
     now, ids, found = None, [], []
     for batch in batches:
         comp, own = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -240,14 +241,68 @@ def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(first, end):
                 if comp[k] != now:
                     if len(ids) > 1:
-                        yield solve(ids, found)
+                        yield _solve(ids, found)
                     now, ids, found = comp[k], [], []
                 s = sets[bounds[k - first] : bounds[k - first + 1]]
                 if len(s):
                     ids.append(own[k])
                     found.append(s.copy())
     if len(ids) > 1:
-        yield solve(ids, found)
+        yield _solve(ids, found)
+
+
+def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each component, of identical sets those with the least id."""
+    for members, sizes, hits in _solved(batches):
+        rows = {(m[0], i, 1.0, n) for m, n in zip(members, sizes) for i in m[1:]}
+        for x, y, share, both in hits:
+            a, b = members[x][0], members[y][0]
+            if a != b:
+                rows.add((min(a, b), max(a, b), share, both))
+        cols = list(zip(*sorted(rows))) or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["doc_a", "doc_b", "jaccard", "shared"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, same, jaccard, shared): each id of a is paired with each of b, or if they are the same list with the later ones."""
+    rows, size = [], 0
+    for members, sizes, hits in _solved(batches):
+        count: dict[int, int] = {}
+        for m in members:
+            for i in m:
+                count[i] = count.get(i, 0) + 1
+        several = {i for i, n in count.items() if n > 1}  # ids with other texts of their own: their pairs could come twice
+        plain = [[i for i in m if i not in several] for m in members] if several else members
+        parts = [[m[k : k + BLOCK] for k in range(0, len(m), BLOCK)] for m in plain]
+        single: dict[tuple[int, int], tuple[float, int]] = {}
+        for x, y, share, both in chain(((k, k, 1.0, n) for k, n in enumerate(sizes)), hits):
+            units = combinations_with_replacement(parts[x], 2) if x == y else product(parts[x], parts[y])
+            for a, b in units:
+                if a is not b or len(a) > 1:
+                    rows.append((a, b, a is b, share, both))
+                    size += len(a) + len(b)
+                    if size > 200_000:
+                        yield _block_batch(rows)
+                        rows, size = [], 0
+            for m, other in ((members[x], members[y]), (members[y], members[x])) if several else ():
+                for i in several.intersection(m):
+                    for j in other:
+                        if i != j:
+                            key = min(i, j), max(i, j)
+                            single[key] = max(single.get(key, (0.0, 0)), (share, both))
+        for (i, j), (share, both) in single.items():
+            rows.append(([i], [j], False, share, both))
+            size += 2
+            if size > 200_000:
+                yield _block_batch(rows)
+                rows, size = [], 0
+    if rows:
+        yield _block_batch(rows)
+
+
+def _block_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_(), pa.float64(), pa.int64()
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["a", "b", "same", "jaccard", "shared"])
 
 
 def links(docs: DataFrame) -> DataFrame:
@@ -257,12 +312,29 @@ def links(docs: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(_link, "a long, b long").distinct()
 
 
-def pairs(docs: DataFrame) -> DataFrame:
-    """(doc_a, doc_b, jaccard, shared) with doc_a < doc_b."""
+def _together(docs: DataFrame) -> DataFrame:
+    """(component, id, text) of linked documents, those of a component in one task and in order."""
     members = checkpoint(components(links(docs)))
     own = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    together = own.join(small(members, 24), "id").select("component", "id", "text").repartition("component").sortWithinPartitions("component", "id")
-    return together.mapInArrow(_join, "doc_a long, doc_b long, jaccard double, shared long")
+    return own.join(small(members, 24), "id").select("component", "id", "text").repartition("component").sortWithinPartitions("component", "id")
+
+
+def pairs(docs: DataFrame) -> DataFrame:
+    """(doc_a, doc_b, jaccard, shared) with doc_a < doc_b; of identical sets, the least doc_id stands for all."""
+    return _together(docs).mapInArrow(_join, "doc_a long, doc_b long, jaccard double, shared long")
+
+
+def all_pairs(docs: DataFrame) -> DataFrame:
+    """(doc_a, doc_b, jaccard, shared) with doc_a < doc_b of every pair, those of identical sets and with each of them too.
+
+    Similarities are found once for distinct sets; lists of at most BLOCK ids on either side are spread over the tasks and
+    multiplied out there, so many copies neither fill a task's memory nor keep one task busy alone.
+    """
+    blocks = _together(docs).mapInArrow(_blocks, "a array<long>, b array<long>, same boolean, jaccard double, shared long")
+    spread = blocks.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    left = spread.select(F.explode("a").alias("x"), "b", "same", "jaccard", "shared")
+    both = left.select("x", F.explode("b").alias("y"), "same", "jaccard", "shared").where(~F.col("same") | (F.col("x") < F.col("y")))
+    return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard", "shared")
 
 
 def groups(docs: DataFrame) -> DataFrame:

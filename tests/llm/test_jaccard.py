@@ -107,3 +107,51 @@ def test_subtrees_larger_than_the_buffer(monkeypatch):
         return {x: root(x) for x in range(600)}
 
     assert linked(20) == linked(10**6)
+
+
+def every(rows):
+    """All pairs by definition, of every two documents; of several texts of a document the most similar counts."""
+    out = {}
+    for (i, t), (j, u) in combinations([(i, grams(t)) for i, t in rows if i is not None and grams(t)], 2):
+        if i == j or min(len(t), len(u)) < J.THRESHOLD * max(len(t), len(u)) or t.isdisjoint(u):
+            continue
+        both = len(t & u)
+        if both >= J.THRESHOLD * (len(t) + len(u) - both) - 1e-9:
+            out[min(i, j), max(i, j)] = max(out.get((min(i, j), max(i, j)), 0), round(both / (len(t) + len(u) - both), 6))
+    return out
+
+
+def all_got(df):
+    rows = df.collect()
+    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in rows}
+    assert len(got) == len(rows) and all(a < b for a, b in got)
+    return got
+
+
+def test_copies_are_in_every_pair(spark, monkeypatch):
+    t = " ".join(f"w{k}" for k in range(60))
+    near = t + " x1 x2"
+    rows = [(5, t), (6, t), (7, t), (8, near), (7, t), (20, near + " x3"), (21, near + " x3"), (3, "other words here"), (4, "other words here"), (4, t), (4, near), (None, t), (9, None), (10, "")]
+    rows += [(100 + k, " ".join(f"c{x}" for x in range(40))) for k in range(23)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = every(rows)
+    assert {(6, 7), (6, 8), (7, 8), (3, 4), (101, 122)} <= set(want)
+    assert all_got(J.all_pairs(docs)) == want
+    assert J.all_pairs(docs.limit(0)).count() == 0
+    ids = sorted((i, t) for i, t in rows if i is not None and t)
+    import pyarrow as pa
+
+    monkeypatch.setattr(J, "BLOCK", 4)  # lists longer than a block
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(ids)), pa.array([i for i, _ in ids]), pa.array([t for _, t in ids])], names=["component", "id", "text"])
+    got = [(min(x, y), max(x, y)) for out in J._blocks([batch]) for r in out.to_pylist() for x in r["a"] for y in r["b"] if not r["same"] or x < y]
+    assert len(got) == len(set(got)) and set(got) == set(want)
+
+
+def test_query_returns_every_pair_of_copies(spark):
+    from lodestone.llm import queries
+
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    got = all_got(queries.op10_ngram_jaccard_join(spark, "/root/testdata/sf0.01"))
+    want = every(rows)
+    assert got.items() <= want.items() and len(got) >= 0.98 * len(want)
+    assert all(k in got for k, v in want.items() if v == 1.0)
