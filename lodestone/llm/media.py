@@ -4,10 +4,11 @@ A rolling gear hash over the last 32 bytes decides the cuts, so equal passages g
 all places comes from five array passes (each doubles the bytes covered). Only digests, places and lengths of chunks are
 shuffled: joins on the digest find the first medium that has a chunk, its owner. A payload moves only where it must:
 
-1. A medium that owns all its chunks is stored as it is; its list is checked to cover the payload without a gap.
+1. A medium that owns all its chunks is stored as it is. The scan that cuts it puts it together again by its list: every chunk
+   is read from its first place and its digest verified, then the whole payload's. The list that was stored must be this one.
 2. Of the others, the chunks that they lack are read from their owners (a join of the owners with the lists of wanted
    places), sent to the media that borrow them, and put together in the order of the list with the chunks
-   they own. Each chunk's digest and then the whole payload's digest are verified.
+   they own, read from their first places. Each chunk's digest and then the whole payload's digest are verified.
 
 Defined results: a medium is an id with a payload, so exact repeats of a row are one medium and other payloads of the same
 id are media of their own. Null payloads and null ids are no media and have no row. An empty payload has no chunks and is verified.
@@ -29,7 +30,7 @@ from lodestone.state import checkpoint, small
 LEAST, MASK_BITS, MOST = 256, 10, 8192
 _GEAR = np.random.default_rng(6).integers(0, 1 << 32, 256, dtype=np.int64).astype(np.uint32)
 _BUFFER = 4 << 20
-CHUNKS = "id long, media binary, seq int, digest binary, start long, length int, bytes long"
+CHUNKS = "id long, media binary, seq int, digest binary, start long, length int, bytes long, back binary"
 
 
 def digest(data: bytes) -> bytes:
@@ -70,20 +71,33 @@ def _choose(places: list[int], n: int) -> list[int]:
     return out
 
 
+def _back(payload: bytes, listed: list[tuple[bytes, int, int]], media: bytes) -> bytes | None:
+    """The MD5 of an ordered list (digest, start, length) by which a payload comes back, every chunk from its first place; None if it doesn't."""
+    first: dict[bytes, int] = {}
+    parts = [payload[(at := first.setdefault(d, start)) : at + n] for d, start, n in listed]
+    digests = [d for d, _, _ in listed]
+    if assemble(parts, digests, media) is None:
+        return None
+    return hashlib.md5(",".join(d.hex() for d in digests).encode()).digest()
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
         for i, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            media, start = digest(payload), 0
-            for seq, end in enumerate(cuts(payload)):
-                rows.append((i, media, seq, digest(payload[start:end]), start, end - start, len(payload)))
+            media, start, listed = digest(payload), 0, []
+            for end in cuts(payload):
+                listed.append((digest(payload[start:end]), start, end - start))
                 start = end
+            back = _back(payload, listed, media)
+            for seq, (d, start, n) in enumerate(listed):
+                rows.append((i, media, seq, d, start, n, len(payload), back if seq + 1 == len(listed) else None))
             if not payload:
-                rows.append((i, media, -1, None, 0, 0, 0))
+                rows.append((i, media, -1, None, 0, 0, 0, back))
         for k in range(0, len(rows), 20_000):
             cols = zip(*rows[k : k + 20_000])
-            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["id", "media", "seq", "digest", "start", "length", "bytes"])
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["id", "media", "seq", "digest", "start", "length", "bytes", "back"])
 
 
 def payloads(table: DataFrame, key: str, column: str) -> DataFrame:
@@ -92,7 +106,7 @@ def payloads(table: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def chunks(media: DataFrame) -> DataFrame:
-    """The ordered chunk list of every medium (id, payload), once; an empty payload has one row of seq -1."""
+    """The ordered chunk list of every medium (id, payload), once; an empty payload has one row of seq -1. back: _back, on the last row."""
     return media.mapInArrow(_cut, CHUNKS).dropDuplicates(["id", "media", "seq"])
 
 
@@ -143,7 +157,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def deduplicate(table: DataFrame, key: str, column: str) -> DataFrame:
-    """(id, media, n_chunks, n_own, bytes, own_bytes, verified) of every medium: what it stores, and whether it comes back."""
+    """(id, media, n_chunks, n_own, bytes, own_bytes, chunks, verified) of every medium: what it stores, the digests of its chunks in order, and whether it comes back."""
     media = payloads(table, key, column)
     found = checkpoint(manifest(checkpoint(chunks(media))))
     lent = (F.col("owner") != F.col("id")) | (F.col("owner_media") != F.col("media"))
@@ -156,6 +170,8 @@ def deduplicate(table: DataFrame, key: str, column: str) -> DataFrame:
         F.sum("length").alias("listed"),
         F.max(F.col("seq") + 1).alias("last"),
         F.coalesce(F.max(lent), F.lit(False)).alias("borrows"),
+        F.max("back").alias("back"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("digest").isNotNull(), F.struct("seq", "digest")))), lambda c: F.lower(F.hex(c["digest"]))).alias("chunks"),
     )
     wanted = found.where(lent).select("owner", "owner_media", F.col("owner_start").alias("start"), "length", "digest").distinct()
     by_owner = checkpoint(wanted.groupBy("owner", "owner_media").agg(F.collect_list(F.struct("start", "length", "digest")).alias("wanted"), F.count("*").alias("n")))
@@ -163,14 +179,15 @@ def deduplicate(table: DataFrame, key: str, column: str) -> DataFrame:
     data = lenders.mapInArrow(_extract, "digest binary, data binary").dropDuplicates(["digest"])
     needs = found.where(lent).select("id", "media", "digest").distinct()
     given = needs.join(data, "digest").groupBy("id", "media").agg(F.collect_list(F.struct("digest", "data")).alias("borrowed"))
-    order = found.groupBy("id", "media").agg(F.collect_list(F.struct("seq", "start", "length", "digest", lent.alias("lent"))).alias("list"), F.max(lent).alias("borrows")).where("borrows").drop("borrows")
+    order = found.groupBy("id", "media").agg(F.collect_list(F.struct("seq", F.col("owner_start").alias("start"), "length", "digest", lent.alias("lent"))).alias("list"), F.max(lent).alias("borrows")).where("borrows").drop("borrows")
     both = order.join(given, ["id", "media"])
     ids = checkpoint(lists.where("borrows").select(F.col("id").alias("b_id")).distinct())
     own = media.join(small(ids, 16), F.col("id") == F.col("b_id"), "left_semi")
     rebuilt = own.join(both, "id").select("id", "payload", "media", "list", "borrowed").mapInArrow(_rebuild, "id long, media binary, whole boolean").groupBy("id", "media").agg(F.max("whole").alias("whole"))
     covered = (F.col("listed") == F.col("bytes")) & ((F.col("last") == F.col("n_chunks")))
+    same = F.coalesce(F.lower(F.hex("back")) == F.md5(F.array_join("chunks", ",").cast("binary")), F.lit(False))
     return lists.join(rebuilt, ["id", "media"], "left").select(
-        F.col("id").alias(key), F.lower(F.hex("media")).alias("media"), "n_chunks", "n_own", "bytes", "own_bytes", F.when(F.col("borrows"), F.coalesce("whole", F.lit(False))).otherwise(covered).alias("verified")
+        F.col("id").alias(key), F.lower(F.hex("media")).alias("media"), "n_chunks", "n_own", "bytes", "own_bytes", "chunks", F.when(F.col("borrows"), F.coalesce("whole", F.lit(False))).otherwise(covered & same).alias("verified")
     )
 
 

@@ -78,3 +78,32 @@ def test_damage_is_noticed():
     assert M.assemble([b"ab", None], d, M.digest(b"abcd")) is None
     assert M.assemble([b"ab", b"ce"], d, M.digest(b"abcd")) is None
     assert M.assemble(p, d, M.digest(b"cdab")) is None
+
+
+def test_every_list_gives_its_payload_back(spark):
+    df = table(spark)
+    stored = {bytes(r["digest"]).hex(): bytes(r["data"]) for r in M.store(df, "doc_id", "text")[0].collect()}
+    got = {(r["doc_id"], b"".join(stored[c] for c in r["chunks"])) for r in M.deduplicate(df, "doc_id", "text").collect()}
+    assert got == {(r["doc_id"], r["text"].encode()) for r in df.collect() if r["doc_id"] is not None and r["text"] is not None}
+
+
+def test_damaged_lists_of_media_that_borrow_nothing(spark, monkeypatch):
+    right, seq = M.chunks, F.col("seq")
+    first = F.col("id") == 1
+    wrong = {
+        "digest": lambda c: c.withColumn("digest", F.when(first & (seq == 1), F.unhex(F.lit("00" * 16))).otherwise(F.col("digest"))),
+        "order": lambda c: c.withColumn("seq", F.when(first & (seq < 2), 1 - seq).otherwise(seq)),
+    }
+    for damage in wrong.values():
+        monkeypatch.setattr(M, "chunks", lambda media: damage(right(media)))  # noqa: B023
+        got = M.deduplicate(table(spark), "doc_id", "text").collect()
+        assert {r["doc_id"] for r in got if not r["verified"]} == {1}
+
+
+def test_read_back_checks_chunks_and_whole():
+    data = np.random.default_rng(3).integers(0, 256, 900, dtype=np.int64).astype(np.uint8).tobytes()
+    a, b = data[:400], data[400:]
+    listed = [(M.digest(a), 0, 400), (M.digest(b), 400, 500), (M.digest(a), 900, 400)]
+    assert M._back(a + b + a, listed, M.digest(a + b + a))
+    assert M._back(a + b + a, listed[:2], M.digest(a + b + a)) is None
+    assert M._back(a + b + a, [listed[0], (M.digest(b), 401, 500), listed[2]], M.digest(a + b + a)) is None
