@@ -6,7 +6,7 @@
    MOST_REPEATS pages or fewer, has its segments generalised into ``*``. All hosts are treated at once, by joins.
 3. In each host's remaining tree, from the leaves up, sibling branches with the same templates below them merge if the shares
    of good pages that labels give them don't differ by a two-proportion test (SIMILAR_Z); branches without labels
-   merge with the first group. A merged branch is written ``(a|b)``.
+   merge with the labelled ones where those are one group, otherwise with each other only. A merged branch is written ``(a|b)``.
 4. A template's purity is the share of good ones among its labelled pages, smoothed by PRIOR pages of the share of all
    labelled pages. Templates of a purity under LEAST_PURITY are rejected; without labels a template has that share.
 
@@ -109,9 +109,9 @@ def merge_tree(rows: list[tuple[tuple[str, ...], float, float]]) -> dict[tuple[s
             groups: list[list] = []  # members, good, bad
             for k in keys:
                 good, bad = nodes[d][k][:2]
-                if not good + bad and groups:
+                if not good + bad and len(groups) == 1:
                     groups[0][0].append(k)
-                elif groups and similar((groups[-1][1], groups[-1][2]), (good, bad)):
+                elif groups and (good + bad > 0) == (groups[-1][1] + groups[-1][2] > 0) and similar((groups[-1][1], groups[-1][2]), (good, bad)):
                     groups[-1][0].append(k)
                     groups[-1][1] += good
                     groups[-1][2] += bad

@@ -117,3 +117,12 @@ def test_odd_rows(spark):
     assert by[0][2] == "/item/(a|b|c)/*" and not by[0][6] and by[100][2] == "/spam/{n}.html" and by[100][6]
     assert by[200][1:3] == ("", "") and by[204][1:3] == ("h.example", "/")
     assert got(pages, labels.limit(0)) == brute(rows, []) and got(pages.limit(0), labels) == []
+
+
+def test_branches_without_labels_beside_groups_that_differ():
+    path = lambda s: (s, "{n}")
+    rows = [(path("spam"), 0.0, 60.0), (path("blog"), 60.0, 0.0), (path("docs"), 0.0, 0.0), (path("help"), 0.0, 0.0)]
+    got = U.merge_tree(rows)
+    assert got == {path("spam"): "/spam/{n}", path("blog"): "/blog/{n}", path("docs"): "/(docs|help)/{n}", path("help"): "/(docs|help)/{n}"}
+    assert set(U.merge_tree(rows[1:]).values()) == {"/(blog|docs|help)/{n}"}  # one labelled group
+    assert set(U.merge_tree(rows[2:]).values()) == {"/(docs|help)/{n}"}
