@@ -1,33 +1,35 @@
-"""N-gram Jaccard join: prefix trees over globally ordered n-gram sets.
-
-A text's set holds its distinct word n-grams (a text of fewer words has one n-gram of all of them). The result has
-every pair of documents whose sets have a Jaccard similarity of at least ``threshold``.
-
-1. ``ORDERS`` global orders of all n-grams are fixed by keyed hashes. In each, a document's ordered set is a path of
-   a prefix tree; the first two n-grams of the path name the subtree that the document is sent to. So a document
-   moves as a few dozen bytes per order whatever its length, and a passage that many documents share decides a path
-   only where it holds both of the least n-grams.
-2. In a subtree, identical sets are taken together, and two sets are linked unless the length bound (the smaller has
-   less than threshold times the larger) or a 128-bit sketch rules it out. Links are few: a spanning forest.
-3. Documents linked directly or not come together, and only their texts are read again. Their sets go into one prefix
-   tree, frequent n-grams first, so that copies share long paths. One traversal carries the overlaps with all sets at
-   once; a subtree is left as soon as no set can reach the threshold with what remains below it. Its similarities
-   are exact, so no pair below the threshold is ever returned.
-
-Two sets of similarity s miss each other in step 1 with probability (1 - s²)^ORDERS: 1.0 % at 0.5, 0.02 % at 0.65.
-
-Defined results: documents with a null id, null or empty texts, and texts without words, are in no pair. Identical
-sets have similarity 1.0. ``all_pairs`` returns every pair: of c identical sets all c(c - 1)/2, and each of the c with each
-similar set. ``pairs``, from which groups are made, returns of c of them the c - 1 pairs with the least doc_id, and that
-doc_id stands for all of them in pairs with other sets; the groups are the same. Repeated rows of one doc_id are one
-document: no document is paired with itself, and of several texts of one doc_id the most similar counts in ``all_pairs``.
-Further columns are ignored by ``pairs`` and ``all_pairs`` and kept by ``keep_one``.
+"""N-gram Jaccard join: prefix trees over globally ordered n-gram sets. The result is exact.
+
+A text's set holds its distinct word n-grams (a text of fewer words has one n-gram of all of them). Two documents are linked
+if their sets have a Jaccard similarity of at least ``threshold``. Identical sets form a class that is treated once.
+
+1. Every n-gram is counted over all classes; rare ones come first in the global order. N-grams move as packed arrays to the
+   parts of their value range, and only those that more than one class has come back. A class of n n-grams can have a
+   partner only if at least threshold × n of them came back; the others are done.
+2. Prefixes: of two similar sets, each has one of its first n - ceil(threshold × n) + 1 n-grams in common with the other. Sets
+   meet at the n-grams of their prefixes, where three bounds that never exclude a similar pair are taken: by length, by place (what
+   may follow the first common n-gram), and by a bitmap of the set's shared n-grams (a bit that the other lacks is an n-gram
+   that the other lacks). Pairs that pass them connect sets; pairs of sets that are connected already needn't be compared.
+3. Connected sets come together. They go into one prefix tree, frequent n-grams first, so that near copies share long paths. One
+   traversal carries the overlaps with all sets at once; a subtree is left as soon as no set can reach the threshold with
+   what remains below it. More than BLOCK connected sets are joined block by block in different tasks.
+
+Hot values: n-grams whose bucket of the value range has more than HEAVY occurrences aren't sent to one part; they are taken as shared, in
+the place that the bucket's count gives them. An n-gram that more than GROUP classes have is split by class, and each two of its splits
+meet. Copies are counted by map-side aggregation. So no task holds an unbounded group.
+
+The link count of a document needs all links of its class, which is quadratic work in the number of *different* similar texts.
+
+Defined results: a row for each document, that is for each different set of a non-null doc_id: exact repeats of a row, and
+further texts of a doc_id with the same set, count once; a doc_id with texts of different sets has a row for each. Documents
+that are linked directly or through others, and all texts with words of a doc_id, have one class_id, the least doc_id among them.
+Null and empty texts, and texts without words, are linked with nothing and have their own doc_id as class_id. Rows of a null doc_id have no row (``keep_one`` keeps them).
+Empty tables give no rows. Further columns are ignored by ``linked`` and kept by ``keep_one``. Sets are told apart by hashes of 64 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain, combinations_with_replacement, product
 
 import numpy as np
 import pyarrow as pa
@@ -35,318 +37,533 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import text as X
-from lodestone.llm.components import components
+from lodestone.llm.components import Forest, components
 from lodestone.state import checkpoint, small
 
-N, THRESHOLD, ORDERS = 3, 0.5, 16
-#: Sets of at least so many n-grams are compared by sketch, of which so many of 128 bits may differ.
-SKETCHED, DIFFERENT = 128, 50
-#: Rows of subtrees that a task holds before it links those that are complete.
-HELD = 200_000
-#: Identical documents that are multiplied out at once.
-BLOCK = 256
-_KEYS = np.random.default_rng(10).integers(1, 1 << 62, (64, 2), dtype=np.int64).astype(X.U) * X.U(2) + X.U(1)
-_TOP = X.U(0xFFFFFFFFFFFFFFFF)
-
-
-def signatures(sets: np.ndarray, bounds: np.ndarray, orders: int = ORDERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For non-empty ascending sets: a hash of each, its sketch of two numbers, and its subtree in each order."""
-    starts, sizes = bounds[:-1], np.diff(bounds)
-    whole = X.mix(np.add.reduceat(X.mix(sets ^ X.U(0x5DEECE66D)), starts) + sizes.astype(X.U))
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    band = (sets >> X.U(57)).astype(np.int64)
-    first = np.ones(len(sets), bool)
-    first[1:] = (band[1:] != band[:-1]) | (row[1:] != row[:-1])
-    bits = np.zeros((len(sizes), 128), np.uint8)
-    bits[row[first], band[first]] = (X.mix(sets[first]) & X.U(1)).astype(np.uint8)
-    sketch = np.packbits(bits, axis=1).view(np.int64)
-    paths = np.empty((len(sizes), orders), X.U)
-    for r in range(orders):
-        h = (sets ^ _KEYS[r, 0]) * _KEYS[r, 1]
-        h ^= h >> X.U(32)
-        h *= _KEYS[r, 0]
-        one = np.minimum.reduceat(h, starts)
-        h[h == np.repeat(one, sizes)] = _TOP
-        two = np.minimum.reduceat(h, starts)
-        paths[:, r] = ((X.mix(one + X.mix(two)) >> X.U(8)) << X.U(8)) | X.U(r)
-    return whole, sketch, paths
-
-
-def _route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+N, THRESHOLD = 3, 0.5
+#: n-grams in a part, of which a task holds one at a time; occurrences of a bucket that aren't sent to one part; classes that meet at one
+#: n-gram in one place; connected sets in one block.
+PART, HEAVY, GROUP, BLOCK = 4_000_000, 1_000_000, 1 << 16, 4096
+#: n-grams that a task collects before it sends them on.
+SENT = 1 << 20
+#: Pairs that are compared at once.
+PAIRS = 1 << 19
+_EPS = 1e-9
+_SALT = 0x9E3779B97F4A7C15
+
+
+def _bytes(*arrays: np.ndarray) -> list[bytes]:
+    return [a.tobytes() for a in arrays]
+
+
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The range, of so many equal ones, that 64-bit numbers fall in."""
+    return (((keys >> X.U(32)) * X.U(parts)) >> X.U(32)).astype(np.int64)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, whole, sizes, n-grams) of consecutive texts; whole is a hash of each set, 0 for an empty one."""
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
         for first, end, words, of in X.hashes(batch.column(1).to_pylist()):
             sets, bounds = X.sets(words, of, N)
-            have = np.diff(bounds) > 0
-            if not have.any():
-                continue
-            sizes = np.diff(bounds)[have]
-            whole, sketch, paths = signatures(sets, np.concatenate((bounds[:-1][have], bounds[-1:])))
-            for part in np.array_split(np.arange(len(sizes)), len(sizes) // 2000 + 1):
-                rep = np.repeat(part, ORDERS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(paths[part].ravel().view(np.int64)), pa.array(whole.view(np.int64)[rep]), pa.array(ids[first:end][have][rep]), pa.array(sizes[rep].astype(np.int32)), pa.array(sketch[rep, 0]), pa.array(sketch[rep, 1])], names=["path", "whole", "id", "n", "s1", "s2"]
-                )
-
-
-def _near(n1: np.ndarray, n2: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
-    """Whether sets may reach the threshold, by length and sketch. s1, s2: their sketches, by rows."""
-    near = np.minimum(n1, n2) >= THRESHOLD * np.maximum(n1, n2)
-    different = np.bitwise_count((s1 ^ s2).view(X.U)).sum(axis=-1, dtype=np.int64)
-    return near & ((np.minimum(n1, n2) < SKETCHED) | (different <= DIFFERENT))
-
-
-def _links(path: np.ndarray, whole: np.ndarray, ids: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges between documents of one subtree each; rows come sorted by path, whole and id."""
-    new = np.ones(len(path), bool)
-    new[1:] = (path[1:] != path[:-1]) | (whole[1:] != whole[:-1]) | (n[1:] != n[:-1])
-    lead = np.flatnonzero(new)
-    of = np.cumsum(new) - 1
-    copy = ~new & ((path & 255) == 0)  # copies meet in every order: one is enough
-    a, b = [ids[lead][of[copy]]], [ids[copy]]
-    p, i, m, s = path[lead], ids[lead], n[lead], sketch[lead]
-    begin = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
-    size = np.diff(np.concatenate((begin, [len(p)])))
-    for k in range(2, 33):  # small subtrees: all their pairs at once
-        at = begin[size == k]
-        if len(at):
-            x, y = np.triu_indices(k, 1)
-            x, y = (at[:, None] + x).ravel(), (at[:, None] + y).ravel()
-            near = _near(m[x], m[y], s[x], s[y])
-            a.append(i[x[near]])
-            b.append(i[y[near]])
-    for at, k in zip(begin[size > 32], size[size > 32]):
-        rows = np.arange(at, at + k)
-        rows = rows[np.argsort(m[rows], kind="stable")]
-        left = rows
-        while len(left):  # one set at a time against all whose length can match; those linked to it lead no more
-            lo, hi = np.searchsorted(m[rows], [THRESHOLD * m[left[0]], m[left[0]] / THRESHOLD + 1])
-            other = rows[lo:hi]
-            near = other[_near(m[left[0]], m[other], s[left[0]], s[other])]
-            a.append(np.full(len(near), i[left[0]]))
-            b.append(i[near])
-            left = left[1:]
-            left = left[~np.isin(left, near)] if len(near) > 1 else left
-    a, b = np.concatenate(a), np.concatenate(b)
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
-    return pairs[0], pairs[1]
-
-
-def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept, most = None, HELD
-
-    def edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    def linked(t: pa.Table) -> pa.RecordBatch:
-        c = [t.column(k).to_numpy() for k in ("path", "whole", "id", "n", "s1", "s2")]
-        return edges(*_links(c[0], c[1], c[2], c[3], np.stack(c[4:], axis=1)))
+            sizes, whole = np.diff(bounds), np.zeros(end - first, X.U)
+            have = sizes > 0
+            if have.any():
+                whole[have] = X.mix(np.add.reduceat(X.mix(sets ^ X.U(0x5DEECE66D)), bounds[:-1][have]) + sizes[have].astype(X.U))
+            yield batch.column(0).slice(first, end - first), whole, sizes, sets
+
+
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (id, whole, n) for each text, and (null, bucket, occurrences) for buckets that are crowded in this task."""
+    counts = np.zeros(1 << 16, np.int64)
+    for ids, whole, sizes, sets in _sets(batches):
+        counts += np.bincount((sets >> X.U(48)).astype(np.int64), minlength=1 << 16)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(whole.view(np.int64)), pa.array(sizes)], names=["id", "whole", "n"])
+    crowded = np.flatnonzero(counts > 4 * counts.mean() + 16)
+    if len(crowded):
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(crowded), pa.int64()), pa.array(crowded), pa.array(counts[crowded])], names=["id", "whole", "n"])
+
+
+_BLOB = "part int, whole binary, n binary, held binary, grams binary, rank binary"
+
+
+def _blob(part: int, whole: np.ndarray, n: np.ndarray, held: np.ndarray, grams: np.ndarray, rank: np.ndarray) -> tuple:
+    return part, *_bytes(whole, n.astype(np.int32), held.astype(np.int32), grams, rank)
+
+
+def _blobs(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), *[pa.binary()] * 5)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "whole", "n", "held", "grams", "rank"])
+
+
+def _spread(part: np.ndarray, doc: np.ndarray, whole: np.ndarray, n: np.ndarray, grams: np.ndarray, rank: np.ndarray) -> Iterator[tuple]:
+    """Blobs by part of n-grams that stand in the order of their documents."""
+    order = np.argsort(part, kind="stable")
+    part, doc, grams, rank = part[order], doc[order], grams[order], rank[order] if len(rank) else rank
+    begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else []
+    for a, b in zip(begin, [*begin[1:], len(part)]):
+        new = np.flatnonzero(np.concatenate(([True], doc[a + 1 : b] != doc[a : b - 1])))
+        docs = doc[a:b][new]
+        yield _blob(int(part[a]), whole[docs], n[docs], np.diff(np.append(new, b - a)), grams[a:b], rank[a:b])
+
+
+def _scatter(parts: int, heavy: dict[int, int], only_heavy: bool):
+    """Sends the n-grams of each text to their parts; those of heavy buckets instead to the part of their text's set, with a rank."""
+    ranks = np.full(1 << 16, -1, np.int64)
+    for bucket, count in heavy.items():
+        ranks[bucket] = _rank(np.array([count]))[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def sent() -> pa.RecordBatch | None:
+            whole, sizes, grams = (np.concatenate(c) for c in zip(*held))
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            rank = ranks[(grams >> X.U(48)).astype(np.int64)]
+            use = (rank >= 0) == only_heavy
+            doc, grams, rank = doc[use], grams[use], rank[use].astype(np.uint8)
+            rows = list(_spread(_part(whole[doc] if only_heavy else grams, parts), doc, whole, sizes, grams, rank if only_heavy else rank[:0]))
+            return _blobs(rows) if rows else None
+
+        size = 0
+        for _, whole, sizes, sets in _sets(batches):
+            held.append((whole, sizes, sets))
+            size += len(sets)
+            if size >= SENT:
+                if got := sent():
+                    yield got
+                held, size = [], 0
+        if held and (got := sent()):
+            yield got
+
+    return run
+
 
+def _rank(df: np.ndarray) -> np.ndarray:
+    """A rank below 256 that grows with a count, eight for each doubling."""
+    return np.minimum(255, np.round(8 * np.log2(df))).astype(np.uint8)
+
+
+def _read(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(whole, n, doc, n-grams, rank) of a part's blobs; doc numbers its rows of (text, blob)."""
+    whole, n, held, grams, rank = (np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in ((1, X.U), (2, np.int32), (3, np.int32), (4, X.U), (5, np.uint8)))
+    return whole, n, np.repeat(np.arange(len(whole)), held), grams, rank
+
+
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each part, of which a task reads one at a time; rows come sorted by part."""
+    now, rows = None, []
     for batch in batches:
-        t = pa.Table.from_batches([batch])
-        kept = pa.concat_tables([kept, t]) if kept is not None else t
-        if kept.num_rows < most:
-            continue
-        path = kept.column("path").to_numpy()
-        cut = int(np.searchsorted(path, path[-1]))  # the last subtree may go on in the next batch
-        if cut:
-            yield linked(kept.slice(0, cut))
-            kept = kept.slice(cut).combine_chunks()
-        # of a subtree as large as the buffer, only distinct sets stay; their copies are linked at once
-        whole, n, ids = (kept.column(k).to_numpy() for k in ("whole", "n", "id"))
-        new = np.concatenate(([True], (whole[1:] != whole[:-1]) | (n[1:] != n[:-1])))
-        if int(path[-1]) & 255 == 0:
-            yield edges(ids[np.flatnonzero(new)][np.cumsum(new) - 1][~new], ids[~new])
-        kept = kept.filter(pa.array(new)).combine_chunks()
-        most = max(HELD, 2 * kept.num_rows)
-    if kept is not None and kept.num_rows:
-        yield linked(kept)
-
-
-def trie_join(sets: list[np.ndarray], threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
-    """(i, j, overlap) for all i < j whose sets reach the threshold. sets: distinct 64-bit numbers, none empty."""
-    sizes = np.array([len(s) for s in sets])
-    every, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[0] != now and rows:
+                yield rows
+                rows = []
+            now = row[0]
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _shared(parts: int):
+    """Of each part's n-grams those that at least two classes have, with their ranks, to the parts of their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_part(batches):
+            whole, n, doc, grams, _ = _read(rows)
+            order = np.argsort(grams, kind="stable")
+            new = np.concatenate(([True], grams[order[1:]] != grams[order[:-1]]))
+            begin = np.flatnonzero(new)
+            own = whole[doc[order]]
+            many = np.minimum.reduceat(own, begin) != np.maximum.reduceat(own, begin)
+            df = np.diff(np.append(begin, len(order)))
+            of = np.cumsum(new) - 1
+            rank = np.empty(len(order), np.uint8)
+            keep = np.empty(len(order), bool)
+            rank[order], keep[order] = _rank(df)[of], many[of]
+            if keep.any():
+                yield _blobs(list(_spread(_part(whole[doc[keep]], parts), doc[keep], whole, n, grams[keep], rank[keep])))
+
+    return run
+
+
+def _least(n: np.ndarray) -> np.ndarray:
+    """The least overlap that a set of n can have with a similar one."""
+    return np.ceil(THRESHOLD * n - _EPS).astype(np.int64)
+
+
+def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(whole, n, grams, rank): sets that can have a partner, with their shared n-grams in the global order."""
+    for rows in _by_part(batches):
+        whole, n, doc, grams, rank = _read(rows)
+        own = whole[doc]
+        order = np.lexsort((grams, rank, own))
+        own, grams, rank, size = own[order], grams[order], rank[order], n[doc[order]]
+        new = np.concatenate(([True], own[1:] != own[:-1]))
+        keep = new | np.concatenate(([True], grams[1:] != grams[:-1]))  # a set that was sent twice counts once
+        own, grams, rank, size, new = own[keep], grams[keep], rank[keep], size[keep], new[keep]
+        begin = np.flatnonzero(new)
+        ends = np.append(begin[1:], len(own))
+        use = np.flatnonzero(ends - begin >= _least(size[begin]))
+        for k in range(0, len(use), 2000):
+            mine = use[k : k + 2000]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own[begin[mine]].view(np.int64)), pa.array(size[begin[mine]], pa.int32()), pa.array([grams[begin[i] : ends[i]].tobytes() for i in mine], pa.binary()), pa.array([rank[begin[i] : ends[i]].tobytes() for i in mine], pa.binary())], names=["whole", "n", "grams", "rank"]
+            )
+
+
+def bitmap(grams: np.ndarray) -> np.ndarray:
+    """Bits of a set's shared n-grams in 64-bit words, so many that about two fifths are set at most; a power of two."""
+    bits = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    out = np.zeros(bits, np.uint8)
+    out[(grams & X.U(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out).view(X.U)
+
+
+_MEET = "part int, whole binary, n binary, k binary, words binary, bits binary, keys binary, doc binary, place binary"
+
+
+def _meet(parts: int):
+    """Sends each set's prefix, with the bitmap of the set, to the parts of its n-grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, n = batch.column(0).to_numpy().view(X.U), batch.column(1).to_numpy().astype(np.int64)
+            maps, keys, doc, place, ks = [], [], [], [], []
+            for d, (grams, rank) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                grams, rank = np.frombuffer(grams, X.U), np.frombuffer(rank, np.uint8)
+                k = len(grams)
+                ks.append(k)
+                maps.append(bitmap(grams))
+                m = int(n[d] - _least(n[d]) + 1 - (n[d] - k))  # the prefix without what no other set has
+                at, key = np.arange(n[d] - k, n[d] - k + m), X.mix(grams[:m])
+                splits = np.ceil(2.0 ** ((rank[:m].astype(float) + 1) / 8) / GROUP).astype(np.int64)
+                if (splits > 1).any():  # an n-gram of many classes: each two of its splits meet
+                    more = [(key[splits == 1], at[splits == 1])]
+                    for j in np.flatnonzero(splits > 1):
+                        s = int(splits[j])
+                        mine = int(whole[d] % X.U(s))
+                        pair = np.array([min(mine, x) * s + max(mine, x) + 1 for x in range(s)], X.U)
+                        more.append((X.mix(key[j] ^ (pair * X.U(_SALT))), np.full(s, at[j])))
+                    key, at = (np.concatenate(c) for c in zip(*more))
+                keys.append(key)
+                place.append(at)
+                doc.append(np.full(len(key), d))
+            keys, doc, place, ks = np.concatenate(keys), np.concatenate(doc), np.concatenate(place), np.array(ks)
+            part = _part(keys, parts)
+            order = np.argsort(part, kind="stable")
+            part, keys, doc, place = part[order], keys[order], doc[order], place[order]
+            begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            rows, size = [], 0
+            for a, b in zip(begin, [*begin[1:], len(part)]):
+                docs, own = np.unique(doc[a:b], return_inverse=True)
+                bits = b"".join(maps[d].tobytes() for d in docs)
+                size += len(bits) + 16 * (b - a)
+                words = np.array([len(maps[d]) for d in docs], np.int32)
+                rows.append((int(part[a]), *_bytes(whole[docs], n[docs].astype(np.int32), ks[docs].astype(np.int32), words), bits, *_bytes(keys[a:b], own.astype(np.int32), place[a:b].astype(np.int32))))
+                if size > 8 << 20:
+                    yield _met(rows)
+                    rows, size = [], 0
+            if rows:
+                yield _met(rows)
+
+    return run
+
+
+def _met(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 8))], names=["part", "whole", "n", "k", "words", "bits", "keys", "doc", "place"])
+
+
+class Met:
+    """Sets of one part, and the test whether two of them may be similar."""
+
+    def __init__(self, n: np.ndarray, k: np.ndarray, words: np.ndarray, bits: np.ndarray):
+        self.n, self.k, self.words, self.bits = n.astype(np.int64), k.astype(np.int64), words.astype(np.int64), bits
+        self.at = np.cumsum(self.words) - self.words
+
+    def _folded(self, docs: np.ndarray, words: int) -> np.ndarray:
+        """Bitmaps of docs, folded to so many words."""
+        out = np.zeros((len(docs), words), X.U)
+        for own in np.unique(self.words[docs]):
+            rows = np.flatnonzero(self.words[docs] == own)
+            out[rows] = np.bitwise_or.reduce(self.bits[self.at[docs[rows]][:, None] + np.arange(own)].reshape(len(rows), own // words, words), axis=1)
+        return out
+
+    def need(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The overlap that makes two sets similar."""
+        return np.ceil(THRESHOLD / (1 + THRESHOLD) * (self.n[x] + self.n[y]) - _EPS).astype(np.int64)
+
+    def may(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the bitmaps leave two sets enough n-grams in common. What isn't in the other's bitmap isn't in the other."""
+        out = np.zeros(len(x), bool)
+        need, least = self.need(x, y), np.minimum(self.words[x], self.words[y])
+        for words in np.unique(least):
+            rows = np.flatnonzero(least == words)
+            step = max(1, (1 << 21) // int(words))
+            for a in range(0, len(rows), step):
+                r = rows[a : a + step]
+                docs, at = np.unique(np.concatenate((x[r], y[r])), return_inverse=True)
+                maps = self._folded(docs, int(words))
+                p, q = maps[at[: len(r)]], maps[at[len(r) :]]
+                both = p & q
+                lost = np.bitwise_count(p ^ both).sum(axis=1, dtype=np.int64), np.bitwise_count(q ^ both).sum(axis=1, dtype=np.int64)
+                out[r] = (self.k[x[r]] - lost[0] >= need[r]) & (self.k[y[r]] - lost[1] >= need[r])
+        return out
+
+
+def connected(met: Met, keys: np.ndarray, doc: np.ndarray, place: np.ndarray, count: int) -> np.ndarray:
+    """Roots of sets, such that any two similar ones that have one of the keys as their first common n-gram are connected."""
+    forest = Forest(count)
+    order = np.lexsort((doc, met.n[doc], keys))
+    keys, doc, place = keys[order], doc[order], place[order]
+    left = met.n[doc] - place  # n-grams from this one on
+    new = np.concatenate(([True], keys[1:] != keys[:-1]))
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(keys)))
+
+    def test(i: np.ndarray, j: np.ndarray) -> None:
+        """Connects the sets of entries that pass the bounds; i comes before j."""
+        x, y = doc[i], doc[j]
+        use = (x != y) & (met.n[x] >= THRESHOLD * met.n[y] - _EPS)
+        i, j, x, y = i[use], j[use], x[use], y[use]
+        use = np.minimum(left[i], left[j]) >= met.need(x, y)
+        x, y = np.minimum(x[use], y[use]), np.maximum(x[use], y[use])
+        if not len(x):
+            return
+        pair = np.unique(x * count + y)
+        x, y = pair // count, pair % count
+        r = forest.roots()
+        use = r[x] != r[y]
+        x, y = x[use], y[use]
+        ok = met.may(x, y)
+        forest.join(x[ok], y[ok])
+
+    nxt = np.flatnonzero(~new)
+    for a in range(0, len(nxt), PAIRS):  # neighbours first: near copies are connected by them
+        test(nxt[a : a + PAIRS] - 1, nxt[a : a + PAIRS])
+    # of each n-gram whose sets aren't all connected, every pair that its lengths allow and that isn't connected yet
+    roots, group = forest.roots()[doc], np.cumsum(new) - 1
+    apart = (np.minimum.reduceat(roots, begin) != np.maximum.reduceat(roots, begin)) & (size > 2)
+    wide = int(met.n.max() / THRESHOLD) + 2
+    entry = np.flatnonzero(apart[group])
+    until = np.searchsorted(group * wide + met.n[doc], group[entry] * wide + (met.n[doc[entry]] / THRESHOLD + _EPS).astype(np.int64), "right")
+    many = until - entry - 1
+    total = np.concatenate(([0], np.cumsum(many)))
+    at = 0
+    while at < len(entry):
+        stop = max(at + 1, int(np.searchsorted(total, total[at] + PAIRS, "right")) - 1)
+        i = np.repeat(entry[at:stop], many[at:stop])
+        j = i + 1 + np.arange(len(i)) - np.repeat(total[at:stop] - total[at], many[at:stop])
+        roots = forest.roots()
+        use = roots[doc[i]] != roots[doc[j]]
+        test(i[use], j[use])
+        at = stop
+    return forest.roots()
+
+
+def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) that connect the sets of each part."""
+    for rows in _by_part(batches):
+        whole, n, k, words, bits, keys, doc, place = (np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in enumerate((X.U, np.int32, np.int32, np.int32, X.U, X.U, np.int32, np.int32), 1))
+        sizes = [len(r[1]) // 8 for r in rows]
+        doc = doc + np.repeat(np.cumsum(sizes) - sizes, [len(r[7]) // 4 for r in rows])
+        distinct, lead, of = np.unique(whole, return_index=True, return_inverse=True)
+        at = np.cumsum(words) - words
+        take = np.concatenate([np.arange(at[i], at[i] + words[i]) for i in lead])
+        met = Met(n[lead], k[lead], words[lead], bits[take])
+        root = connected(met, keys, of[doc], place.astype(np.int64), len(distinct))
+        edge = np.flatnonzero(root != np.arange(len(root)))
+        yield pa.RecordBatch.from_arrays([pa.array(distinct[edge].view(np.int64)), pa.array(distinct[root[edge]].view(np.int64))], names=["a", "b"])
+
+
+def trie_join(sets: list[np.ndarray], sizes: np.ndarray, others: list[np.ndarray] | None = None, other_sizes: np.ndarray | None = None, threshold: float = THRESHOLD) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, js, overlaps) for each set i and those of the others that reach the threshold with it; without others, all the sets but i.
+
+    sets: arrays of distinct 64-bit numbers, in any order; sizes: their full sizes (numbers that no other set has may be missing).
+    """
+    own = others is None
+    others, other_sizes = (sets, sizes) if own else (others, other_sizes)
+    other_sizes = np.asarray(other_sizes, np.int64)
+    sizes = np.asarray(sizes, np.int64)
+    lengths = np.array([len(s) for s in others])
+    every, inverse, count = np.unique(np.concatenate(others), return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")  # the order of all: frequent first
     rank = np.empty(len(every), np.int64)
-    rank[np.argsort(-count, kind="stable")] = np.arange(len(every))  # the global order: frequent first
-    bounds = np.concatenate(([0], np.cumsum(sizes)))
-    ranked = rank[inverse]
-    order = np.lexsort((ranked, np.repeat(np.arange(len(sets)), sizes)))
-    flat, owner = ranked[order], np.repeat(np.arange(len(sets)), sizes)
+    rank[order] = np.arange(len(every))
+    flat, owner = rank[inverse], np.repeat(np.arange(len(others)), lengths)
     by = np.argsort(flat, kind="stable")
     post, post_of = owner[by], np.concatenate(([0], np.cumsum(np.bincount(flat, minlength=len(every)))))
-    paths = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-    sorted_paths = sorted(range(len(sets)), key=lambda k: paths[k].tolist())
+
+    def path(s: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(every, s), len(every) - 1)
+        return np.sort(rank[at[every[at] == s]])  # what no other set has can't be in an overlap
+
+    paths = [path(s) for s in sets]
+    long = np.array([len(p) for p in paths])
+    by_path = sorted(range(len(sets)), key=lambda k: paths[k].tolist())
     # how many leading n-grams neighbours of the sorted list share: the inner nodes of the tree
     shared = [0]
-    for x, y in zip(sorted_paths, sorted_paths[1:]):
+    for x, y in zip(by_path, by_path[1:]):
         k = min(len(paths[x]), len(paths[y]))
         differ = np.flatnonzero(paths[x][:k] != paths[y][:k])
         shared.append(int(differ[0]) if len(differ) else k)
     shared.append(0)
-    out: list[tuple[int, int, int]] = []
+    ratio = threshold / (1 + threshold)
 
     def spread(tokens: np.ndarray, overlap: np.ndarray) -> np.ndarray:
         n = post_of[tokens + 1] - post_of[tokens]
         ends = np.cumsum(n)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(post_of[tokens] - (ends - n), n)
-        return overlap + np.bincount(post[at], minlength=len(sets))
+        return overlap + np.bincount(post[at], minlength=len(others))
 
     # (first, end) of the sorted paths below a node, its depth, overlaps on the way to it
-    stack = [(0, len(sets), 0, np.zeros(len(sets), np.int64))]
+    stack = [(0, len(sets), 0, np.zeros(len(others), np.int64))]
     while stack:
         first, end, depth, overlap = stack.pop()
-        below = [sorted_paths[k] for k in range(first, end)]
-        low, high = sizes[below].min(), sizes[below].max()
+        below = by_path[first:end]
         # a set can gain at most what remains below; it needs t/(1+t) of both sizes
-        can = np.minimum(sizes, overlap + high - depth)
-        if not (can >= np.ceil(threshold / (1 + threshold) * (sizes + low) - 1e-9)).any():
+        can = np.minimum(lengths, overlap + long[below].max() - depth)
+        if not (can >= np.ceil(ratio * (other_sizes + sizes[below].min()) - _EPS)).any():
             continue
         if end - first == 1:
             k = below[0]
             total = spread(paths[k][depth:], overlap)
-            hit = np.flatnonzero(total >= threshold * (sizes + sizes[k] - total) - 1e-9)
-            out += [(int(j), k, int(total[j])) for j in hit if j < k]
+            hit = np.flatnonzero(total >= threshold * (other_sizes + sizes[k] - total) - _EPS)
+            if own:
+                hit = hit[hit != k]
+            if len(hit):
+                yield k, hit, total[hit]
             continue
         deep = min(shared[first + 1 : end])
         if deep > depth:
             overlap = spread(paths[below[0]][depth:deep], overlap)
         cuts = [first, *(k for k in range(first + 1, end) if shared[k] == deep), end]
         stack += [(x, y, deep, overlap) for x, y in zip(cuts, cuts[1:])]
-    return out
-
-
-def _solve(ids: list[int], found: list[np.ndarray]) -> tuple[list[list[int]], list[int], list[tuple[int, int, float, int]]]:
-    """Of one component: the ascending ids of each distinct set, the sets' sizes, and (x, y, jaccard, shared) of those that are similar."""
-    place: dict[bytes, int] = {}
-    members: list[set[int]] = []
-    sets = []
-    for i, s in zip(ids, found):
-        k = place.setdefault(s.tobytes(), len(sets))
-        if k == len(sets):
-            members.append(set())
-            sets.append(s)
-        members[k].add(i)
-    hits = trie_join(sets) if len(sets) > 1 else []
-    return [sorted(m) for m in members], [len(s) for s in sets], [(x, y, round(both / (len(sets[x]) + len(sets[y]) - both), 6), both) for x, y, both in hits]
-
-
-def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """_solve of each component; rows (component, id, text) come sorted by component and id."""
-    now, ids, found = None, [], []
-    for batch in batches:
-        comp, own = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for first, end, words, of in X.hashes(batch.column(2).to_pylist()):
-            sets, bounds = X.sets(words, of, N)
-            for k in range(first, end):
-                if comp[k] != now:
-                    if len(ids) > 1:
-                        yield _solve(ids, found)
-                    now, ids, found = comp[k], [], []
-                s = sets[bounds[k - first] : bounds[k - first + 1]]
-                if len(s):
-                    ids.append(own[k])
-                    found.append(s.copy())
-    if len(ids) > 1:
-        yield _solve(ids, found)
-
-
-def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of each component, of identical sets those with the least id."""
-    for members, sizes, hits in _solved(batches):
-        rows = {(m[0], i, 1.0, n) for m, n in zip(members, sizes) for i in m[1:]}
-        for x, y, share, both in hits:
-            a, b = members[x][0], members[y][0]
-            if a != b:
-                rows.add((min(a, b), max(a, b), share, both))
-        cols = list(zip(*sorted(rows))) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["doc_a", "doc_b", "jaccard", "shared"])
-
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, same, jaccard, shared): each id of a is paired with each of b, or if they are the same list with the later ones."""
-    rows, size = [], 0
-    for members, sizes, hits in _solved(batches):
-        count: dict[int, int] = {}
-        for m in members:
-            for i in m:
-                count[i] = count.get(i, 0) + 1
-        several = {i for i, n in count.items() if n > 1}  # ids with other texts of their own: their pairs could come twice
-        plain = [[i for i in m if i not in several] for m in members] if several else members
-        parts = [[m[k : k + BLOCK] for k in range(0, len(m), BLOCK)] for m in plain]
-        single: dict[tuple[int, int], tuple[float, int]] = {}
-        for x, y, share, both in chain(((k, k, 1.0, n) for k, n in enumerate(sizes)), hits):
-            units = combinations_with_replacement(parts[x], 2) if x == y else product(parts[x], parts[y])
-            for a, b in units:
-                if a is not b or len(a) > 1:
-                    rows.append((a, b, a is b, share, both))
-                    size += len(a) + len(b)
-                    if size > 200_000:
-                        yield _block_batch(rows)
-                        rows, size = [], 0
-            for m, other in ((members[x], members[y]), (members[y], members[x])) if several else ():
-                for i in several.intersection(m):
-                    for j in other:
-                        if i != j:
-                            key = min(i, j), max(i, j)
-                            single[key] = max(single.get(key, (0.0, 0)), (share, both))
-        for (i, j), (share, both) in single.items():
-            rows.append(([i], [j], False, share, both))
-            size += 2
-            if size > 200_000:
-                yield _block_batch(rows)
-                rows, size = [], 0
-    if rows:
-        yield _block_batch(rows)
 
 
-def _block_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_(), pa.float64(), pa.int64()
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["a", "b", "same", "jaccard", "shared"])
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(whole, links, root) of each set that is similar to another of its block pair: documents linked, and a set it is connected with.
 
-
-def links(docs: DataFrame) -> DataFrame:
-    """Edges (a, b) between documents that may be similar: steps 1 and 2."""
-    routed = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null").mapInArrow(_route, "path long, whole long, id long, n int, s1 long, s2 long")
-    sorted_ = routed.repartition("path").sortWithinPartitions("path", "whole", "n", "id")
-    return sorted_.mapInArrow(_link, "a long, b long").distinct()
-
-
-def _together(docs: DataFrame) -> DataFrame:
-    """(component, id, text) of linked documents, those of a component in one task and in order."""
-    members = checkpoint(components(links(docs)))
-    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    return own.join(small(members, 24), "id").select("component", "id", "text").repartition("component").sortWithinPartitions("component", "id")
-
-
-def pairs(docs: DataFrame) -> DataFrame:
-    """(doc_a, doc_b, jaccard, shared) with doc_a < doc_b; of identical sets, the least doc_id stands for all."""
-    return _together(docs).mapInArrow(_join, "doc_a long, doc_b long, jaccard double, shared long")
-
-
-def all_pairs(docs: DataFrame) -> DataFrame:
-    """(doc_a, doc_b, jaccard, shared) with doc_a < doc_b of every pair, those of identical sets and with each of them too.
-
-    Similarities are found once for distinct sets; lists of at most BLOCK ids on either side are spread over the tasks and
-    multiplied out there, so many copies neither fill a task's memory nor keep one task busy alone.
+    Rows (component, low, high, block, whole, n, copies, grams) come sorted by the first three; sets of block low meet those of high.
     """
-    blocks = _together(docs).mapInArrow(_blocks, "a array<long>, b array<long>, same boolean, jaccard double, shared long")
-    spread = blocks.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a", "b")
-    left = spread.select(F.explode("a").alias("x"), "b", "same", "jaccard", "shared")
-    both = left.select("x", F.explode("b").alias("y"), "same", "jaccard", "shared").where(~F.col("same") | (F.col("x") < F.col("y")))
-    return both.select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard", "shared")
+
+    def solved(rows: list[tuple]) -> pa.RecordBatch:
+        same = rows[0][1] == rows[0][2]
+        rows = rows if same else sorted(rows, key=lambda r: r[3] != r[1])
+        cut = len(rows) if same else sum(r[3] == r[1] for r in rows)
+        whole, copies = np.array([r[4] for r in rows], np.int64), np.array([r[6] for r in rows], np.int64)
+        n = np.array([r[5] for r in rows], np.int64)
+        sets = [np.frombuffer(r[7], X.U) for r in rows]
+        links, forest, label = np.zeros(len(rows), np.int64), Forest(len(rows)), []
+        if 0 < cut and (same or cut < len(rows)):
+            held = 0
+            for k, hit, _ in trie_join(sets, n) if same else trie_join(sets[:cut], n[:cut], sets[cut:], n[cut:]):
+                hit = hit if same else hit + cut
+                links[k] += copies[hit].sum()
+                if not same:
+                    links[hit] += copies[k]
+                label.append((k, hit))
+                held += len(hit)
+                if held > 1 << 20:
+                    forest.join(np.repeat([k for k, _ in label], [len(h) for _, h in label]), np.concatenate([h for _, h in label]))
+                    label, held = [], 0
+            if label:
+                forest.join(np.repeat([k for k, _ in label], [len(h) for _, h in label]), np.concatenate([h for _, h in label]))
+        hits = np.flatnonzero(links)
+        return pa.RecordBatch.from_arrays([pa.array(whole[hits]), pa.array(links[hits]), pa.array(whole[forest.roots()[hits]])], names=["whole", "links", "root"])
+
+    now, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:3] != now and rows:
+                yield solved(rows)
+                rows = []
+            now = row[:3]
+            rows.append(row)
+    if rows:
+        yield solved(rows)
+
+
+def _parts(df: DataFrame, amount: int, each: int) -> int:
+    """How many parts an amount makes, as many as there are shuffle partitions at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-amount // each))
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, dict[int, int]]:
+    """Documents (id, whole, n); classes (whole, n, rep, copies); and buckets with more than HEAVY occurrences."""
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
+    read = checkpoint(own.mapInArrow(_describe, "id long, whole long, n long"))
+    heavy = {r["whole"]: r["n"] for r in read.where("id is null").groupBy("whole").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY).collect()}  # 65,536 buckets at most
+    units = read.where("id is not null").distinct()
+    return units, checkpoint(units.groupBy("whole", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))), heavy
+
+
+def _candidates(docs: DataFrame, units: DataFrame, classes: DataFrame, heavy: dict[int, int]) -> DataFrame:
+    """(whole, n, grams, rank) of the classes that can have a partner: step 1."""
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    parts = _parts(docs, total, PART)
+    # texts whose class another document stands for aren't read again
+    known = units.join(classes.select("whole", "n", "rep"), ["whole", "n"]).groupBy(F.col("id").alias("copy_id")).agg(F.max(F.col("id") == F.col("rep")).alias("stands"))
+    gone = checkpoint(known.where(~F.col("stands")).select("copy_id"))
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null and text is not null")
+    own = own.join(small(gone, 16), F.col("id") == F.col("copy_id"), "left_anti").select("id", "text")
+    sent = own.mapInArrow(_scatter(parts, heavy, False), _BLOB).repartitionById(parts, "part").sortWithinPartitions("part")
+    back = sent.mapInArrow(_shared(parts), _BLOB)
+    if heavy:
+        back = back.unionAll(own.mapInArrow(_scatter(parts, heavy, True), _BLOB))
+    return checkpoint(back.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(_ordered, "whole long, n int, grams binary, rank binary"))
+
+
+def _connected(sets: DataFrame) -> DataFrame:
+    """(whole, component) of sets that step 2 connects."""
+    entries = sets.agg(F.sum(F.octet_length("grams") / 16)).first()[0] or 0
+    parts = _parts(sets, int(entries), PART // 4)
+    met = sets.mapInArrow(_meet(parts), _MEET).repartitionById(parts, "part").sortWithinPartitions("part")
+    return checkpoint(components(met.mapInArrow(_connect, "a long, b long"))).withColumnRenamed("id", "whole")
+
+
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, classes, and (whole, links, root) of step 3."""
+    units, classes, heavy = _classes(docs)
+    sets = _candidates(docs, units, classes, heavy)
+    members = _connected(sets)
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    several = checkpoint(sizes.where("blocks > 1"))
+    placed = members.join(small(several, 20), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("whole"), F.col("blocks")).cast("int"))
+    known = placed.join(classes.select("whole", "copies"), "whole")
+    rows = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "whole", "copies")
+    together = sets.select("whole", "n", "grams").join(rows, "whole").select("component", "low", "high", "block", "whole", "n", "copies", "grams")
+    keys = ["component", "low", "high"]
+    solved = together.repartition(_parts(docs, 0, 1), *keys).sortWithinPartitions(*keys).mapInArrow(_solve, "whole long, links long, root long")
+    return units, classes, checkpoint(solved)
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, copies, links) of every document: how many have its set, itself included, and how many others are linked with it."""
+    units, classes, solved = _joined(docs)
+    links = solved.groupBy("whole").agg(F.sum("links").alias("others"))
+    twice = units.where("n > 0").groupBy("id").agg(F.min("whole").alias("a"), F.max("whole").alias("b")).where("a <> b")
+    also = units.where("n > 0").join(twice, "id").where("whole <> a").select("whole", F.col("a").alias("root"))  # all texts of one doc_id
+    edges = solved.where("whole <> root").select("whole", "root").unionAll(also).select(F.col("whole").alias("a"), F.col("root").alias("b"))
+    member = checkpoint(components(edges).withColumnRenamed("id", "whole"))
+    words = classes.where("n > 0")
+    named = member.join(classes.select("whole", "rep"), "whole").groupBy("component").agg(F.min("rep").alias("class_id")).join(member, "component").select("whole", "class_id")
+    about = words.join(links, "whole", "left").join(named, "whole", "left").select("whole", F.coalesce("class_id", "rep").alias("class_id"), "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    empty = units.where("n = 0").select("id")
+    with_words = units.where("n > 0").select("id", "whole").join(about, "whole").select(F.col("id").alias("doc_id"), "class_id", "copies", "links")
+    return with_words.unionAll(empty.select("id", F.col("id").alias("class_id"), F.lit(1).cast("long"), F.lit(0).cast("long")))
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, group_id) of the documents that are in a pair; a group is linked by pairs, group_id its least doc_id."""
-    return components(pairs(docs).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))).select(F.col("id").alias("doc_id"), F.col("component").alias("group_id"))
+    """(doc_id, group_id) of documents in a group of more than one; group_id is the group's least doc_id."""
+    return linked(docs).groupBy("doc_id").agg(F.min("class_id").alias("group_id"), F.max("links").alias("links")).where("links > 0").select("doc_id", "group_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all their columns, without those of a group whose doc_id isn't its least.
 
-    Rows in no pair stay, such as those of null ids or texts; so do repeated rows of a doc_id that stays.
+    Rows linked with nothing stay, such as those of null ids or texts; so do repeated rows of a doc_id that stays.
     """
     gone = checkpoint(groups(docs).where("doc_id <> group_id").select(F.col("doc_id").alias("gone_id")))
     gone = small(gone, 16)
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")

@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import text as X
-from lodestone.llm.jaccard import signatures
 
 BITS = 22
 HEADS = (4, 5, 6)
@@ -36,6 +35,7 @@ MOST_TOXIC, MOST_CLEAN, MOST_FEATURES = 3000, 5000, 20000
 LEAST_Z, LEAST_TEXTS = 5.0, 5
 PENALTY, RIDGE = 4.0, 3e-3
 THRESHOLD = 0.5
+_KEYS = np.random.default_rng(10).integers(1, 1 << 62, (64, 2), dtype=np.int64).astype(X.U) * X.U(2) + X.U(1)
 
 #: Sets of terms of which one can stand for another in a sentence without changing how toxic it is.
 IDENTITY = (
@@ -157,10 +157,18 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], pairs: list[tuple[np.nda
 
 
 def paths(text: str) -> list[int]:
-    """What near copies of a text share at least one of: its subtrees in COPY_ORDERS orders of its n-grams."""
+    """What near copies of a text share at least one of: the two least of its n-grams in COPY_ORDERS orders."""
     _, _, words, of = next(X.hashes([text]))
-    sets, bounds = X.sets(words, of, 3)
-    return signatures(sets, bounds, COPY_ORDERS)[2][0].view(np.int64).tolist() if len(sets) else []
+    grams, _ = X.sets(words, of, 3)
+    out = []
+    for r in range(COPY_ORDERS if len(grams) else 0):
+        h = (grams ^ _KEYS[r, 0]) * _KEYS[r, 1]
+        h ^= h >> X.U(32)
+        h *= _KEYS[r, 0]
+        least = np.sort(np.partition(h, 1)[:2] if len(h) > 1 else np.append(h, ~X.U(0)))
+        mixed = X.mix(least[:1] + X.mix(least[1:]))
+        out.append(int((((mixed >> X.U(8)) << X.U(8)) | X.U(r)).view(np.int64)[0]))
+    return out
 
 
 def unlike(rows: list[list[int]]) -> list[int]:
