@@ -1,8 +1,9 @@
 """Chat formatting: turns of a conversation, collected, sorted, merged and concatenated by Spark expressions alone.
 
-The turns of a conversation are collected as structs and sorted by (turn, role, text). Adjacent turns of one role become
-one, their texts joined by a line break. The result is one string for each conversation: ``<|role|>``, a line break, the text,
-``<|end|>`` and a line break for each merged turn. One shuffle, on conv_id; the work for a conversation is linear in it.
+The turns of a conversation are collected as structs and sorted by (turn, role, text); equal ones are then neighbours, of which the
+first stays. Adjacent turns of one role become one, their texts joined by a line break. The result is one string for each conversation: ``<|role|>``, a line break, the text,
+``<|end|>`` and a line break for each merged turn. One shuffle, on conv_id; beside the sort, the work for a conversation is linear in it.
+A conversation becomes one string, so its turns are in one task.
 
 Defined results: rows with a null conv_id belong to no conversation and are left out. A null turn sorts after all others. A
 null role is ``unknown``; roles are trimmed and lower-cased. Null texts and texts of white space only add nothing, and a
@@ -21,7 +22,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
     said = turns.where(F.col("conv_id").isNotNull() & (F.trim(F.regexp_replace("text", r"\s+", " ")) != "")).select(
         "conv_id", F.struct(F.col("turn").isNull().alias("last"), F.col("turn").alias("turn"), F.coalesce(F.lower(F.trim("role")), F.lit("unknown")).alias("role"), F.col("text").alias("text")).alias("t")
     )
-    one = said.groupBy("conv_id").agg(F.array_sort(F.array_distinct(F.collect_list("t"))).alias("t"))
+    sorted_ = said.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("s"))
+    # array_distinct would compare each struct with all others
+    one = sorted_.select("conv_id", F.filter("s", lambda x, i: (i == 0) | ~x.eqNullSafe(F.get("s", F.greatest(i - 1, F.lit(0))))).alias("t"))
     n = F.size("t")
     # places, from 1, at which a run of one role begins
     begins = one.withColumn("b", F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at("t", i)["role"] != F.element_at("t", F.greatest(i - 1, F.lit(1)))["role"])))

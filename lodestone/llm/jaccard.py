@@ -567,3 +567,24 @@ def keep_one(docs: DataFrame) -> DataFrame:
     gone = checkpoint(groups(docs).where("doc_id <> group_id").select(F.col("doc_id").alias("gone_id")))
     gone = small(gone, 16)
     return docs.join(gone, docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+
+
+#: The definition, by all n-grams that two classes have in common.
+SQL = rf"""
+with recursive said as (select distinct doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') as w from documents where doc_id is not null),
+units as (select distinct doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < {N} then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - {N} + 2), lambda i: array_to_string(w[i:i + {N - 1}], ' ')) end)) as s from said),
+classes as (select row_number() over () as c, * from (select s, len(s) as n, min(doc_id) as rep, count(*) as copies from units where len(s) > 0 group by s)),
+grams as materialized (select c, unnest(s) as g from classes),
+common as (select x.c as a, y.c as b, count(*) as o from grams x join grams y on x.g = y.g and x.c < y.c group by 1, 2),
+near as (select a, b from common join classes x on x.c = a join classes y on y.c = b where o >= {THRESHOLD} * (x.n + y.n - o) - 1e-9),
+links as (select a, b from near union all select b, a from near),
+own as (select doc_id, c from units join classes using (s)),
+steps as (select a, b from links union select x.c, y.c from own x join own y on x.doc_id = y.doc_id),
+reach as (select c, c as r from classes union select reach.c, b from reach join steps on r = a),
+named as (select reach.c, min(k.rep) as class_id from reach join classes k on k.c = r group by reach.c),
+others as (select a as c, sum(copies) as others from links join classes on c = b group by a)
+select doc_id, class_id, copies, cast(copies - 1 + coalesce(others, 0) as bigint) as links
+from own join classes using (c) join named using (c) left join others using (c)
+union all select doc_id, doc_id, 1, 0 from units where len(s) = 0
+"""

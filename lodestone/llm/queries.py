@@ -60,4 +60,4 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_decontamination, op2_chat_formatting, op3_warc, op4_toxicity, op5_license_scan, op6_media_columns, op7_sharding, op8_url_filters, op9_bpe, op10_ngram_jaccard_join)
 }
-ORACLE: dict[str, str] = {"op2_chat_formatting": chat.SQL, "op3_warc": warc.SQL, "op7_sharding": shards.SQL}
+ORACLE: dict[str, str] = {"op2_chat_formatting": chat.SQL, "op3_warc": warc.SQL, "op7_sharding": shards.SQL, "op10_ngram_jaccard_join": jaccard.SQL}

@@ -34,3 +34,13 @@ def test_odd_rows(spark):
     assert got(df) == brute(rows)
     assert got(df)[1][:3] == (4, 2, "user,assistant") and 3 not in got(df)
     assert got(df.limit(0)) == {}
+
+
+def test_a_conversation_of_very_many_turns(spark):
+    import time
+
+    df = spark.range(200_000, numPartitions=8).selectExpr("1 as conv_id", "id as turn", "if(id % 3 = 0, 'user', 'assistant') as role", "concat('text ', id) as text")
+    start = time.time()
+    row = chat.format_chats(df.unionAll(df)).first()
+    assert row["n_turns"] == 200_000 and row["n_merged"] == 133_334 and row["chat"].startswith("<|user|>\ntext 0<|end|>\n<|assistant|>\ntext 1\ntext 2<|end|>")
+    assert time.time() - start < 30

@@ -1,11 +1,13 @@
 import re
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard as J
+from lodestone.llm import queries
 from lodestone.llm.components import components
 
 
@@ -14,144 +16,152 @@ def grams(text):
     return frozenset(tuple(ws[k : k + J.N]) for k in range(max(1, len(ws) - J.N + 1))) if ws else frozenset()
 
 
-def brute(rows):
-    """All pairs by definition: of identical sets, the least doc_id stands for all."""
-    lead = {}
-    for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
-        if grams(t):
-            lead.setdefault(grams(t), []).append(i)
-    out = {(ids[0], i): 1.0 for ids in lead.values() for i in ids[1:] if i != ids[0]}
-    for (s, a), (t, b) in combinations(lead.items(), 2):
-        both = len(s & t)
-        if both >= J.THRESHOLD * (len(s) + len(t) - both) - 1e-9 and a[0] != b[0]:
-            out[min(a[0], b[0]), max(a[0], b[0])] = round(both / (len(s) + len(t) - both), 6)
+def every(rows):
+    """All pairs of places in rows by definition."""
+    sets = [grams(t) for _, t in rows]
+    out = []
+    for (x, s), (y, t) in combinations(enumerate(sets), 2):
+        if s and t and min(len(s), len(t)) >= J.THRESHOLD * max(len(s), len(t)) and not s.isdisjoint(t):
+            both = len(s & t)
+            if both >= J.THRESHOLD * (len(s) + len(t) - both) - 1e-9:
+                out.append((x, y))
     return out
 
 
-@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
-def test_brute_force(spark, size):
-    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
-    want = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in J.pairs(docs).collect()}
-    assert all(want.get(k) == v for k, v in got.items())
-    assert len(got) >= 0.98 * len(want) and want
-
-
-def test_near_copies_of_every_degree(spark):
+def brute(rows):
+    """Rows (doc_id, class_id, copies, links) by definition."""
+    units = list({(i, grams(t)): (i, t) for i, t in rows if i is not None}.values())
+    sets = [grams(t) for _, t in units]
+    root = list(range(len(units)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = [0] * len(units)
+    for x, y in every(units):
+        links[x] += 1
+        links[y] += 1
+        a, b = sorted((find(x), find(y)))
+        root[b] = a
+    for (x, (i, _)), (y, (j, _)) in combinations(enumerate(units), 2):
+        if i == j and sets[x] and sets[y]:
+            a, b = sorted((find(x), find(y)))
+            root[b] = a
+    least = {}
+    for x, (i, _) in enumerate(units):
+        least[find(x)] = min(i, least.get(find(x), i))
+    return sorted((i, least[find(x)], sum(s == sets[x] for s in sets) if sets[x] else 1, links[x]) for x, (i, _) in enumerate(units))
+
+
+def got(docs):
+    df = J.linked(docs)
+    assert df.columns == ["doc_id", "class_id", "copies", "links"]
+    return sorted(tuple(r) for r in df.collect())
+
+
+def near_copies(groups=60, words=200):
     rng = np.random.default_rng(4)
     rows = []
-    for k in range(120):
-        ws = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+    for k in range(groups):
+        ws = [f"w{x}" for x in rng.integers(0, 5000, words)]
         rows.append((2 * k, " ".join(ws)))
-        for at in rng.choice(200, k % 12, replace=False):
+        for at in rng.choice(words, k % 31, replace=False):
             ws[at] = f"x{at}"
         rows.append((2 * k + 1, " ".join(ws)))
     shared = " ".join(f"s{x}" for x in range(80))  # a passage that many otherwise different documents share
-    rows += [(1000 + k, shared + " " + " ".join(f"y{x}" for x in rng.integers(0, 9000, 200))) for k in range(60)]
+    rows += [(1000 + k, shared + " " + " ".join(f"y{x}" for x in rng.integers(0, 9000, 20 + 3 * k))) for k in range(60)]
+    base = [f"b{x}" for x in range(60)]  # a chain: many different texts of one origin
+    for k in range(80):
+        base = list(base)
+        base[int(rng.integers(60))] = f"c{k}"
+        rows.append((2000 + k, " ".join(base)))
+    return rows + [(3000, rows[7][1]), (3001, rows[7][1]), (3002, rows[7][1])]
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_brute_force(spark, size):
+    docs = spark.read.parquet(f"/root/testdata/{size}/documents.parquet")
+    assert got(docs) == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+
+
+def test_near_copies_of_every_degree(spark):
+    rows = near_copies()
+    want = brute(rows)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == want
+    assert sum(r[3] for r in want) > 500
+
+
+def test_hot_values_and_blocks_change_nothing(spark, monkeypatch):
+    rows = near_copies()
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want, got = brute(rows), {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in J.pairs(docs).collect()}
-    assert got.items() <= want.items() and len(got) >= 0.95 * len(want) and len(want) > 90
+    want = brute(rows)
+    for name, value in (("HEAVY", 20), ("GROUP", 8), ("BLOCK", 16), ("PART", 3000)):
+        monkeypatch.setattr(J, name, value)
+    assert got(docs) == want
+    monkeypatch.setattr(J, "HEAVY", 0)
+    assert got(docs) == want
+
+
+def test_many_leaders_in_one_place(spark):
+    """Similar sets each of which is also like another: more of them than any small group, so none may be left out."""
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(80):  # w is similar to x, and both share less with a third
+        a, b, c = (" ".join(f"{p}{x}" for x in rng.integers(0, 400, 30)) for p in "abc")
+        rows += [(10 * k, f"z {a} {b}"), (10 * k + 1, f"z {b} {c}"), (10 * k + 2, f"z {a} {b} {c}"), (10 * k + 3, f"z {c} {a}")]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
 def test_trie_join():
     rng = np.random.default_rng(9)
     for _ in range(40):
         sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30)).astype(np.uint64)) for _ in range(20)]
-        want = {(i, j, len(np.intersect1d(a, b))) for (i, a), (j, b) in combinations(enumerate(sets), 2) if (n := len(np.intersect1d(a, b))) >= 0.5 * (len(a) + len(b) - n)}
-        assert {(min(i, j), max(i, j), n) for i, j, n in J.trie_join(sets)} == want
+        size = np.array([len(s) + int(rng.integers(0, 3)) for s in sets])
+        want = {(i, j, n) for i in range(20) for j in range(20) if i != j and (n := len(np.intersect1d(sets[i], sets[j]))) >= 0.5 * (size[i] + size[j] - n)}
+        assert {(i, int(j), int(n)) for i, js, ns in J.trie_join(sets, size) for j, n in zip(js, ns)} == want
+        across = {(i, j - 8, n) for i, j, n in want if i < 8 <= j}
+        assert {(i, int(j), int(n)) for i, js, ns in J.trie_join(sets[:8], size[:8], sets[8:], size[8:]) for j, n in zip(js, ns)} == across
+
+
+def test_bounds_never_exclude_a_similar_pair():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        base = rng.integers(0, 1 << 62, 400, dtype=np.int64).astype(np.uint64)
+        sets = [np.unique(np.concatenate((base[: (a := int(rng.integers(5, 400)))], rng.integers(0, 1 << 62, int(rng.integers(1, 100)), dtype=np.int64).astype(np.uint64)))) for _ in range(20)]
+        n = np.array([len(s) for s in sets])
+        maps = [J.bitmap(s) for s in sets]
+        met = J.Met(n, n, np.array([len(m) for m in maps]), np.concatenate(maps))
+        x, y = np.triu_indices(20, 1)
+        both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(x, y)])
+        similar = both >= 0.5 * (n[x] + n[y] - both)
+        assert similar.any() and met.may(x, y)[similar].all()
 
 
 def test_odd_rows(spark):
     t = " ".join(f"w{k}" for k in range(50))
     long = " ".join(f"v{k % 977}x{k % 1013}" for k in range(300_000))
-    rows = [(1, t), (1, t), (2, t), (None, t), (3, None), (4, ""), (5, "?!"), (6, ""), (7, long), (8, long + " end"), (9, "Hi."), (10, "hi")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "component", "path", "gone_id", "group_id", "a", "b")})
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in J.pairs(docs).collect()}
-    assert got == brute(rows) and set(got) == {(1, 2), (7, 8), (9, 10)}
+    rows = [(1, t), (1, t), (2, t), (None, t), (3, None), (4, ""), (5, "?!"), (6, ""), (7, long), (8, long + " end"), (9, "Hi."), (10, "hi"), (11, "a b c"), (12, "a b c d"), (6, t + " more"), (6, "other words of it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("id", "component", "part", "whole", "gone_id", "class_id", "copy_id", "a", "b", "n", "rep", "links")})
+    assert got(docs) == brute(rows)
     kept = J.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 1, 3, 4, 5, 6, 7, 9]
-    assert J.pairs(docs.limit(0)).count() == 0 and J.keep_one(docs.limit(0)).count() == 0
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 1, 3, 4, 5, 7, 9, 11]
+    assert J.linked(docs.limit(0)).count() == 0 and J.keep_one(docs.limit(0)).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1 << 20])
+def test_components(spark, one_task):
     edges = [(k, k + 1) for k in range(40)] + [(100, 102), (102, 101), (101, 100), (5, 5), (100, 102)]
-    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100}
-
-
-def test_subtrees_larger_than_the_buffer(monkeypatch):
-    import pyarrow as pa
-
-    rng = np.random.default_rng(8)
-    whole = np.sort(rng.integers(0, 40, 600))
-    path = np.repeat([256, 512], 300)  # of order 0: copies are linked there
-    rows = sorted(zip(path.tolist(), whole.tolist(), [200 + int(w) % 3 for w in whole], range(600)))
-    p, w, n, i = (np.array(c, np.int64) for c in zip(*rows))
-    sketch = np.array([hash((int(x), 1)) for x in w], np.int64)
-    batch = pa.RecordBatch.from_arrays([pa.array(p), pa.array(w), pa.array(i), pa.array(n.astype(np.int32)), pa.array(sketch), pa.array(sketch)], names=["path", "whole", "id", "n", "s1", "s2"])
-
-    def linked(size):
-        monkeypatch.setattr(J, "HELD", size)
-        group = {}
-
-        def root(x):
-            while group.setdefault(x, x) != x:
-                x = group[x]
-            return x
+    found = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()}
+    assert found == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100}
 
-        for out in J._link(batch.slice(k, 7) for k in range(0, 600, 7)):
-            for a, b in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
-                x, y = sorted((root(a), root(b)))
-                group[y] = x
-        return {x: root(x) for x in range(600)}
 
-    assert linked(20) == linked(10**6)
-
-
-def every(rows):
-    """All pairs by definition, of every two documents; of several texts of a document the most similar counts."""
-    out = {}
-    for (i, t), (j, u) in combinations([(i, grams(t)) for i, t in rows if i is not None and grams(t)], 2):
-        if i == j or min(len(t), len(u)) < J.THRESHOLD * max(len(t), len(u)) or t.isdisjoint(u):
-            continue
-        both = len(t & u)
-        if both >= J.THRESHOLD * (len(t) + len(u) - both) - 1e-9:
-            out[min(i, j), max(i, j)] = max(out.get((min(i, j), max(i, j)), 0), round(both / (len(t) + len(u) - both), 6))
-    return out
-
-
-def all_got(df):
-    rows = df.collect()
-    got = {(r["doc_a"], r["doc_b"]): r["jaccard"] for r in rows}
-    assert len(got) == len(rows) and all(a < b for a, b in got)
-    return got
-
-
-def test_copies_are_in_every_pair(spark, monkeypatch):
-    t = " ".join(f"w{k}" for k in range(60))
-    near = t + " x1 x2"
-    rows = [(5, t), (6, t), (7, t), (8, near), (7, t), (20, near + " x3"), (21, near + " x3"), (3, "other words here"), (4, "other words here"), (4, t), (4, near), (None, t), (9, None), (10, "")]
-    rows += [(100 + k, " ".join(f"c{x}" for x in range(40))) for k in range(23)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want = every(rows)
-    assert {(6, 7), (6, 8), (7, 8), (3, 4), (101, 122)} <= set(want)
-    assert all_got(J.all_pairs(docs)) == want
-    assert J.all_pairs(docs.limit(0)).count() == 0
-    ids = sorted((i, t) for i, t in rows if i is not None and t)
-    import pyarrow as pa
-
-    monkeypatch.setattr(J, "BLOCK", 4)  # lists longer than a block
-    batch = pa.RecordBatch.from_arrays([pa.array([0] * len(ids)), pa.array([i for i, _ in ids]), pa.array([t for _, t in ids])], names=["component", "id", "text"])
-    got = [(min(x, y), max(x, y)) for out in J._blocks([batch]) for r in out.to_pylist() for x in r["a"] for y in r["b"] if not r["same"] or x < y]
-    assert len(got) == len(set(got)) and set(got) == set(want)
-
-
-def test_query_returns_every_pair_of_copies(spark):
-    from lodestone.llm import queries
-
-    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
-    got = all_got(queries.op10_ngram_jaccard_join(spark, "/root/testdata/sf0.01"))
-    want = every(rows)
-    assert got.items() <= want.items() and len(got) >= 0.98 * len(want)
-    assert all(k in got for k, v in want.items() if v == 1.0)
+def test_sql(spark, tmp_path):
+    c = duckdb.connect()
+    rows = [(i, t) for i, t in near_copies(20)] + [(5, "a b"), (6, "a b"), (7, ""), (8, None), (9, "a b"), (9, "Other words, here: x")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(c.execute(J.SQL).fetchall())
+    assert sorted(tuple(r) for r in queries.op10_ngram_jaccard_join(spark, str(tmp_path)).collect()) == want == brute(rows)

@@ -7,7 +7,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     from test_bpe import PATTERN
     from test_decontaminate import brute as leaks
     from test_decontaminate import words
-    from test_jaccard import brute as pairs
+    from test_jaccard import every
 
     import base64
 
@@ -26,8 +26,8 @@ def test_stages_against_brute_force(spark, tmp_path):
             i = group[i]
         return i
 
-    for a, b in pairs(rows):
-        x, y = sorted((root(a), root(b)))
+    for a, b in every(rows):
+        x, y = sorted((root(rows[a][0]), root(rows[b][0])))
         group[y] = x
     rows = [(i, t) for i, t in rows if root(i) == i]
     items = [t for _, t in sorted((r["item_id"], r["text"]) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect())]

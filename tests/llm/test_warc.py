@@ -46,3 +46,40 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.warc.gz").write_bytes(W.to_bytes(one[1:], compressed=True))
     got = rows(W.reassemble(W.read(spark, str(tmp_path))))
     assert {k: v[2:] for k, v in got.items()} == {"p": ("ok", b"x" * 5000), "q": ("ok", b"y" * 100)}
+
+
+def test_damaged_files(spark, tmp_path):
+    one, two = W.segments("p", "x" * 5000), W.segments("q", "y" * 100)
+    whole = W.to_bytes([*one, *two])
+    (tmp_path / "zeros.warc.gz").write_bytes(W.to_bytes([*one, *two], compressed=True) + bytes(5000))
+    assert {k: v[2] for k, v in rows(W.reassemble(W.read(spark, str(tmp_path)))).items()} == {"p": "ok", "q": "ok"}
+
+    def read(data, name="a.warc"):
+        for f in tmp_path.iterdir():
+            f.unlink()
+        (tmp_path / name).write_bytes(data)
+        return {k.rsplit("/")[-1]: v[2:] for k, v in rows(W.reassemble(W.read(spark, str(tmp_path)))).items()}
+
+    assert read(whole[:-60]) == {"p": ("ok", b"x" * 5000), "q": ("damaged", None)}  # cut off by the end of the file
+    at = whole.index(b"Content-Length: ", 100) + 16
+    assert {k: v[0] for k, v in read(whole[:at] + b"x" + whole[at + 1 :]).items()} == {"p": "damaged", "q": "ok"}
+    assert {k: v[0] for k, v in read(whole.replace(b"Segment-Number: 2", b"Segment-Number: z")).items()} == {"p": "damaged", "q": "ok"}
+    packed = W.to_bytes([*two, *one], compressed=True)
+    assert set(v[0] for v in read(packed[:-20], "a.warc.gz").values()) == {"ok", "damaged"}
+    assert read(packed + b"garbage", "a.warc.gz")["q"][0] == "ok"
+    middle = len(packed) // 2
+    got = read(packed[:middle] + b"!!!!" + packed[middle + 4 :], "a.warc.gz")
+    assert got["q"] == ("ok", b"y" * 100) and "damaged" in {v[0] for v in got.values()}
+    assert read(b"") == {} and read(b"no records here") == {}
+    assert [v[0] for v in read(b"WARC/1.0\r\nWARC-Type: response").values()] == ["damaged"]
+
+
+def test_streams_of_any_block_size(monkeypatch):
+    import io
+
+    records = [r for name in "abc" for r in W.segments(name, name * 7000)]
+    want = [(*r, False) for r in records]
+    for size in (1, 7, 1000, 1 << 20):
+        monkeypatch.setattr(W, "READ_BYTES", size)
+        for compressed in (False, True):
+            assert list(W.parse(io.BytesIO(W.to_bytes(records, compressed)))) == want
