@@ -1,10 +1,13 @@
 import re
+import sys
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
 from lodestone.llm import urls as U
 
+sys.setrecursionlimit(20_000)
+
 
 def shape(s):
     s = s.lower()
@@ -27,7 +30,7 @@ def brute(pages, labels):
         m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)([^?#]*)", u or "")
         host = re.sub(r"^www\.", "", re.sub(r":.*", "", m[1].rpartition("@")[2]).lower()) if m else ""
         segments = [s for s in m[2].split("/") if s] if m and host else []
-        rows.append((i, host, [shape(s) for s in (segments if len(segments) <= U.LEVELS else [*segments[: U.LEVELS - 1], "/".join(segments[U.LEVELS - 1 :])])]))
+        rows.append((i, host, [shape(s) for s in segments]))
     for d in range(max((len(p) for *_, p in rows), default=0)):
         count = defaultdict(Counter)
         for _, h, p in rows:
@@ -119,10 +122,25 @@ def test_odd_rows(spark):
     assert got(pages, labels.limit(0)) == brute(rows, []) and got(pages.limit(0), labels) == []
 
 
+def test_deep_paths(spark, monkeypatch):
+    deep = "/".join(f"d{k}" for k in range(30))
+    rows = [(k, f"http://h.example/{deep}/{'abc'[k % 3]}/x-{k}-y/{deep}") for k in range(60)] + [(100 + k, f"http://h.example/{deep}/spam/p{k % 3}") for k in range(40)]
+    marks = [(k, 1) for k in range(50)] + [(100 + k, 0) for k in range(40)]
+    pages, labels = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(marks, "page_id long, good int")
+    want = brute(rows, marks)
+    assert got(pages, labels) == want and {r[2] for r in want} == {f"/{deep}/(a|b|c)/*/{deep}", f"/{deep}/spam/(p0|p1|p2)"}
+    shallow = [(k, f"http://h.example/a/{'bcd'[k % 3]}/{k % 7}x/e{k % 2}") for k in range(70)] + rows[:20]
+    pages = spark.createDataFrame(shallow, "page_id long, url string")
+    want = brute(shallow, marks)
+    for rounds in (1, 2, 12):
+        monkeypatch.setattr(U, "ROUNDS", rounds)
+        assert got(pages, labels) == want
+
+
 def test_branches_without_labels_beside_groups_that_differ():
     path = lambda s: (s, "{n}")
     rows = [(path("spam"), 0.0, 60.0), (path("blog"), 60.0, 0.0), (path("docs"), 0.0, 0.0), (path("help"), 0.0, 0.0)]
     got = U.merge_tree(rows)
-    assert got == {path("spam"): "/spam/{n}", path("blog"): "/blog/{n}", path("docs"): "/(docs|help)/{n}", path("help"): "/(docs|help)/{n}"}
-    assert set(U.merge_tree(rows[1:]).values()) == {"/(blog|docs|help)/{n}"}  # one labelled group
-    assert set(U.merge_tree(rows[2:]).values()) == {"/(docs|help)/{n}"}
+    assert got == {path("spam"): "spam/{n}/", path("blog"): "blog/{n}/", path("docs"): "(docs|help)/{n}/", path("help"): "(docs|help)/{n}/"}
+    assert set(U.merge_tree(rows[1:]).values()) == {"(blog|docs|help)/{n}/"}  # one labelled group
+    assert set(U.merge_tree(rows[2:]).values()) == {"(docs|help)/{n}/"}
