@@ -9,7 +9,8 @@ if their sets have a Jaccard similarity of at least ``threshold``. Identical set
 2. Prefixes: of two similar sets, each has one of its first n - ceil(threshold × n) + 1 n-grams in common with the other. Sets
    meet at the n-grams of their prefixes, where three bounds that never exclude a similar pair are taken: by length, by place (what
    may follow the first common n-gram), and by a bitmap of the set's shared n-grams (a bit that the other lacks is an n-gram
-   that the other lacks). Pairs that pass them connect sets; pairs of sets that are connected already needn't be compared.
+   that the other lacks). Pairs that pass them connect sets; pairs of sets that are connected already needn't be compared. So sets meet
+   at FIRST n-grams each, and then at those of all where sets meet that aren't connected.
 3. Connected sets come together. They go into one prefix tree, frequent n-grams first, so that near copies share long paths. One
    traversal carries the overlaps with all sets at once; a subtree is left as soon as no set can reach the threshold with
    what remains below it. More than BLOCK connected sets are joined block by block in different tasks.
@@ -24,7 +25,8 @@ Defined results: a row for each document, that is for each different set of a no
 further texts of a doc_id with the same set, count once; a doc_id with texts of different sets has a row for each. Documents
 that are linked directly or through others, and all texts with words of a doc_id, have one class_id, the least doc_id among them.
 Null and empty texts, and texts without words, are linked with nothing and have their own doc_id as class_id. Rows of a null doc_id have no row (``keep_one`` keeps them).
-Empty tables give no rows. Further columns are ignored by ``linked`` and kept by ``keep_one``. Sets are told apart by hashes of 64 bits.
+Empty tables give no rows. Further columns are ignored by ``linked`` and kept by ``keep_one``. Sets are told apart by hashes of 64
+bits, n-grams by 48 at least.
 """
 
 from __future__ import annotations
@@ -44,8 +46,8 @@ N, THRESHOLD = 3, 0.5
 #: n-grams in a part, of which a task holds one at a time; occurrences of a bucket that aren't sent to one part; classes that meet at one
 #: n-gram in one place; connected sets in one block.
 PART, HEAVY, GROUP, BLOCK = 4_000_000, 1_000_000, 1 << 16, 4096
-#: n-grams that a task collects before it sends them on.
-SENT = 1 << 20
+#: n-grams that a task collects before it sends them on; keys at which sets meet first.
+SENT, FIRST = 1 << 20, 8
 #: Pairs that are compared at once.
 PAIRS = 1 << 19
 _EPS = 1e-9
@@ -84,27 +86,40 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.nulls(len(crowded), pa.int64()), pa.array(crowded), pa.array(counts[crowded])], names=["id", "whole", "n"])
 
 
-_BLOB = "part int, whole binary, n binary, held binary, grams binary, rank binary"
-
-
-def _blob(part: int, whole: np.ndarray, n: np.ndarray, held: np.ndarray, grams: np.ndarray, rank: np.ndarray) -> tuple:
-    return part, *_bytes(whole, n.astype(np.int32), held.astype(np.int32), grams, rank)
+#: Pieces of sets: of each set (whole) how many n-grams are held here, and these by so many low bytes.
+_BLOB = "part int, whole binary, held binary, grams binary, rank binary, sizes binary"
+#: Up to so many parts, six bytes of an n-gram and its part stand for it.
+_NARROW = 1 << 16
 
 
 def _blobs(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int32(), *[pa.binary()] * 5)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "whole", "n", "held", "grams", "rank"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["part", "whole", "held", "grams", "rank", "sizes"])
+
+
+def _packed(grams: np.ndarray, parts: int) -> bytes:
+    return grams.tobytes() if parts > _NARROW else np.ascontiguousarray(grams.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(data: bytes, parts: int) -> np.ndarray:
+    if parts > _NARROW:
+        return np.frombuffer(data, X.U)
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(X.U).ravel()
 
 
-def _spread(part: np.ndarray, doc: np.ndarray, whole: np.ndarray, n: np.ndarray, grams: np.ndarray, rank: np.ndarray) -> Iterator[tuple]:
-    """Blobs by part of n-grams that stand in the order of their documents."""
+def _spread(part: np.ndarray, doc: np.ndarray, whole: np.ndarray, grams: np.ndarray, rank: np.ndarray, pack) -> Iterator[tuple]:
+    """Blobs by part of n-grams that stand in the order of their documents; pack makes bytes of n-grams."""
     order = np.argsort(part, kind="stable")
     part, doc, grams, rank = part[order], doc[order], grams[order], rank[order] if len(rank) else rank
     begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else []
     for a, b in zip(begin, [*begin[1:], len(part)]):
-        new = np.flatnonzero(np.concatenate(([True], doc[a + 1 : b] != doc[a : b - 1])))
-        docs = doc[a:b][new]
-        yield _blob(int(part[a]), whole[docs], n[docs], np.diff(np.append(new, b - a)), grams[a:b], rank[a:b])
+        run = np.arange(b - a)
+        new = np.concatenate(([True], doc[a + 1 : b] != doc[a : b - 1]))
+        run -= np.maximum.accumulate(np.where(new, run, 0))
+        new = np.flatnonzero(new | (run % 60_000 == 0))  # a piece's count takes two bytes
+        yield int(part[a]), whole[doc[a:b][new]].tobytes(), np.diff(np.append(new, b - a)).astype(np.uint16).tobytes(), pack(grams[a:b]), rank[a:b].tobytes(), b""
 
 
 def _scatter(parts: int, heavy: dict[int, int], only_heavy: bool):
@@ -122,7 +137,11 @@ def _scatter(parts: int, heavy: dict[int, int], only_heavy: bool):
             rank = ranks[(grams >> X.U(48)).astype(np.int64)]
             use = (rank >= 0) == only_heavy
             doc, grams, rank = doc[use], grams[use], rank[use].astype(np.uint8)
-            rows = list(_spread(_part(whole[doc] if only_heavy else grams, parts), doc, whole, sizes, grams, rank if only_heavy else rank[:0]))
+            own = _part(grams, parts)
+            if only_heavy:
+                rows = list(_spread(_part(whole[doc], parts), doc, whole, _known(grams, own, parts), rank, lambda g: g.tobytes()))
+            else:
+                rows = list(_spread(own, doc, whole, grams, rank[:0], lambda g: _packed(g, parts)))
             return _blobs(rows) if rows else None
 
         size = 0
@@ -139,15 +158,36 @@ def _scatter(parts: int, heavy: dict[int, int], only_heavy: bool):
     return run
 
 
+def _known(grams: np.ndarray, part: np.ndarray | int, parts: int) -> np.ndarray:
+    """The numbers that stand for n-grams of a part."""
+    return grams if parts > _NARROW else (grams & X.U((1 << 48) - 1)) | (np.asarray(part).astype(X.U) << X.U(48))
+
+
+def _sizes(parts: int):
+    """Sends (whole, n) of the classes to the parts of their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, n = batch.column(0).to_numpy().view(X.U), batch.column(1).to_numpy().astype(np.int64)
+            part = _part(whole, parts)
+            order = np.argsort(part, kind="stable")
+            begin = np.flatnonzero(np.concatenate(([True], part[order][1:] != part[order][:-1]))) if len(part) else []
+            rows = [(int(part[order[a]]), b"", b"", b"", b"", np.stack((whole[order[a:b]].view(np.int64), n[order[a:b]]), axis=1).tobytes()) for a, b in zip(begin, [*begin[1:], len(part)])]
+            if rows:
+                yield _blobs(rows)
+
+    return run
+
+
 def _rank(df: np.ndarray) -> np.ndarray:
     """A rank below 256 that grows with a count, eight for each doubling."""
     return np.minimum(255, np.round(8 * np.log2(df))).astype(np.uint8)
 
 
-def _read(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(whole, n, doc, n-grams, rank) of a part's blobs; doc numbers its rows of (text, blob)."""
-    whole, n, held, grams, rank = (np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in ((1, X.U), (2, np.int32), (3, np.int32), (4, X.U), (5, np.uint8)))
-    return whole, n, np.repeat(np.arange(len(whole)), held), grams, rank
+def _read(rows: list[tuple], unpack) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(whole, piece, n-grams, rank) of a part's blobs; piece numbers the pieces."""
+    whole, held, rank = (np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in ((1, X.U), (2, np.uint16), (4, np.uint8)))
+    return whole, np.repeat(np.arange(len(whole)), held), unpack(b"".join(r[3] for r in rows)), rank
 
 
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -169,11 +209,11 @@ def _shared(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_part(batches):
-            whole, n, doc, grams, _ = _read(rows)
+            whole, piece, grams, _ = _read(rows, lambda data: _unpacked(data, parts))
             order = np.argsort(grams, kind="stable")
             new = np.concatenate(([True], grams[order[1:]] != grams[order[:-1]]))
             begin = np.flatnonzero(new)
-            own = whole[doc[order]]
+            own = whole[piece[order]]
             many = np.minimum.reduceat(own, begin) != np.maximum.reduceat(own, begin)
             df = np.diff(np.append(begin, len(order)))
             of = np.cumsum(new) - 1
@@ -181,7 +221,8 @@ def _shared(parts: int):
             keep = np.empty(len(order), bool)
             rank[order], keep[order] = _rank(df)[of], many[of]
             if keep.any():
-                yield _blobs(list(_spread(_part(whole[doc[keep]], parts), doc[keep], whole, n, grams[keep], rank[keep])))
+                piece, grams = piece[keep], _known(grams[keep], rows[0][0], parts)
+                yield _blobs(list(_spread(_part(whole[piece], parts), piece, whole, grams, rank[keep], lambda g: g.tobytes())))
 
     return run
 
@@ -194,20 +235,25 @@ def _least(n: np.ndarray) -> np.ndarray:
 def _ordered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(whole, n, grams, rank): sets that can have a partner, with their shared n-grams in the global order."""
     for rows in _by_part(batches):
-        whole, n, doc, grams, rank = _read(rows)
-        own = whole[doc]
+        whole, piece, grams, rank = _read(rows, lambda data: np.frombuffer(data, X.U))
+        sizes = np.frombuffer(b"".join(r[5] for r in rows), np.int64).reshape(-1, 2)
+        if not len(grams):
+            continue
+        own = whole[piece]
         order = np.lexsort((grams, rank, own))
-        own, grams, rank, size = own[order], grams[order], rank[order], n[doc[order]]
+        own, grams, rank = own[order], grams[order], rank[order]
         new = np.concatenate(([True], own[1:] != own[:-1]))
         keep = new | np.concatenate(([True], grams[1:] != grams[:-1]))  # a set that was sent twice counts once
-        own, grams, rank, size, new = own[keep], grams[keep], rank[keep], size[keep], new[keep]
+        own, grams, rank, new = own[keep], grams[keep], rank[keep], new[keep]
         begin = np.flatnonzero(new)
         ends = np.append(begin[1:], len(own))
-        use = np.flatnonzero(ends - begin >= _least(size[begin]))
+        by = np.argsort(sizes[:, 0].view(X.U) if len(sizes) else sizes[:, 0])
+        n = sizes[by[np.searchsorted(sizes[by, 0].view(X.U), own[begin])], 1]
+        use = np.flatnonzero(ends - begin >= _least(n))
         for k in range(0, len(use), 2000):
             mine = use[k : k + 2000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(own[begin[mine]].view(np.int64)), pa.array(size[begin[mine]], pa.int32()), pa.array([grams[begin[i] : ends[i]].tobytes() for i in mine], pa.binary()), pa.array([rank[begin[i] : ends[i]].tobytes() for i in mine], pa.binary())], names=["whole", "n", "grams", "rank"]
+                [pa.array(own[begin[mine]].view(np.int64)), pa.array(n[mine], pa.int32()), pa.array([grams[begin[i] : ends[i]].tobytes() for i in mine], pa.binary()), pa.array([rank[begin[i] : ends[i]].tobytes() for i in mine], pa.binary())], names=["whole", "n", "grams", "rank"]
             )
 
 
@@ -219,47 +265,63 @@ def bitmap(grams: np.ndarray) -> np.ndarray:
     return np.packbits(out).view(X.U)
 
 
-_MEET = "part int, whole binary, n binary, k binary, words binary, bits binary, keys binary, doc binary, place binary"
+_MEET = "part int, whole binary, component binary, n binary, k binary, words binary, bits binary, keys binary, doc binary, place binary"
+
+
+def prefix(whole: int, n: int, grams: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, places) of a set's prefix, without what no other set has. An n-gram of many classes has a key for each pair of its splits."""
+    k = len(grams)
+    m = int(k - _least(np.array([n]))[0] + 1)
+    at, key = np.arange(n - k, n - k + m), X.mix(grams[:m])
+    splits = np.ceil(2.0 ** ((rank[:m].astype(float) + 1) / 8) / GROUP).astype(np.int64)
+    if (splits > 1).any():
+        more = [(key[splits == 1], at[splits == 1])]
+        for j in np.flatnonzero(splits > 1):
+            s = int(splits[j])
+            mine = whole % s
+            pair = np.array([min(mine, x) * s + max(mine, x) + 1 for x in range(s)], X.U)
+            more.append((X.mix(key[j] ^ (pair * X.U(_SALT))), np.full(s, at[j])))
+        key, at = (np.concatenate(c) for c in zip(*more))
+        order = np.argsort(at, kind="stable")
+        key, at = key[order], at[order]
+    return key, at
+
+
+def _prefixes(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, keys, places, n-grams) of rows (whole, n, grams, rank, ...)."""
+    whole, n = batch.column(0).to_numpy().view(X.U), batch.column(1).to_numpy().astype(np.int64)
+    for d, (grams, rank) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+        grams = np.frombuffer(grams, X.U)
+        yield d, *prefix(int(whole[d]), int(n[d]), grams, np.frombuffer(rank, np.uint8)), grams
 
 
 def _meet(parts: int):
-    """Sends each set's prefix, with the bitmap of the set, to the parts of its n-grams."""
+    """Sends keys of each set (whole, n, grams, rank, component, wanted) to their parts, with the bitmap of the set: the first keys of its prefix, or those wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole, n = batch.column(0).to_numpy().view(X.U), batch.column(1).to_numpy().astype(np.int64)
-            maps, keys, doc, place, ks = [], [], [], [], []
-            for d, (grams, rank) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                grams, rank = np.frombuffer(grams, X.U), np.frombuffer(rank, np.uint8)
-                k = len(grams)
-                ks.append(k)
-                maps.append(bitmap(grams))
-                m = int(n[d] - _least(n[d]) + 1 - (n[d] - k))  # the prefix without what no other set has
-                at, key = np.arange(n[d] - k, n[d] - k + m), X.mix(grams[:m])
-                splits = np.ceil(2.0 ** ((rank[:m].astype(float) + 1) / 8) / GROUP).astype(np.int64)
-                if (splits > 1).any():  # an n-gram of many classes: each two of its splits meet
-                    more = [(key[splits == 1], at[splits == 1])]
-                    for j in np.flatnonzero(splits > 1):
-                        s = int(splits[j])
-                        mine = int(whole[d] % X.U(s))
-                        pair = np.array([min(mine, x) * s + max(mine, x) + 1 for x in range(s)], X.U)
-                        more.append((X.mix(key[j] ^ (pair * X.U(_SALT))), np.full(s, at[j])))
-                    key, at = (np.concatenate(c) for c in zip(*more))
-                keys.append(key)
-                place.append(at)
-                doc.append(np.full(len(key), d))
-            keys, doc, place, ks = np.concatenate(keys), np.concatenate(doc), np.concatenate(place), np.array(ks)
+            whole, n, component = batch.column(0).to_numpy().view(X.U), batch.column(1).to_numpy(), batch.column(4).to_numpy().view(X.U)
+            maps, keys, doc, place, ks = {}, [], [], [], np.zeros(batch.num_rows, np.int32)
+            wanted = batch.column(5).to_pylist()
+            for d, key, at, grams in _prefixes(batch):
+                ks[d] = len(grams)
+                maps[d] = bitmap(grams)
+                use = slice(0, FIRST) if wanted[d] is None else np.isin(key, np.frombuffer(b"".join(wanted[d]), X.U))
+                keys.append(key[use])
+                place.append(at[use])
+                doc.append(np.full(len(keys[-1]), d))
+            keys, doc, place = np.concatenate(keys), np.concatenate(doc), np.concatenate(place)
             part = _part(keys, parts)
             order = np.argsort(part, kind="stable")
             part, keys, doc, place = part[order], keys[order], doc[order], place[order]
-            begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else []
             rows, size = [], 0
             for a, b in zip(begin, [*begin[1:], len(part)]):
                 docs, own = np.unique(doc[a:b], return_inverse=True)
                 bits = b"".join(maps[d].tobytes() for d in docs)
                 size += len(bits) + 16 * (b - a)
                 words = np.array([len(maps[d]) for d in docs], np.int32)
-                rows.append((int(part[a]), *_bytes(whole[docs], n[docs].astype(np.int32), ks[docs].astype(np.int32), words), bits, *_bytes(keys[a:b], own.astype(np.int32), place[a:b].astype(np.int32))))
+                rows.append((int(part[a]), *_bytes(whole[docs], component[docs], n[docs].astype(np.int32), ks[docs], words), bits, *_bytes(keys[a:b], own.astype(np.int32), place[a:b].astype(np.int32))))
                 if size > 8 << 20:
                     yield _met(rows)
                     rows, size = [], 0
@@ -270,7 +332,49 @@ def _meet(parts: int):
 
 
 def _met(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 8))], names=["part", "whole", "n", "k", "words", "bits", "keys", "doc", "place"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 9))], names=["part", "whole", "component", "n", "k", "words", "bits", "keys", "doc", "place"])
+
+
+_KEYS = "part int, whole binary, component binary, held binary, keys binary"
+
+
+def _list(parts: int):
+    """Sends all keys of each set's prefix to their parts, without a bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole, component = batch.column(0).to_numpy().view(X.U), batch.column(4).to_numpy().view(X.U)
+            got = [(d, key) for d, key, _, _ in _prefixes(batch)]
+            keys, doc = np.concatenate([k for _, k in got]), np.repeat([d for d, _ in got], [len(k) for _, k in got])
+            part = _part(keys, parts)
+            order = np.argsort(part, kind="stable")
+            part, keys, doc = part[order], keys[order], doc[order]
+            begin = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+            rows = []
+            for a, b in zip(begin, [*begin[1:], len(part)]):
+                new = np.flatnonzero(np.concatenate(([True], doc[a + 1 : b] != doc[a : b - 1])))
+                docs = doc[a:b][new]
+                rows.append((int(part[a]), *_bytes(whole[docs], component[docs], np.diff(np.append(new, b - a)).astype(np.int32), keys[a:b])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], names=["part", "whole", "component", "held", "keys"])
+
+    return run
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(whole, keys): of each set the keys at which it meets sets that it isn't connected with."""
+    for rows in _by_part(batches):
+        whole, component, held, keys = (np.frombuffer(b"".join(r[k] for r in rows), kind) for k, kind in ((1, X.U), (2, X.U), (3, np.int32), (4, X.U)))
+        piece = np.repeat(np.arange(len(whole)), held)
+        order = np.argsort(keys, kind="stable")
+        new = np.concatenate(([True], keys[order[1:]] != keys[order[:-1]]))
+        begin, own = np.flatnonzero(new), component[piece[order]]
+        several = np.minimum.reduceat(own, begin) != np.maximum.reduceat(own, begin)
+        keep = np.empty(len(keys), bool)
+        keep[order] = several[np.cumsum(new) - 1]
+        piece, keys = piece[keep], keys[keep]
+        first = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1]))) if len(piece) else []
+        if len(first):
+            yield pa.RecordBatch.from_arrays([pa.array(whole[piece[first]].view(np.int64)), pa.array([keys[a:b].tobytes() for a, b in zip(first, [*first[1:], len(keys)])], pa.binary())], names=["whole", "keys"])
 
 
 class Met:
@@ -310,9 +414,12 @@ class Met:
         return out
 
 
-def connected(met: Met, keys: np.ndarray, doc: np.ndarray, place: np.ndarray, count: int) -> np.ndarray:
-    """Roots of sets, such that any two similar ones that have one of the keys as their first common n-gram are connected."""
+def connected(met: Met, keys: np.ndarray, doc: np.ndarray, place: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Roots of sets, such that any two similar ones that have one of the keys as their first common n-gram are connected, as are those of one component."""
+    count = len(component)
+    _, lead, of = np.unique(component, return_index=True, return_inverse=True)
     forest = Forest(count)
+    forest.join(lead[of], np.arange(count))
     order = np.lexsort((doc, met.n[doc], keys))
     keys, doc, place = keys[order], doc[order], place[order]
     left = met.n[doc] - place  # n-grams from this one on
@@ -363,14 +470,14 @@ def connected(met: Met, keys: np.ndarray, doc: np.ndarray, place: np.ndarray, co
 def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges (a, b) that connect the sets of each part."""
     for rows in _by_part(batches):
-        whole, n, k, words, bits, keys, doc, place = (np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in enumerate((X.U, np.int32, np.int32, np.int32, X.U, X.U, np.int32, np.int32), 1))
+        whole, component, n, k, words, bits, keys, doc, place = (np.frombuffer(b"".join(r[c] for r in rows), kind) for c, kind in enumerate((X.U, X.U, np.int32, np.int32, np.int32, X.U, X.U, np.int32, np.int32), 1))
         sizes = [len(r[1]) // 8 for r in rows]
-        doc = doc + np.repeat(np.cumsum(sizes) - sizes, [len(r[7]) // 4 for r in rows])
+        doc = doc + np.repeat(np.cumsum(sizes) - sizes, [len(r[8]) // 4 for r in rows])
         distinct, lead, of = np.unique(whole, return_index=True, return_inverse=True)
         at = np.cumsum(words) - words
         take = np.concatenate([np.arange(at[i], at[i] + words[i]) for i in lead])
         met = Met(n[lead], k[lead], words[lead], bits[take])
-        root = connected(met, keys, of[doc], place.astype(np.int64), len(distinct))
+        root = connected(met, keys, of[doc], place.astype(np.int64), component[lead])
         edge = np.flatnonzero(root != np.arange(len(root)))
         yield pa.RecordBatch.from_arrays([pa.array(distinct[edge].view(np.int64)), pa.array(distinct[root[edge]].view(np.int64))], names=["a", "b"])
 
@@ -508,6 +615,7 @@ def _candidates(docs: DataFrame, units: DataFrame, classes: DataFrame, heavy: di
     own = own.join(small(gone, 16), F.col("id") == F.col("copy_id"), "left_anti").select("id", "text")
     sent = own.mapInArrow(_scatter(parts, heavy, False), _BLOB).repartitionById(parts, "part").sortWithinPartitions("part")
     back = sent.mapInArrow(_shared(parts), _BLOB)
+    back = back.unionAll(classes.where("n > 0").select("whole", "n").mapInArrow(_sizes(parts), _BLOB))
     if heavy:
         back = back.unionAll(own.mapInArrow(_scatter(parts, heavy, True), _BLOB))
     return checkpoint(back.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(_ordered, "whole long, n int, grams binary, rank binary"))
@@ -515,10 +623,23 @@ def _candidates(docs: DataFrame, units: DataFrame, classes: DataFrame, heavy: di
 
 def _connected(sets: DataFrame) -> DataFrame:
     """(whole, component) of sets that step 2 connects."""
-    entries = sets.agg(F.sum(F.octet_length("grams") / 16)).first()[0] or 0
-    parts = _parts(sets, int(entries), PART // 4)
-    met = sets.mapInArrow(_meet(parts), _MEET).repartitionById(parts, "part").sortWithinPartitions("part")
-    return checkpoint(components(met.mapInArrow(_connect, "a long, b long"))).withColumnRenamed("id", "whole")
+    total = sets.agg(F.sum(F.octet_length("grams") / 16), F.count("*")).first()
+    # at the first keys of the prefixes, which connect most near copies
+    parts = _parts(sets, (total[1] or 0) * FIRST, PART // 4)
+    begin = sets.select("*", F.col("whole").alias("component"), F.lit(None).cast("array<binary>").alias("wanted"))
+    met = begin.mapInArrow(_meet(parts), _MEET).repartitionById(parts, "part").sortWithinPartitions("part")
+    first = checkpoint(components(met.mapInArrow(_connect, "a long, b long"))).withColumnRenamed("id", "whole")
+    # at all keys where sets of different components meet
+    known = checkpoint(sets.join(first, "whole", "left").select("whole", "n", "grams", "rank", F.coalesce("component", "whole").alias("component")))
+    parts = _parts(sets, int(total[0] or 0), PART // 2)
+    apart = known.mapInArrow(_list(parts), _KEYS).repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(_apart, "whole long, keys binary")
+    wanted = checkpoint(apart.groupBy("whole").agg(F.collect_list("keys").alias("wanted")))
+    left = wanted.agg(F.sum(F.aggregate("wanted", F.lit(0).cast("long"), lambda x, y: x + F.octet_length(y)))).first()[0] or 0
+    parts = _parts(sets, left // 8, PART // 4)
+    rest = known.join(wanted, "whole").select("whole", "n", "grams", "rank", "component", "wanted")
+    met = rest.mapInArrow(_meet(parts), _MEET).repartitionById(parts, "part").sortWithinPartitions("part")
+    more = met.mapInArrow(_connect, "a long, b long")
+    return checkpoint(components(more.unionAll(first.select(F.col("whole").alias("a"), F.col("component").alias("b"))))).withColumnRenamed("id", "whole")
 
 
 def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
