@@ -6,6 +6,7 @@ the sorted keys of all pairs, and each word merges its pairs of lowest rank; wor
 tokens of distinct words are then copied to their places in the texts. Words that a worker has encoded before come from a table of
 at most KEPT words; words are told apart by 128-bit hashes. Texts are never shuffled; the vocabulary is broadcast (about 1 MB).
 
+A single word of more than LONG bytes is merged pair by pair from a queue, in time that grows little faster than its length.
 All equal pairs of lowest rank in a word merge at once if no pair with their token has a lower rank, else only the first does,
 so that the tokens are always those of merging one pair at a time.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import base64
 import unicodedata
 from collections.abc import Iterator, Sequence
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +30,8 @@ from lodestone.llm import text as X
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 KEPT, BATCH_CHARS = 400_000, 1 << 20
+#: Bytes of a word from which on its pairs wait in a queue.
+LONG = 4096
 _LETTER, _NUMBER, _SPACE, _OTHER = range(4)
 
 
@@ -95,6 +99,7 @@ class Bpe:
         self.flat = np.frombuffer(b"".join(table), np.uint8)
         self.of = np.concatenate(([0], np.cumsum([len(t) for t in table])))
         self.known = np.array([bool(t) for t in table])
+        self.pairs: dict[int, int] | None = None
         self._forget()
 
     def _forget(self) -> None:
@@ -113,9 +118,16 @@ class Bpe:
         size = np.array([len(w) for w in words], np.int64)
         sym = self.bytes[np.frombuffer(b"".join(words), np.uint8)]
         word = np.repeat(np.arange(len(words)), size)
+        done_sym, done_word = [], []
+        for k in np.flatnonzero(size > LONG).tolist():
+            tokens = self.queued(sym[word == k].tolist())
+            done_sym.append(np.array(tokens, np.int32))
+            done_word.append(np.full(len(tokens), k))
+        if done_sym:
+            short = size[word] <= LONG
+            sym, word = sym[short], word[short]
         rank = np.full(len(sym), self.size)  # of each symbol with the next
         rank[:-1] = np.where(word[:-1] == word[1:], self.ranks(sym[:-1], sym[1:]), self.size)
-        done_sym, done_word = [], []
         while len(sym):
             begin = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
             best = np.minimum.reduceat(rank, begin)
@@ -151,6 +163,28 @@ class Bpe:
         order = np.argsort(word, kind="stable")
         return sym[order], np.cumsum(np.bincount(word, minlength=len(words)))
 
+    def queued(self, sym: list[int]) -> list[int]:
+        """The tokens of one very long word, for which rounds would take its length squared: pairs wait in a queue by rank and place."""
+        if self.pairs is None:
+            self.pairs = dict(zip(self.keys.tolist(), self.merged.tolist()))
+        n, find = len(sym), self.pairs.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        queue = [(r, k) for k in range(n - 1) if (r := find(sym[k] << 20 | sym[k + 1])) is not None]
+        heapify(queue)
+        while queue:
+            r, k = heappop(queue)
+            if sym[k] < 0 or after[k] >= n or find(sym[k] << 20 | sym[after[k]]) != r:
+                continue  # a pair that is gone
+            gone = after[k]
+            sym[k], sym[gone], after[k] = r, -1, after[gone]
+            if after[k] < n:
+                before[after[k]] = k
+                if (x := find(r << 20 | sym[after[k]])) is not None:
+                    heappush(queue, (x, k))
+            if before[k] >= 0 and (x := find(sym[before[k]] << 20 | r)) is not None:
+                heappush(queue, (x, before[k]))
+        return [x for x in sym if x >= 0]
+
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """(tokens, bounds): text i has tokens[bounds[i]:bounds[i + 1]]."""
         whole = "".join(texts)

@@ -18,8 +18,8 @@ its answer's. An item's answer follows "answer:", else its last question mark, e
 sentence the last quarter of its words).
 
 Passages are 2 S words long and start every S words, where S is the longest item's number of words (LEAST_STRIDE at least):
-any copy of an item lies whole in a passage. The documents are never shuffled. The index grows with the benchmark alone;
-one of more than INDEX_BYTES is split in parts, each broadcast and searched by itself, under the document frequencies of all.
+any copy of an item lies whole in a passage. The documents are read once and never shuffled. The index grows with the benchmark alone;
+one of more than INDEX_BYTES is split in parts that executors build and that are broadcast one by one; a task searches them in turn.
 
 Defined results: null or empty texts and texts without words match nothing, nor do such items. A null doc_id or item_id
 is kept as null. Repeated rows of either table are matched one by one. Empty tables give no rows. Further columns are
@@ -28,16 +28,18 @@ ignored by ``leaks`` and kept by ``keep_unleaked``.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.llm import text as X
+from lodestone.state import checkpoint
 
 THRESHOLD, QUESTION, ANSWER = 0.5, 0.5, 0.5
 K1, B, BLOCK, NGRAM, LEAST_STRIDE = 1.2, 0.75, 16, 3, 64
@@ -178,23 +180,45 @@ def _expand(term: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) + np.repeat(of[term] - (np.cumsum(n) - n), n)
 
 
-def indexes(benchmark: DataFrame, part_bytes: int = INDEX_BYTES) -> list[Index]:
-    """The index in parts of bounded size; frequencies and lengths are those of the whole benchmark."""
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of the distinct words of each item, and (null, words of the item)."""
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            w = _words(text)
+            if len(w):
+                distinct = np.unique(w).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([None, *distinct.tolist()], pa.int64()), pa.array([len(w)] + [1] * len(distinct), pa.int64())], names=["word", "n"])
+
+
+def indexes(benchmark: DataFrame, part_bytes: int = INDEX_BYTES) -> Iterator[Index]:
+    """The index in parts of bounded size; frequencies and lengths are those of the whole benchmark.
+
+    Executors count words and build the parts; the driver holds the counts of distinct words and one part at a time.
+    """
     items = benchmark.select("item_id", "text").where("text is not null")
-    parts = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes
-    held, df, lengths = [], {}, []
-    for k in range(parts):
-        mine = items if parts == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == k)
-        rows = [(r["item_id"], r["text"]) for r in mine.collect()]
-        rows = sorted(((i, t) for i, t in rows if len(_words(t))), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        for _, t in rows:
-            w = _words(t)
-            lengths.append(len(w))
-            for x in np.unique(w).tolist():
-                df[x] = df.get(x, 0) + 1
-        held.append(rows)
-    stride = max([LEAST_STRIDE, *lengths])
-    return [Index([r[0] for r in rows], [r[1] for r in rows], df, len(lengths), sum(lengths) / len(lengths), stride) for rows in held if rows]
+    parts = int(1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes)
+    counted = items.select("text").mapInArrow(_item_words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("items"), F.max("n").alias("most"))
+    got = counted.toArrow()  # a row for each distinct word of the benchmark
+    word, df, most = (got.column(c).to_pylist() for c in ("word", "n", "most"))
+    if None not in word:
+        return
+    whole = word.index(None)
+    n_items, total, stride = got.column("items")[whole].as_py(), df[whole], max(LEAST_STRIDE, most[whole])
+    order = np.argsort([-(1 << 63) - 1 if w is None else w for w in word])[1:]
+    shared = benchmark.sparkSession.sparkContext.broadcast((np.array([word[k] for k in order], np.int64), np.array([df[k] for k in order])))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        rows = sorted(((i, t) for i, t in rows if len(_words(t))), key=lambda r: (r[0] is None, r[0] if r[0] is not None else 0, r[1]))
+        if rows:
+            known, count = shared.value
+            own = np.unique(np.concatenate([_words(t) for _, t in rows]))
+            mine = dict(zip(own.tolist(), count[np.searchsorted(known, own.view(np.int64))].tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Index([r[0] for r in rows], [r[1] for r in rows], mine, n_items, total / n_items, stride))], pa.large_binary())], names=["index"])
+
+    placed = items.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int")).repartitionById(parts, "part").select("item_id", "text")
+    for row in checkpoint(placed.mapInArrow(build, "index binary")).toLocalIterator():
+        yield pickle.loads(row["index"])
 
 
 def _found(index: Index, texts: list[str | None], threshold: float, question: float, answer: float) -> Iterator[tuple[int, int, float, float, float]]:
@@ -209,41 +233,46 @@ def _found(index: Index, texts: list[str | None], threshold: float, question: fl
             yield first + d, i, score, q, r
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, part_bytes: int = INDEX_BYTES) -> DataFrame:
-    """(doc_id, item_id, bm25, question, answer) for every document and item that it holds."""
-    doc, item = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {doc}, item_id {item}, bm25 double, question double, answer double"
+def _broadcast(docs: DataFrame, benchmark: DataFrame, part_bytes: int) -> list:
+    """The parts of the index as broadcasts of part_bytes of texts at most each."""
+    return [docs.sparkSession.sparkContext.broadcast(index) for index in indexes(benchmark, part_bytes)]
 
-    def of(index: Index) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(index)  # of part_bytes of texts at most
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = list(_found(shared.value, batch.column(1).to_pylist(), threshold, question, answer))
-                if rows:
-                    at, items, *scores = zip(*rows)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([shared.value.ids[i] for i in items], batch_type), *(pa.array(np.round(x, 6)) for x in scores)], names=["doc_id", "item_id", "bm25", "question", "answer"])
+def _each(parts: list) -> Iterator[Index]:
+    """The parts in turn; of several, a worker keeps one in memory."""
+    for part in parts:
+        yield part.value
+        if len(parts) > 1:
+            part.__dict__.pop("_value", None)
 
-        batch_type = pa.int64() if item == "bigint" else pa.int32() if item == "int" else pa.string()
-        return docs.select("doc_id", "text").mapInArrow(run, schema)
 
-    parts = [of(index) for index in indexes(benchmark, part_bytes)]
-    return reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], schema)
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, part_bytes: int = INDEX_BYTES) -> DataFrame:
+    """(doc_id, item_id, bm25, question, answer) for every document and item that it holds."""
+    doc, item = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType
+    schema, kind = f"doc_id {doc}, item_id {item.simpleString()}, bm25 double, question double, answer double", to_arrow_type(item)
+    parts = _broadcast(docs, benchmark, part_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for index in _each(parts):
+                if rows := list(_found(index, texts, threshold, question, answer)):
+                    at, items, *scores = zip(*rows)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([index.ids[i] for i in items], kind), *(pa.array(np.round(x, 6)) for x in scores)], names=["doc_id", "item_id", "bm25", "question", "answer"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def keep_unleaked(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, part_bytes: int = INDEX_BYTES) -> DataFrame:
     """The rows of docs that hold no item, with all their columns; no shuffle."""
     place = docs.columns.index("text")
+    parts = _broadcast(docs, benchmark, part_bytes)
 
-    def without(rest: DataFrame, index: Index) -> DataFrame:
-        shared = docs.sparkSession.sparkContext.broadcast(index)  # of part_bytes of texts at most
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                keep[[r[0] for r in _found(shared.value, batch.column(place).to_pylist(), threshold, question, answer)]] = False
-                yield batch.filter(pa.array(keep))
-
-        return rest.mapInArrow(run, docs.schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, texts = np.ones(batch.num_rows, bool), batch.column(place).to_pylist()
+            for index in _each(parts):
+                keep[[r[0] for r in _found(index, texts, threshold, question, answer)]] = False
+            yield batch.filter(pa.array(keep))
 
-    return reduce(without, indexes(benchmark, part_bytes), docs)
+    return docs.mapInArrow(run, docs.schema)

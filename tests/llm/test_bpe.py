@@ -1,5 +1,6 @@
 import base64
 
+import numpy as np
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -50,3 +51,37 @@ def test_odd_rows(spark):
     assert B.encode(docs.limit(0)).count() == 0
     wrong = spark.createDataFrame([(1, [60000]), (2, [-1]), (3, [1, None]), (4, [50256])], "doc_id long, tokens array<int>")
     assert [r["text"] for r in B.decode(wrong).collect()] == [None] * 4
+
+
+def one_at_a_time(bpe, word):
+    """The definition: of all adjacent pairs the one of lowest rank, the leftmost, merges, until none is left."""
+    pairs = dict(zip(bpe.keys.tolist(), bpe.merged.tolist()))
+    sym = [int(bpe.bytes[b]) for b in word]
+    while True:
+        ranks = [(pairs[k], i) for i in range(len(sym) - 1) if (k := sym[i] << 20 | sym[i + 1]) in pairs]
+        if not ranks:
+            return sym
+        r, i = min(ranks)
+        sym[i : i + 2] = [r]
+
+
+def test_rounds_and_queue_merge_as_the_definition_does(both, monkeypatch):
+    bpe, _ = both
+    rng = np.random.default_rng(2)
+    letters = [bytes(rng.choice(list(b"etaoinshrdlu'  .0123\xc3\xa9"), int(rng.integers(1, 60)))) for _ in range(300)]
+    words = letters + [b"aaaa" * k for k in range(1, 9)] + [b"abab" * 7, b"\xff\xfe\x00", b"internationalization" * 3]
+    want = [one_at_a_time(bpe, w) for w in words]
+    for long in (4096, 0):
+        monkeypatch.setattr(B, "LONG", long)
+        tokens, ends = bpe.merge(words)
+        assert [tokens[a:b].tolist() for a, b in zip([0, *ends], ends)] == want
+
+
+def test_a_very_long_word(both):
+    import time
+
+    bpe, _ = both
+    text = "".join(np.random.default_rng(5).choice(list("etaoinshrdlu"), 400_000))
+    start = time.time()
+    tokens, _ = bpe.encode([text])
+    assert bpe.decode(tokens).decode() == text and time.time() - start < 20

@@ -36,7 +36,7 @@ def brute(docs, items, stride=D.LEAST_STRIDE, threshold=D.THRESHOLD):
 def test_search_finds_all_that_brute_force_finds(spark, sf):
     docs = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     items = sorted((r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect())
-    index = D.indexes(spark.read.parquet(f"{sf}/benchmark.parquet"))[0]
+    index = next(D.indexes(spark.read.parquet(f"{sf}/benchmark.parquet")))
     assert index.stride == D.LEAST_STRIDE and len(items) > D.BLOCK
     for threshold in (0.25, 0.5):
         got = {}
@@ -105,3 +105,10 @@ def test_an_item_lies_whole_in_a_passage_wherever_it_is():
         w = X.Words([" ".join(f"w{k}" for k in range(before)) + " " + ITEM + " " + " ".join(f"v{k}" for k in range(150))]).hashes
         found = list(index.search(w, np.array([0, len(w)]), 0.99))
         assert any(a <= before and before + n <= b for _, _, _, a, b in found)
+
+
+def test_item_ids_of_other_types(spark):
+    docs = spark.createDataFrame([("a", "x " + ITEM)], "doc_id string, text string")
+    for kind, value in (("int", 7), ("string", "seven"), ("double", 7.5), ("date", __import__("datetime").date(2020, 1, 2))):
+        bench = spark.createDataFrame([(value, ITEM)], f"item_id {kind}, text string")
+        assert [(r["doc_id"], r["item_id"]) for r in D.leaks(docs, bench).collect()] == [("a", value)]
