@@ -1,16 +1,21 @@
 """License scans by patience alignment.
 
 The coverage of a license in a text is the greatest share of the template's words that a patience alignment matches in any
-window of n + max(1, n // 4) words, n being the template's length. The alignment matches what both sides begin and end
-with, then anchors on words unique to both, keeps the longest increasing subsequence of anchors, and aligns each gap between them in
-the same way; a gap without anchors matches nothing more.
+window. The alignment matches what both sides begin and end with, then anchors on words unique to both, keeps the longest increasing
+subsequence of anchors, and aligns each gap between them in the same way; a gap without anchors matches nothing more.
+
+Windows: of n + max(1, n // 4) words, n being the template's length, from every word; for templates of more than EVERY words, from every
+eighth part of a window. A template of at least GAPPED words is also sought in windows of twice, four times … that length, an eighth of a
+window apart, up to the whole text, so that text may be inserted anywhere in it. A shorter notice is a phrase: scattered over a text, its
+few common words would mean nothing. In a template of fewer than NAMED words, the names and numbers (words with a capital letter after
+the first word, and digits) must all be matched, as they alone tell such notices apart.
 
 An alignment uses each word once, so the words that text and template have in common, with their counts, bound its
-coverage. The bound is taken for whole texts by array passes, then along each remaining text by a moving count, and windows that
+coverage. The bound is taken for whole texts by array passes, then for each window, and windows that
 can't reach the threshold aren't aligned. No case is lost by it. Texts are never shuffled.
 
 A find reaches from the first to the last matched word. Of finds that overlap, whatever their licenses, the one of greatest
-coverage stays, then of the longest template, then the first: so a notice isn't also reported as its near relatives.
+coverage stays, then of the longest template, then the shortest find, then the first: so a notice isn't also reported as its near relatives.
 
 Defined results: null or empty texts, and texts without a license, have no row. A license has one row for each text, with
 the remaining find of greatest coverage, the first of equal ones. Several licenses in one text have a row each. Repeated rows are scanned
@@ -19,9 +24,11 @@ one by one; a null doc_id is kept. Further columns are ignored.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +37,7 @@ from pyspark.sql import DataFrame
 from lodestone.llm import text as X
 
 THRESHOLD = 0.8
+EVERY, GAPPED, NAMED = 200, 40, 20
 
 #: Notices and texts by SPDX identifier; the same license may have several.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -44,6 +52,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
@@ -53,6 +62,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    *((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in sorted(resources.files("lodestone.llm").joinpath("license_texts").iterdir(), key=lambda f: f.name)),
 )
 
 
@@ -76,35 +86,57 @@ def increasing(values: Sequence[int]) -> list[int]:
     return out[::-1]
 
 
-def matched(a: Sequence[int], b: Sequence[int]) -> tuple[int, int, int]:
-    """How many words of a the patience alignment of a and b matches, and from where to where they are in b."""
-    total, todo, low, high = 0, [(0, len(a), 0, len(b))], len(b), 0
+def aligned(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
+    """Places (in a, in b) of the words that the patience alignment of a and b matches."""
+    out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
         while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
-            low, high = min(low, b0), max(high, b0 + 1)
-            a0, b0, total = a0 + 1, b0 + 1, total + 1
+            out.append((a0, b0))
+            a0, b0 = a0 + 1, b0 + 1
         while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
-            a1, b1, total = a1 - 1, b1 - 1, total + 1
-            low, high = min(low, b1), max(high, b1 + 1)
+            a1, b1 = a1 - 1, b1 - 1
+            out.append((a1, b1))
         if a0 == a1 or b0 == b1:
             continue
         in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
         place = {w: k for k, w in enumerate(b[b0:b1], b0) if in_b[w] == 1}
         anchors = [(k, place[w]) for k, w in enumerate(a[a0:a1], a0) if in_a[w] == 1 and w in place]
         kept = [anchors[k] for k in increasing([p for _, p in anchors])]
-        total += len(kept)
+        out += kept
         if kept:
-            low, high = min(low, kept[0][1]), max(high, kept[-1][1] + 1)
             todo += [(x + 1, y, u + 1, v) for (x, u), (y, v) in zip([(a0 - 1, b0 - 1), *kept], [*kept, (a1, b1)]) if y > x + 1 and v > u + 1]
-    return total, min(low, high), high
+    return out
+
+
+def matched(a: Sequence[int], b: Sequence[int], named: frozenset[int] = frozenset()) -> tuple[int, int, int]:
+    """How many words of a the alignment matches, and from where to where they are in b; none unless those at the places named are."""
+    pairs = aligned(a, b)
+    if not pairs or not named <= {i for i, _ in pairs}:
+        return 0, 0, 0
+    return len(pairs), min(j for _, j in pairs), max(j for _, j in pairs) + 1
 
 
 def window(n: int) -> int:
-    """Words of a window for a template of n words."""
+    """Words of the least window for a template of n words."""
     return n + max(1, n // 4)
 
 
+def names(text: str) -> frozenset[int]:
+    """Places of the words of a short template that must be matched."""
+    words = re.findall(r"\w+", text)
+    return frozenset(k for k, w in enumerate(words) if k and w != w.lower() or w.isdigit()) if len(words) < NAMED else frozenset()
+
+
+def windows(n: int, length: int) -> Iterator[tuple[int, int]]:
+    """(words, step) of the windows for a template of n words in a text of so many words."""
+    w = window(n)
+    yield w, 1 if n <= EVERY else max(1, w // 8)
+    while n >= GAPPED and w < length:
+        w *= 2
+        yield w, max(1, w // 8)
+
+
 class Scanner:
     """Templates as numbers of words, and where each word occurs in them."""
 
@@ -113,6 +145,7 @@ class Scanner:
         hashed = [X.Words([t]).hashes for _, t in templates]
         self.vocab = np.unique(np.concatenate(hashed))
         self.words = [np.searchsorted(self.vocab, h).tolist() for h in hashed]
+        self.named = [names(t) for _, t in templates]
         self.size = np.array([len(w) for w in self.words])
         rows = sorted((w, k, c) for k, ws in enumerate(self.words) for w, c in Counter(ws).items())
         word, self.template, self.count = (np.array(c) for c in zip(*rows))
@@ -153,28 +186,32 @@ class Scanner:
     def windows(self, places: np.ndarray, found: np.ndarray, k: int, n_words: int) -> Iterator[tuple[float, int, int, int]]:
         """(coverage, first word, words, template) of finds at or above the threshold; places: of the known words of a text."""
         mine = self.words[k]
-        want, width = Counter(mine), window(len(mine))
+        want = Counter(mine)
         need = self.threshold * len(mine) - 1e-9
         use = np.isin(found, list(want))
         places, found = places[use].tolist(), found[use].tolist()
-        have: Counter[int] = Counter()
-        both = end = 0
-        for start, p in enumerate(places):
-            while end < len(places) and places[end] < p + width:
-                w = found[end]
-                both += have[w] < want[w]
-                have[w] += 1
-                end += 1
-            if both >= need:
-                row = [-1 - x for x in range(min(width, n_words - p))]  # other words differ from each other and match none
-                for x in range(start, end):
-                    row[places[x] - p] = found[x]
-                got, low, high = matched(mine, row)
-                if got >= need:
-                    yield round(got / len(mine), 6), p + low, high - low, k
-            w = found[start]
-            have[w] -= 1
-            both -= have[w] < want[w]
+        for width, step in windows(len(mine), n_words):
+            have: Counter[int] = Counter()
+            both = end = first = 0
+            # windows that begin with a known word, or on a grid; a word enters and leaves the count once
+            for p in places if step == 1 else range(0, n_words, step):
+                while end < len(places) and places[end] < p + width:
+                    w = found[end]
+                    both += have[w] < want[w]
+                    have[w] += 1
+                    end += 1
+                while first < end and places[first] < p:
+                    w = found[first]
+                    have[w] -= 1
+                    both -= have[w] < want[w]
+                    first += 1
+                if both >= need:
+                    row = [-1 - x for x in range(min(width, n_words - p))]  # other words differ from each other and match none
+                    for x in range(first, end):
+                        row[places[x] - p] = found[x]
+                    got, low, high = matched(mine, row, self.named[k])
+                    if got >= need:
+                        yield round(got / len(mine), 6), p + low, high - low, k
 
 
 def apart(found: list[tuple[float, int, int, int]], size: Sequence[int]) -> list[tuple[float, int, int, int]]:
@@ -182,7 +219,7 @@ def apart(found: list[tuple[float, int, int, int]], size: Sequence[int]) -> list
     starts: list[int] = []
     ends: list[int] = []
     out = []
-    for row in sorted(found, key=lambda r: (-r[0], -size[r[3]], r[1], r[3])):
+    for row in sorted(found, key=lambda r: (-r[0], -size[r[3]], r[2], r[1], r[3])):
         k = bisect_left(starts, row[1])
         if (k == 0 or ends[k - 1] <= row[1]) and (k == len(starts) or starts[k] >= row[1] + row[2]):
             starts.insert(k, row[1])
