@@ -14,10 +14,13 @@ _own: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where it is unset, as in tests on one machine, is one made."""
+    """The folder in spark.checkpoint.dir. Where it is unset, as in tests, one is made if the session runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="checkpoint-"))
     return _own[0]
@@ -28,12 +31,28 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
     The table goes when the session's JVM ends.
     """
+    return write(df)[0]
+
+
+def write(df: DataFrame) -> tuple[DataFrame, str]:
+    """``checkpoint``, and the path of the table."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    where, files = _place(spark, path)
+    files.deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    where, files = _place(spark, path)
+    files.delete(where, True)
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
