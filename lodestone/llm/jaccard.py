@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import text as X
 from lodestone.llm.components import Forest, components
-from lodestone.state import checkpoint, small
+from lodestone.state import BROADCAST_BYTES, checkpoint, small
 
 N, THRESHOLD = 3, 0.5
 #: n-grams in a part, of which a task holds one at a time; occurrences of a bucket that aren't sent to one part; classes that meet at one
@@ -630,13 +630,14 @@ def _connected(sets: DataFrame) -> DataFrame:
     met = begin.mapInArrow(_meet(parts), _MEET).repartitionById(parts, "part").sortWithinPartitions("part")
     first = checkpoint(components(met.mapInArrow(_connect, "a long, b long"))).withColumnRenamed("id", "whole")
     # at all keys where sets of different components meet
-    known = checkpoint(sets.join(first, "whole", "left").select("whole", "n", "grams", "rank", F.coalesce("component", "whole").alias("component")))
+    known = checkpoint(sets.join(small(first, 24), "whole", "left").select("whole", "n", "grams", "rank", F.coalesce("component", "whole").alias("component")))
     parts = _parts(sets, int(total[0] or 0), PART // 2)
     apart = known.mapInArrow(_list(parts), _KEYS).repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(_apart, "whole long, keys binary")
     wanted = checkpoint(apart.groupBy("whole").agg(F.collect_list("keys").alias("wanted")))
     left = wanted.agg(F.sum(F.aggregate("wanted", F.lit(0).cast("long"), lambda x, y: x + F.octet_length(y)))).first()[0] or 0
     parts = _parts(sets, left // 8, PART // 4)
-    rest = known.join(wanted, "whole").select("whole", "n", "grams", "rank", "component", "wanted")
+    near = F.broadcast(wanted) if left + 24 * wanted.count() <= BROADCAST_BYTES else wanted
+    rest = known.join(near, "whole").select("whole", "n", "grams", "rank", "component", "wanted")
     met = rest.mapInArrow(_meet(parts), _MEET).repartitionById(parts, "part").sortWithinPartitions("part")
     more = met.mapInArrow(_connect, "a long, b long")
     return checkpoint(components(more.unionAll(first.select(F.col("whole").alias("a"), F.col("component").alias("b"))))).withColumnRenamed("id", "whole")
@@ -650,9 +651,11 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     several = checkpoint(sizes.where("blocks > 1"))
     placed = members.join(small(several, 20), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("whole"), F.col("blocks")).cast("int"))
-    known = placed.join(classes.select("whole", "copies"), "whole")
+    known = checkpoint(placed.join(classes.select("whole", "copies"), "whole"))
     rows = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "whole", "copies")
+    if (known.agg(F.sum("blocks")).first()[0] or 0) * 80 <= BROADCAST_BYTES:
+        rows = F.broadcast(rows)
     together = sets.select("whole", "n", "grams").join(rows, "whole").select("component", "low", "high", "block", "whole", "n", "copies", "grams")
     keys = ["component", "low", "high"]
     solved = together.repartition(_parts(docs, 0, 1), *keys).sortWithinPartitions(*keys).mapInArrow(_solve, "whole long, links long, root long")
