@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Edge types in the order of their codes.
+TYPES = ("calls", "imports", "inherits", "implements", "overrides", "contains", "references", "tests", "documents", "configures", "couples_with", "breaks_with", "pattern_of", "version_of", "ffi_binds", "uses_type", "returns", "param_type")
 DEPS = ("calls", "imports", "inherits", "implements", "uses_type", "ffi_binds")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import DEPS
+from lodestone.functions import DEPS, TYPES
 from lodestone.graph import WITH, Graph, load
 from lodestone.operators import structure as S
 from lodestone.operators import traverse as T
@@ -59,15 +59,19 @@ _q("q4_call_graph", _both, "select id, depth from f union all select id, depth f
 _q("q4_call_sites", _both, "select source_id as caller, target_id as callee, context as line from edges where edge_type = 'calls' and source_id in (select id from f where depth < 2) union all select source_id, target_id, context from edges where edge_type = 'calls' and target_id in (select id from b where depth < 2)")(
     lambda s, d: S.call_graph(load(s, d), UNIT, "both", 2)[1]
 )
-_hier = reach(_at(TYPE), 6, "'inherits', 'implements'", "forward", "f") + reach(_at(TYPE), 6, "'inherits', 'implements'", "backward", "b")
-_q("q5_type_hierarchy", _hier, "select id, depth from f where depth > 0 union all select id, -depth from b where depth > 0")(lambda s, d: S.type_hierarchy(load(s, d), TYPE).select("id", "depth"))
+_hier = "".join(paths(TYPE, 6, "'inherits', 'implements'", way).replace("pe as", f"pe_{n} as").replace("join pe ", f"join pe_{n} ").replace("pw", f"pw_{n}").replace(", p as", f", {n} as") for n, way in (("f", "forward"), ("b", "backward")))
+_hop = "select {n}.id, {sign}depth as depth, max(edge_type) as relation from {n} join edges on {s} = path[-2] and {t} = {n}.id and edge_type in ('inherits', 'implements') where depth > 0 group by {n}.id, depth"
+_q("q5_type_hierarchy", _hier, _hop.format(n="f", sign="", s="source_id", t="target_id") + " union all " + _hop.format(n="b", sign="-", s="target_id", t="source_id"))(lambda s, d: S.type_hierarchy(load(s, d), TYPE))
 _q("q6_containment", reach(_at(MODULE), None, "'contains'"), f"select id from r where id <> {MODULE}")(lambda s, d: S.containment(load(s, d), MODULE))
 _q("q11_language_trace", reach(_at(13), 4, "'ffi_binds'", "both") + ", l as (select r.id, depth, language from r join units u on u.id = r.id)", "select id, depth, l.language, cast(first_seen as integer) as first_seen from l join (select language, row_number() over (order by m) as first_seen from (select language, min({'d': depth, 'i': id}) as m from l group by language) x) y on l.language = y.language")(
     lambda s, d: S.language_trace(load(s, d), 13, 4)
 )
 _roots = "select id from units where case when unit_type = 'function' then name = 'main' or name like 'test\\_%' escape '\\' or visibility = 'public' when unit_type = 'test' then true else visibility = 'public' end"
 _q("q16_dead_code", reach(_roots, None, "", "forward", "f") + reach(_roots, None, "", "backward", "b"), "select id, name from units where id not in (select id from f) and id not in (select id from b)")(lambda s, d: S.dead_code(load(s, d)))
-_q("q23_shortest_path", paths(UNIT, 4, "'calls', 'uses_type'"), f"select p.id is not null as found, coalesce(array_to_string(path, ','), '') as path, cast(coalesce(len(path) - 1, 0) as integer) as length from (select 1) o left join p on p.id = {DEST}")(lambda s, d: S.path_between(load(s, d), UNIT, DEST, ["calls", "uses_type"]).select("found", _TEXT(), "length"))
+_code = "case edge_type " + " ".join(f"when '{t}' then {k}" for k, t in enumerate(TYPES)) + " end"
+_q("q23_shortest_path", paths(UNIT, 4, "'calls', 'uses_type'") + f", hop as (select k, path[k] as s, path[k + 1] as t from p, range(1, 9) r(k) where p.id = {DEST} and k < len(path)), kinds as (select string_agg(kind, ',' order by k) as edge_types from (select k, min_by(edge_type, {_code}) as kind from hop join edges on source_id = s and target_id = t where edge_type in ('calls', 'uses_type') group by k) x)", f"select p.id is not null as found, coalesce(array_to_string(path, ','), '') as path, cast(coalesce(len(path) - 1, 0) as integer) as length, coalesce(edge_types, '') as edge_types from (select 1) o left join p on p.id = {DEST} left join kinds on true")(
+    lambda s, d: S.path_between(load(s, d), UNIT, DEST, ["calls", "uses_type"]).select("found", _TEXT(), "length", F.array_join("edge_types", ",").alias("edge_types"))
+)
 _roots_c = reach(_roots, None, "'calls', 'tests'", "forward", "f") + reach(_roots, None, "'calls', 'tests'", "backward", "b")
 _q("q16_dead_code_calls", _roots_c, "select id, name from units where unit_type = 'function' and id not in (select id from f) and id not in (select id from b)")(lambda s, d: S.dead_code(Graph(load(s, d).units, load(s, d).edges.where("edge_type in ('calls', 'tests')"), load(s, d).changes), ["function"]))
 _q("q21_cycle_nodes", ", ce as materialized (select distinct source_id as s, target_id as t from edges where edge_type = 'calls' and source_id <> target_id), cw as materialized (select s, t from ce union select cw.s, ce.t from cw join ce on cw.t = ce.s), cyc as (select distinct s from cw where s = t)", "select a.t as id from (select s, t from cw union select s, s from cyc) a join cyc x on a.s = x.s intersect select b.s from (select s, t from cw union select s, s from cyc) b join cyc y on b.t = y.s")(

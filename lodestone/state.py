@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a side that may be broadcast; beyond them a join shuffles.
@@ -34,6 +34,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return write(df)[0]
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``checkpoint``, and the number of rows, which the write itself counts."""
+    seen = Observation()
+    kept = checkpoint(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return kept, seen.get["n"]
+
+
 def write(df: DataFrame) -> tuple[DataFrame, str]:
     """``checkpoint``, and the path of the table."""
     spark = df.sparkSession
