@@ -138,6 +138,16 @@ def parse_question(text: str) -> tuple[str, list[str], str]:
     return intent, keywords, scope
 
 
+def parse_questions(texts: DataFrame) -> DataFrame:
+    """The rows of texts(text, ...) with intent, keywords (joined by commas) and scope: ``parse_question`` as expressions."""
+    q = F.lower("text")
+    has = lambda *ws: q.rlike("|".join(ws))
+    intent = case([(has("test", "spec") | q.startswith("how is"), "test"), (has("function", "method", "fn ") | q.startswith("def "), "function"), (has("type", "struct", "class", "enum", "interface"), "type"), (has("usage", "call", "who uses", "where is"), "usage"), (has("implement", "how does", "logic for"), "implementation")], "general")
+    keywords = F.filter(F.split(q, r"[^\p{L}\p{N}_]+"), lambda w: (F.length(w) >= 2) & ~w.isin(*sorted(STOP)))
+    scope = case([(q.rlike(r"\.(rs|py|ts|js)\b"), "file"), (q.contains("in module "), "module")], "all")
+    return texts.withColumns({"intent": intent, "keywords": F.array_join(keywords, ","), "scope": scope})
+
+
 def ask(units: DataFrame, question: str) -> DataFrame:
     """(id, relevance, explanation) by the question's intent and keywords."""
     intent, keywords, _ = parse_question(question)
@@ -164,12 +174,34 @@ def architecture(g: Graph) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def infer_architecture(counts: DataFrame) -> DataFrame:
-    """(pattern, layers, confidence) from the counts of roles."""
+    """(pattern, layers, confidence) from the counts of roles: the first rule that holds, of mvc, layered, hexagonal, and monolith for two kinds of parts at most."""
     has = lambda r: F.coalesce(F.max(F.when(F.col("role") == r, F.lit(True))), F.lit(False))
-    a = counts.agg(has("controller").alias("c"), has("service").alias("s"), has("repository").alias("r"), has("model").alias("m"), F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("role") != "utility", F.col("n"))), F.lit(0)).alias("k"))
-    pattern = case([(F.col("c") & F.col("s") & F.col("r"), "layered"), (F.col("c") & F.col("m"), "mvc"), (F.col("r") & F.col("s"), "hexagonal"), (F.col("n") > 0, "monolith")], "unknown")
-    layers = F.col("c").cast("int") + F.col("s").cast("int") + F.col("r").cast("int")
-    return a.select(pattern.alias("pattern"), layers.alias("layers"), r6(F.least(F.lit(1.0), 0.7 * F.col("k") / F.col("n") + F.least(F.lit(0.3), 0.1 * layers))).alias("confidence"))
+    a = counts.agg(
+        has("controller").alias("c"), has("service").alias("s"), has("repository").alias("r"), has("model").alias("m"), F.sum("n").alias("n"),
+        F.coalesce(F.sum(F.when(F.col("role") != "utility", F.col("n"))), F.lit(0)).alias("k"), F.countDistinct(F.when(~F.col("role").isin("utility", "test"), F.col("role"))).alias("kinds"),
+    )
+    c, s, r, m = (F.col(x) for x in "csrm")
+    pattern = case([(c & m & ~r, "mvc"), (c & s & r, "layered"), (s & r & ~c, "hexagonal"), (F.col("kinds") <= 2, "monolith")], "unknown")
+    layers = c.cast("int") + s.cast("int") + r.cast("int")
+    share = F.when(F.col("n") > 0, F.col("k") / F.when(F.col("n") > 0, F.col("n"))).otherwise(0.0)
+    return a.select(pattern.alias("pattern"), layers.alias("layers"), r6(F.least(F.lit(1.0), 0.7 * share + F.least(F.lit(0.3), 0.1 * layers))).alias("confidence"))
+
+
+def validate_architecture(g: Graph, expected: str) -> DataFrame:
+    """(kind, source_id, target_id, expected, actual): calls from repositories to controllers, and the pattern if it isn't the expected one."""
+    counts, _, wrong = architecture(g)
+    none = lambda t: F.lit(None).cast(t)
+    calls = wrong.select(F.lit("layer").alias("kind"), "source_id", "target_id", none("string").alias("expected"), none("string").alias("actual"))
+    return calls.unionAll(infer_architecture(counts).where(F.col("pattern") != expected).select(F.lit("pattern"), none("long"), none("long"), F.lit(expected), "pattern"))
+
+
+def diagram(g: Graph) -> DataFrame:
+    """(json): pattern, components and flows of an architecture, for a display. There are few roles, so these are short lists."""
+    counts, flows, _ = architecture(g)
+    one = infer_architecture(counts).select("pattern", "layers")
+    parts = counts.agg(F.array_sort(F.collect_list(F.struct("role", F.col("n").alias("size")))).alias("components"))
+    ways = flows.agg(F.array_sort(F.collect_list(F.struct(F.col("from_role").alias("from"), F.col("to_role").alias("to"), "calls"))).alias("flows"))
+    return one.crossJoin(parts).crossJoin(ways).select(F.to_json(F.struct("pattern", "layers", "components", "flows")).alias("json"))  # one row each
 
 
 def naming_patterns(units: DataFrame, least: int = 3) -> DataFrame:
@@ -181,14 +213,44 @@ def naming_patterns(units: DataFrame, least: int = 3) -> DataFrame:
     return p.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("pattern", "n", r6(F.least(F.lit(0.95), 0.15 * F.col("n"))).alias("confidence"))
 
 
+def _directory(path: str = "file_path") -> Column:
+    return F.regexp_extract(path, "^(.*)/", 1)
+
+
 def directory_patterns(units: DataFrame, least: int = 3, share: float = 0.7) -> DataFrame:
     """(directory, unit_type, n, share): the type that dominates a directory."""
-    by = units.groupBy(F.regexp_extract("file_path", "^(.*)/", 1).alias("directory"), "unit_type").agg(F.count("*").alias("k"))
+    by = units.groupBy(_directory().alias("directory"), "unit_type").agg(F.count("*").alias("k"))
     a = by.groupBy("directory").agg(F.sum("k").alias("n"), F.max(F.struct("k", "unit_type")).alias("top"))
     s = F.col("top.k") / F.col("n")
     return a.where((F.col("n") >= least) & (s > share)).select("directory", F.col("top.unit_type").alias("unit_type"), "n", r6(F.least(F.lit(0.9), s)).alias("share"))
 
 
+def _instances(units: DataFrame) -> DataFrame:
+    """(pattern, id, file_path): members of naming patterns with their files, and of directory patterns with their directories."""
+    n = F.col("name")
+    u = units.where(n.contains("_"))
+    first, last = F.substring_index(n, "_", 1), F.substring_index(n, "_", -1)
+    named = u.where(F.length(first) >= 3).select(F.concat(first, F.lit("_*")).alias("pattern"), "id", "file_path").unionAll(u.where(F.length(last) >= 4).select(F.concat(F.lit("*_"), last), "id", "file_path"))
+    named = named.join(naming_patterns(units).select("pattern"), "pattern", "left_semi")
+    top = directory_patterns(units).where("directory <> ''").select("directory", "unit_type")
+    placed = units.withColumn("directory", _directory()).join(top, ["directory", "unit_type"])
+    return named.unionAll(placed.select(F.concat(F.lit("dir:"), "directory", F.lit(":"), "unit_type"), "id", F.col("directory")))
+
+
+def check_patterns(units: DataFrame, unit: int) -> DataFrame:
+    """(pattern): those that others in or below the unit's directory follow, and it doesn't."""
+    every = _instances(units)
+    at = units.where(F.col("id") == unit).select(_directory().alias("at"))
+    near = every.crossJoin(F.broadcast(at)).where(F.col("file_path").startswith(F.col("at")) & (F.col("at") != "")).select("pattern").distinct()  # one row
+    return near.join(every.where(F.col("id") == unit).select("pattern"), "pattern", "left_anti")
+
+
+def suggest_patterns(units: DataFrame, path: str) -> DataFrame:
+    """(pattern, n): patterns that units in or below a new file's directory follow, and how many of them do."""
+    at = path.rpartition("/")[0]
+    return _instances(units).where(F.col("file_path").startswith(at) if at else F.lit(False)).groupBy("pattern").agg(F.count("*").alias("n"))
+
+
 def design_patterns(g: Graph) -> DataFrame:
     """(pattern, id, score): factories, repositories, decorators and singletons.
 
@@ -203,8 +265,10 @@ def design_patterns(g: Graph) -> DataFrame:
     crud = functions.where(n.rlike("^(get|find|create|save|update|delete|insert)")).groupBy(parent.alias("owner")).agg(F.count("*").alias("crud"))
     owned = types.where(n.contains("repository") | n.contains("repo")).select("id", F.lower("qualified_name").alias("owner")).join(crud, "owner", "left")
     repository = owned.select(F.lit("repository"), "id", F.when(F.col("crud") >= 3, 0.9).when(F.col("crud") >= 1, 0.6).otherwise(0.4))
-    holders = functions.where(n.isin("instance", "get_instance", "shared", "default")).select(parent.alias("owner"), F.lit(1).alias("i")).distinct()
-    single = types.select("id", F.lower("qualified_name").alias("owner"), "visibility").join(holders, "owner").select(F.lit("singleton"), "id", (0.5 * (F.col("i") + (F.col("visibility") == "private").cast("int"))).alias("score"))
+    access = n.contains("instance") | n.contains("shared") | (n == "default")
+    hidden = n.isin("__init__", "new", "constructor") & (F.col("visibility") == "private")
+    marks = functions.where(access | hidden).groupBy(parent.alias("owner")).agg(F.max(access.cast("int")).alias("i"), F.max(hidden.cast("int")).alias("c"))
+    single = types.select("id", F.lower("qualified_name").alias("owner")).join(marks, "owner").select(F.lit("singleton"), "id", (0.5 * (F.col("i") + F.col("c"))).alias("score"))
     return factory.unionAll(repository).unionAll(decorator).unionAll(single)
 
 

@@ -6,86 +6,168 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import case, r6
+from lodestone.state import small
 
-_STOP = ("HTTP", "JSON", "API", "TODO", "NOTE", "README", "GitHub", "JavaScript", "TypeScript")
+#: English words that name nothing, even in back-ticks.
+STOP = tuple(
+    "a about above after again all an and are as at be because been before being below between both but by can could did do does down during each every few for from further "
+    "had has have he her here him his how i if in into is it its just may me might more most must my no nor not of off on once only or other our out over own same shall she should "
+    "so some such than that the their them then there these they this those through to too under up us very was we were what when where which while who whom why will with would you your".split()
+)
+SNAKE, SCREAM = r"^[a-z][a-z0-9]*(_[a-z0-9]+)+$", r"^[A-Z][A-Z0-9]*(_[A-Z0-9]+)+$"
+#: All three hold for a CamelCase word: letters and digits, two capitals, a small letter after the first.
+CAMEL = (r"^[A-Z][A-Za-z0-9]+$", r"[A-Z].*[A-Z]", r"^.+[a-z]")
 
 
 def references(text: Column) -> Column:
-    """Array of names: all in back-ticks, then snake_case, CamelCase and SCREAMING_CASE words, each once."""
-    ticked = F.filter(F.transform(F.regexp_extract_all(text, F.lit("`([^`]+)`"), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
-    words = F.regexp_extract_all(F.regexp_replace(text, "`[^`]+`", " "), F.lit(r"([A-Za-z0-9_]+)"), F.lit(1))
-    snake = r"^[a-z][a-z0-9]*(_[a-z0-9]+)+$"
-    camel = r"^[A-Z][a-z0-9]+[A-Z][A-Za-z0-9]*$"
-    scream = r"^[A-Z][A-Z0-9]*(_[A-Z0-9]+)+$"
-    known = F.filter(words, lambda w: (w.rlike(snake) | w.rlike(camel) | w.rlike(scream)) & ~w.isin(*_STOP))
-    return F.array_distinct(F.concat(ticked, F.array_distinct(known)))
+    """Array of names: all in back-ticks, as often as they are, then the snake_case, CamelCase and SCREAMING_CASE words that aren't among them, each once."""
+    lower_stop = lambda w: F.lower(w).isin(*STOP)
+    ticked = F.filter(F.transform(F.regexp_extract_all(text, F.lit("`([^`]*)`"), F.lit(1)), lambda x: F.trim(x)), lambda x: (x != "") & ~lower_stop(x))
+    words = F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9_]+)"), F.lit(1))
+    camel = lambda w: w.rlike(CAMEL[0]) & w.rlike(CAMEL[1]) & w.rlike(CAMEL[2])
+    known = F.filter(words, lambda w: (w.rlike(SNAKE) | camel(w) | w.rlike(SCREAM)) & ~lower_stop(w))
+    return F.concat(ticked, F.array_except(known, ticked))
 
 
-def find_evidence(refs: DataFrame, units: DataFrame) -> DataFrame:
-    """(claim_id, ref, id, tier): units of the first tier that has any: exact name (1), qualified name ends with it (2), name in any case (3).
+def exploded(claims: DataFrame) -> DataFrame:
+    """(claim_id, ref) of claims (claim_id, text)."""
+    return claims.select("claim_id", F.explode(references(F.col("text"))).alias("ref"))
 
-    The three tiers are equi-joins on the name, the last part of the qualified name and the lower-cased name.
-    """
+
+def _keys(units: DataFrame) -> DataFrame:
+    """(id, key, tier): the ways by which a unit is found."""
     last = F.regexp_extract("qualified_name", r"([A-Za-z0-9_]+)$", 1)
-    keys = units.select("id", F.explode(F.array(F.struct(F.col("name").alias("key"), F.lit(1).alias("tier")), F.struct(last.alias("key"), F.lit(2).alias("tier")), F.struct(F.lower("name").alias("key"), F.lit(3).alias("tier")))).alias("k")).select("id", "k.*")
-    asked = refs.select("claim_id", "ref", F.explode(F.array(F.struct(F.col("ref").alias("key"), F.lit(1).alias("tier")), F.struct(F.col("ref").alias("key"), F.lit(2).alias("tier")), F.struct(F.lower("ref").alias("key"), F.lit(3).alias("tier")))).alias("k")).select("claim_id", "ref", "k.*")
-    hit = asked.join(keys, ["key", "tier"])
-    best = F.min("tier").over(Window.partitionBy("claim_id", "ref"))
-    return hit.withColumn("best", best).where("tier = best").select("claim_id", "ref", "id", "tier").distinct()
+    return units.select("id", F.explode(F.array(F.struct(F.col("name").alias("key"), F.lit(1).alias("tier")), F.struct(last.alias("key"), F.lit(2).alias("tier")), F.struct(F.lower("name").alias("key"), F.lit(3).alias("tier")))).alias("k")).select("id", "k.*")
+
+
+def tiers(refs: DataFrame, units: DataFrame) -> DataFrame:
+    """(ref, key, tier) of each reference that has evidence: by the exact name (1), the last part of the qualified name (2) or the name in any case (3).
+
+    Distinct references meet distinct keys, so popular names aren't multiplied.
+    """
+    asked = refs.select("ref").distinct().select("ref", F.explode(F.array(*(F.struct(k.alias("key"), F.lit(t).alias("tier")) for t, k in enumerate((F.col("ref"), F.col("ref"), F.lower("ref")), 1)))).alias("k")).select("ref", "k.*")
+    have = _keys(units).select("key", "tier").distinct()
+    return asked.join(have, ["key", "tier"], "left_semi").groupBy("ref").agg(F.min(F.struct("tier", "key")).alias("b")).select("ref", "b.key", "b.tier")
+
+
+def find_evidence(refs: DataFrame, units: DataFrame) -> DataFrame:
+    """(claim_id, ref, id, tier): the units of the first tier that has any."""
+    found = tiers(refs, units).join(_keys(units), ["key", "tier"]).select("ref", "id", "tier").distinct()
+    return refs.distinct().join(found, "ref").select("claim_id", "ref", "id", "tier")
 
 
 def ground(claims: DataFrame, units: DataFrame) -> DataFrame:
     """(claim_id, refs, matched, verdict, confidence) of claims (claim_id, text)."""
-    refs = claims.select("claim_id", F.explode(references(F.col("text"))).alias("ref"))
-    found = find_evidence(refs, units).select("claim_id", "ref").distinct().groupBy("claim_id").agg(F.count("*").alias("matched"))
+    refs = exploded(claims)
+    found = refs.join(tiers(refs, units).select("ref"), "ref", "left_semi").groupBy("claim_id").agg(F.count("*").alias("matched"))
     n = claims.select("claim_id", F.size(references(F.col("text"))).cast("long").alias("refs")).join(found, "claim_id", "left").na.fill(0, ["matched"])
     some = F.col("refs") > 0
     verdict = case([(~some, "ungrounded"), (F.col("matched") == F.col("refs"), "verified"), (F.col("matched") == 0, "ungrounded")], "partial")
     return n.select("claim_id", "refs", "matched", verdict.alias("verdict"), r6(F.when(some, F.col("matched") / F.when(some, F.col("refs"))).otherwise(0.0)).alias("confidence"))
 
 
-def suggest(names: DataFrame, units: DataFrame, limit: int = 3) -> DataFrame:
+def _missing(refs: DataFrame, units: DataFrame) -> DataFrame:
+    return refs.distinct().join(tiers(refs, units).select("ref"), "ref", "left_anti").select("claim_id", "ref")
+
+
+def suggestions(claims: DataFrame, units: DataFrame, limit: int = 3) -> DataFrame:
+    """(claim_id, names): for claims that aren't verified, the names suggested for their references without evidence, sorted, each once."""
+    missing = _missing(exploded(claims), units)
+    return missing.join(suggest(missing, units, limit), "ref").groupBy("claim_id").agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
+def prefixed(names: DataFrame, refs: DataFrame) -> DataFrame:
+    """(ref, name) where one begins with the other, in any case: equality joins on beginnings of the lengths that there are."""
+    names, refs = names.select("name", F.lower("name").alias("n")), refs.select("ref", F.lower("ref").alias("r"))
+    # a row for each length, so at most as many as the longest name has characters
+    longer = names.join(F.broadcast(refs.select(F.length("r").alias("k")).distinct()), F.length("n") >= F.col("k")).select("name", F.expr("substring(n, 1, k)").alias("r"))
+    shorter = refs.join(F.broadcast(names.select(F.length("n").alias("k")).distinct()), F.length("r") > F.col("k")).select("ref", F.expr("substring(r, 1, k)").alias("n"))
+    return longer.join(refs, "r").select("ref", "name").unionAll(names.join(shorter, "n").select("ref", "name"))
+
+
+def suggest(refs: DataFrame, units: DataFrame, limit: int = 3) -> DataFrame:
     """(ref, name, distance, relevance): unit names that begin like it (0), or are within half its length by Levenshtein distance.
 
-    Only names of a length that can match are compared; prefixes are found on their own.
+    A distance of half the length leaves no key that both must share, so each reference is a search of all names of a length that can match:
+    references are a set of queries, names are scanned in blocks.
     """
-    have = units.select("name").distinct()
-    n, r = F.lower("name"), F.lower("ref")
-    prefix = n.startswith(r) | r.startswith(n)
-    near = F.abs(F.length("name") - F.length("ref")) <= F.floor(F.length("ref") / 2)
-    d = F.when(prefix, 0).otherwise(F.levenshtein(n, r))
-    pairs = have.join(names.select("ref").distinct(), prefix | near).withColumn("distance", d).where(prefix | ((F.col("distance") > 0) & (F.col("distance") <= F.floor(F.length("ref") / 2))))
+    have, asked = units.select("name").distinct(), refs.select("ref").distinct()
+    n, r, half = F.lower("name"), F.lower("ref"), F.floor(F.length("ref") / 2)
+    near = have.join(small(asked, 64), F.abs(F.length("name") - F.length("ref")) <= half).withColumn("distance", F.levenshtein(n, r)).where((F.col("distance") > 0) & (F.col("distance") <= half))
+    pairs = prefixed(have, asked).withColumn("distance", F.lit(0)).unionByName(near.select("ref", "name", "distance")).groupBy("ref", "name").agg(F.min("distance").alias("distance"))
     k = F.row_number().over(Window.partitionBy("ref").orderBy("distance", "name"))
     return pairs.withColumn("k", k).where(F.col("k") <= limit).select("ref", "name", "distance", r6(1 - 0.1 * (F.col("k") - 1)).alias("relevance"))
 
 
 def cite(claims: DataFrame, units: DataFrame) -> DataFrame:
     """(claim_id, ref, id, strength): direct by the exact name, strong by the qualified name, partial in another case."""
-    refs = claims.select("claim_id", F.explode(references(F.col("text"))).alias("ref"))
-    return find_evidence(refs, units).select("claim_id", "ref", "id", case([(F.col("tier") == 1, "direct"), (F.col("tier") == 2, "strong")], "partial").alias("strength"))
+    return find_evidence(exploded(claims), units).select("claim_id", "ref", "id", case([(F.col("tier") == 1, "direct"), (F.col("tier") == 2, "strong")], "partial").alias("strength"))
 
 
 def contradictions(claims: DataFrame, units: DataFrame) -> DataFrame:
     """(claim_id, ref, kind) of references without evidence: contradicted if a name begins alike or is within a third of its length, else not_found."""
-    refs = claims.select("claim_id", F.explode(references(F.col("text"))).alias("ref"))
-    missing = refs.join(find_evidence(refs, units).select("claim_id", "ref").distinct(), ["claim_id", "ref"], "left_anti").distinct()
+    missing = _missing(exploded(claims), units)
     close = suggest(missing, units, 1).where((F.col("distance") == 0) | (F.col("distance") <= F.floor(F.length("ref") / 3))).select("ref", F.lit(True).alias("c"))
     return missing.join(close, "ref", "left").select("claim_id", "ref", F.when(F.col("c"), "contradicted").otherwise("not_found").alias("kind"))
 
 
+def sentences(outputs: DataFrame) -> DataFrame:
+    """(claim_id, k, text): sentences end with a line, or with a full stop before white space, so that paths of files stay whole."""
+    parts = F.transform(F.split(F.regexp_replace("text", r"\.(\s|$)", "\n"), "\n"), lambda x: F.trim(x))
+    return outputs.select("claim_id", F.posexplode(F.filter(parts, lambda s: F.length(s) > 5)).alias("k", "text"))
+
+
+def hallucinated(outputs: DataFrame, units: DataFrame) -> DataFrame:
+    """(claim_id, k, ref, kind, severity, file) of references in sentences that aren't grounded: without a unit of that name in any case, or said to be in another file."""
+    refs = sentences(outputs).withColumn("ref", F.explode(references(F.col("text"))))
+    known = refs.join(tiers(refs, units).select("ref", F.lit(1).alias("e")), "ref", "left")
+    bad = known.groupBy("claim_id", "k").agg(F.count("*").alias("n"), F.count("e").alias("m")).where("m < n").select("claim_id", "k")
+    exact = units.groupBy(F.col("name").alias("ref")).agg(F.min(F.struct("id", "file_path")).alias("x")).select("ref", F.col("x.file_path").alias("f1"))
+    lower = units.groupBy(F.lower("name").alias("low")).agg(F.min(F.struct("id", "file_path")).alias("x")).select("low", F.col("x.file_path").alias("f2"))
+    j = refs.join(bad, ["claim_id", "k"], "left_semi").withColumn("low", F.lower("ref")).join(exact, "ref", "left").join(lower, "low", "left").withColumn("file", F.coalesce("f1", "f2"))
+    places = F.filter(F.transform(F.split("text", r"\s+"), lambda w: F.regexp_replace(w, r"^[^A-Za-z0-9/._]+|[^A-Za-z0-9/._]+$", "")), lambda w: w.contains("/") & w.contains("."))
+    speaks = F.lower("text").contains("in ") | F.lower("text").contains("file")
+    moved = speaks & F.exists(places, lambda w: ~F.col("file").contains(w))
+    kind = F.when(F.col("file").isNull(), "non_existent").when(moved, "wrong_location")
+    return j.withColumn("kind", kind).where("kind is not null").select("claim_id", "k", "ref", "kind", F.when(F.col("kind") == "non_existent", "severe").otherwise("moderate").alias("severity"), "file")
+
+
 def hallucinations(outputs: DataFrame, units: DataFrame) -> DataFrame:
-    """(claim_id, claims, missing, score, safe): sentences of a text that name what isn't there."""
-    parts = outputs.select(F.col("claim_id").alias("out_id"), F.posexplode(F.filter(F.transform(F.split("text", r"[.\n]"), lambda x: F.trim(x)), lambda s: F.length(s) > 5)).alias("k", "text"))
-    s = parts.select(F.concat_ws(":", "out_id", "k").alias("claim_id"), "out_id", "text")
-    g = ground(s.select("claim_id", "text"), units).where("refs > 0").select("claim_id", (F.col("refs") - F.col("matched")).alias("missing"))
-    a = s.join(g, "claim_id").groupBy("out_id").agg(F.count("*").alias("claims"), F.sum("missing").alias("missing"))
-    raw = F.col("missing") / F.col("claims")
-    return a.select(F.col("out_id").alias("claim_id"), "claims", "missing", r6(F.least(F.lit(1.0), raw)).alias("score"), (raw < 0.3).alias("safe"))
-
-
-def truth_check(registered: DataFrame, units: DataFrame) -> DataFrame:
-    """(claim_id, before, status, changed): registered(claim_id, text, matched); valid while as much is matched as then, deleted with no match left, else stale."""
-    now = ground(registered.select("claim_id", "text"), units).select("claim_id", F.col("matched").alias("now"))
-    j = registered.join(now, "claim_id")
-    status = case([(F.col("now") == 0, "deleted"), (F.col("now") < F.col("matched"), "stale")], "valid")
-    return j.select("claim_id", F.lit("valid").alias("before"), status.alias("status"), (status != "valid").alias("changed"))
+    """(claim_id, claims, missing, misplaced, score, safe) of every text: its sentences with references, and what is wrong in them."""
+    n = sentences(outputs).where(F.size(references(F.col("text"))) > 0).groupBy("claim_id").agg(F.count("*").alias("claims"))
+    kinds = hallucinated(outputs, units).groupBy("claim_id").agg(F.count_if(F.col("kind") == "non_existent").alias("missing"), F.count_if(F.col("kind") == "wrong_location").alias("misplaced"))
+    a = outputs.select("claim_id").join(n, "claim_id", "left").join(kinds, "claim_id", "left").na.fill(0)
+    raw = F.when(F.col("claims") > 0, (F.col("missing") + F.col("misplaced")) / F.when(F.col("claims") > 0, F.col("claims"))).otherwise(0.0)
+    return a.select("claim_id", "claims", "missing", "misplaced", r6(F.least(F.lit(1.0), raw)).alias("score"), (raw < 0.3).alias("safe"))
+
+
+def fixes(outputs: DataFrame, units: DataFrame, most: int = 5) -> DataFrame:
+    """(claim_id, k, ref, fix): names that begin alike, or none, instead of what doesn't exist; the file of what is elsewhere."""
+    found = hallucinated(outputs, units)
+    like = prefixed(units.select("name").distinct(), found.where("kind = 'non_existent'").select("ref").distinct()).distinct()
+    best = like.withColumn("i", F.row_number().over(Window.partitionBy("ref").orderBy("name"))).where(F.col("i") <= most).groupBy("ref").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
+    text = case([(F.col("kind") == "wrong_location", F.concat(F.lit("actually in "), "file")), (F.col("names").isNotNull(), F.concat(F.lit("replace by one of: "), "names"))], F.lit("remove"))
+    return found.join(best, "ref", "left").select("claim_id", "k", "ref", text.alias("fix")).distinct()
+
+
+def check(claims: DataFrame, units: DataFrame) -> DataFrame:
+    """(claim_id, status): valid if all that a claim names is there, deleted if nothing is, else stale."""
+    g = ground(claims, units)
+    return g.select("claim_id", case([(F.col("verdict") == "verified", "valid"), (F.col("matched") == 0, "deleted")], "stale").alias("status"))
+
+
+def register(claims: DataFrame, at: int) -> DataFrame:
+    """(claim_id, text, established_at, status, invalidated_at): truths to be maintained."""
+    return claims.select("claim_id", "text", F.lit(at).cast("long").alias("established_at"), F.lit("valid").alias("status"), F.lit(None).cast("long").alias("invalidated_at"))
+
+
+def refresh(truths: DataFrame, units: DataFrame, at: int) -> DataFrame:
+    """The truths against a graph of now: those that were valid change their status; what was invalid before stays as it was."""
+    now = check(truths.select("claim_id", "text"), units).withColumnRenamed("status", "now")
+    turned = (F.col("status") == "valid") & (F.col("now") != "valid")
+    return truths.join(now, "claim_id").select("claim_id", "text", "established_at", F.when(turned, F.col("now")).otherwise(F.col("status")).alias("status"), F.when(turned, F.lit(at).cast("long")).otherwise(F.col("invalidated_at")).alias("invalidated_at"))
+
+
+def truth_diff(truths: DataFrame) -> DataFrame:
+    """The truths that hold no more."""
+    return truths.where("status <> 'valid'")

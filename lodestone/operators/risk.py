@@ -165,10 +165,31 @@ def blast_radius(g: Graph, hit: DataFrame) -> DataFrame:
     return a.withColumn("risk_level", level)
 
 
-def as_json(hit: DataFrame, radius: DataFrame) -> DataFrame:
-    """(json): nodes and blast radius of a change, for a display."""
-    nodes = hit.agg(F.array_sort(F.collect_list(F.struct("id", "depth", "impact"))).alias("nodes"))
-    return nodes.crossJoin(radius).select(F.to_json(F.struct("nodes", "files", "total", "risk_level")).alias("json"))
+def impact_paths(g: Graph, unit: int, depth: int) -> DataFrame:
+    """(id, depth, path): how a change of a unit reaches each other, by the same edges as the analysis."""
+    return bfs(g.edges, one(g.units, unit), depth, IMPACT_TYPES, "backward").where("depth > 0")
+
+
+def mitigations(kind: str, radius: DataFrame) -> DataFrame:
+    """(description, effort, reduction) by the kind of change, the risk level and the tests affected."""
+    own = {
+        "signature": [("keep the old signature as a wrapper", "low", 0.7), ("deprecate the old signature for a while", "medium", 0.9)],
+        "deletion": [("warn of the deprecation first", "low", 0.5)],
+        "rename": [("leave an alias under the old name", "low", 0.8)],
+    }.get(kind, [])
+    rows = [*((*r, "true") for r in own), ("release step by step behind a flag", "medium", 0.6, "risk_level in ('high', 'critical')"), ("add tests before the change", "medium", 0.4, "tests = 0")]
+    some = F.array(*(F.when(F.expr(c), F.struct(F.lit(d).alias("description"), F.lit(e).alias("effort"), F.lit(x).alias("reduction"))) for d, e, x, c in rows))
+    return radius.select(F.explode(F.filter(some, lambda x: x.isNotNull())).alias("x")).select("x.*")
+
+
+def as_json(g: Graph, unit: int, hit: DataFrame, radius: DataFrame, paths: DataFrame) -> DataFrame:
+    """(json): nodes, edges (the last hops of paths) and blast radius of a change, for a display."""
+    names = g.units.select("id", "name")
+    root = names.where(F.col("id") == unit).select(F.struct("id", "name", F.lit("change_target").alias("type"), F.lit(0).alias("distance"), F.lit(1.0).alias("probability")).alias("x"))
+    reached = hit.join(names, "id").select(F.struct("id", "name", F.col("impact").alias("type"), F.col("depth").alias("distance"), "probability").alias("x"))
+    nodes = root.unionAll(reached).agg(F.array_sort(F.collect_list("x")).alias("nodes"))
+    edges = paths.agg(F.array_sort(F.collect_list(F.struct(F.element_at("path", -2).alias("from"), F.col("id").alias("to")))).alias("edges"))
+    return nodes.crossJoin(edges).crossJoin(radius).select(F.to_json(F.struct("nodes", "edges", F.struct("files", "functions", "modules", "tests").alias("blast_radius"), "risk_level")).alias("json"))  # one row each
 
 
 def regression(g: Graph, unit: int, depth: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import case, r6, reasons
@@ -92,20 +92,31 @@ def top_predictions(predicted: DataFrame, top: int = 20, least: float = 0.3) ->
     return predicted.where(F.col("risk") >= least).orderBy(F.desc("risk"), "path").limit(top)
 
 
-def alerts(predicted: DataFrame, top: int = 20, least: float = 0.3) -> DataFrame:
+def alerts(predicted: DataFrame, top: int = 20, least: float = 0.3, hotspot: float = 0.7, systemic: float = 0.6) -> DataFrame:
     """(kind, path, risk): hotspots among the top predictions; the systemic alert names the first five if all paths' average is high."""
     best = top_predictions(predicted, top, least)
     average = predicted.agg(F.avg("risk").alias("average"))
-    first = best.withColumn("k", F.row_number().over(Window.orderBy(F.desc("risk"), "path"))).where("k <= 5").crossJoin(F.broadcast(average)).where("average > 0.6")  # one row
-    return best.where("risk > 0.7").select(F.lit("hotspot").alias("kind"), "path", "risk").unionAll(first.select(F.lit("systemic"), "path", "risk"))
+    first = best.withColumn("k", F.row_number().over(Window.orderBy(F.desc("risk"), "path"))).where("k <= 5").crossJoin(F.broadcast(average)).where(F.col("average") > systemic)  # one row
+    return best.where(F.col("risk") > hotspot).select(F.lit("hotspot").alias("kind"), "path", "risk").unionAll(first.select(F.lit("systemic"), "path", "risk"))
 
 
-def evidence(units: DataFrame) -> DataFrame:
-    """(id, predictions, confidence) by thresholds of units with their in-degree n_in."""
-    rules = [(F.col("complexity") > 15, "bugs by complexity", 0.8), (F.col("change_count") > 10, "needs refactoring", 0.7), (F.col("stability_score") < 0.3, "more changes", 0.9), (F.col("n_in") > 10, "wide impact", 0.6)]
+def evidence(units: DataFrame, scenario: str = "") -> DataFrame:
+    """(id, predictions, confidence) by thresholds of units with their in-degree n_in; a scenario adds a prediction, not evidence."""
+    rules = [(F.col("complexity") > 15, "bugs by complexity", 0.8), (F.col("change_count") > 10, "needs refactoring", 0.7), (F.col("stability_score") < 0.3, "more changes", 0.8), (F.col("n_in") > 10, "wide impact", 0.9)]
     hit = F.filter(F.array(*(F.when(c, F.struct(F.lit(t).alias("outcome"), F.lit(w).alias("weight"))) for c, t, w in rules)), lambda x: x.isNotNull())
     mean = F.aggregate(F.col("hit"), F.lit(0.0), lambda s, x: s + x["weight"]) / F.greatest(F.size("hit"), F.lit(1))
-    return units.withColumn("hit", hit).select("id", F.array_join(F.transform("hit", lambda x: x["outcome"]), "; ").alias("predictions"), r6(F.when(F.size("hit") > 0, F.least(F.lit(1.0), mean)).otherwise(0.3)).alias("confidence"))
+    return units.withColumn("hit", hit).select("id", F.concat_ws("; ", F.when(F.size("hit") > 0, F.array_join(F.transform("hit", lambda x: x["outcome"]), "; ")).otherwise("stable"), F.lit(f"if {scenario}: more changes" if scenario else None)).alias("predictions"), r6(F.when(F.size("hit") > 0, F.least(F.lit(1.0), mean)).otherwise(0.3)).alias("confidence"))
+
+
+def evidence_compare(units: DataFrame, a: int, b: int) -> DataFrame:
+    """(side, id, predictions, confidence) of two units."""
+    found = evidence(units.where(F.col("id").isin(a, b)))
+    return found.select(F.when(F.col("id") == a, "a").otherwise("b").alias("side"), "id", "predictions", "confidence")
+
+
+def pattern_evidence(spark: SparkSession, pattern: str) -> DataFrame:
+    """(pattern, predictions, confidence): nothing can be said of a pattern without its history."""
+    return spark.createDataFrame([(pattern, "needs more data", 0.3)], "pattern string, predictions string, confidence double")
 
 
 def module_evidence(units: DataFrame, prefix: str) -> DataFrame:
@@ -119,9 +130,17 @@ def investigate(units: DataFrame, h: DataFrame) -> DataFrame:
     j = units.join(h, "path", "left")
     n, age = F.coalesce("n", F.lit(0)), F.coalesce(F.expr("(latest - oldest) div 86400"), F.lit(0))
     ratio = F.col("bugfixes") / F.col("changes")
-    x = j.select("id", "stability_score", n.alias("changes"), F.coalesce("bugfixes", F.lit(0)).alias("bugfixes"), F.coalesce("n_authors", F.lit(0)).alias("n_authors"), age.alias("age_days"))
+    x = j.select("id", "stability_score", n.alias("changes"), F.coalesce("bugfixes", F.lit(0)).alias("bugfixes"), F.coalesce("n_authors", F.lit(0)).alias("n_authors"), F.coalesce("churn", F.lit(0)).alias("churn"), age.alias("age_days"))
     some = F.col("changes") > 0
     ratio = F.when(some, F.col("bugfixes") / F.when(some, F.col("changes")))
     phase = case([(~some, "unknown"), ((F.col("stability_score") > 0.8) & (F.col("age_days") > 180), "stable"), ((ratio > 0.6) & (F.col("age_days") > 90), "decaying"), ((F.col("age_days") < 30) | (F.col("changes") > 10), "active")], "maturing")
-    why = reasons([(F.col("age_days") > 365, "mature"), (F.col("age_days") < 30, "new"), (some & (ratio > 0.5), "problematic"), (F.col("n_authors") > 5, "many hands")])
+    why = reasons([(F.col("age_days") > 365, "mature"), (F.col("age_days") < 30, "new"), (ratio > 0.5, "problematic"), (F.col("n_authors") > 3, "many hands"), (F.col("n_authors") == 1, "one owner"), (F.col("churn") > 500, "reworked"), (F.col("stability_score") < 0.3, "volatile"), (F.col("stability_score") > 0.8, "settled")])
+    why = F.when(~some, "no history").when(why == "", "typical").otherwise(why)
     return x.select("id", "changes", "bugfixes", "age_days", phase.alias("phase"), why.alias("explanation"))
+
+
+def when_changed(units: DataFrame, changes: DataFrame) -> DataFrame:
+    """(id, ts, author, kind, description) of every change of the files of units(id, path)."""
+    kind = F.when(F.col("is_bugfix"), "bugfix").otherwise("unknown")
+    text = F.concat("change_type", F.lit(" by "), "author", F.lit(" (+"), F.col("lines_added").cast("string"), F.lit(" -"), F.col("lines_deleted").cast("string"), F.lit(")"))
+    return units.select("id", "path").join(changes, "path").select("id", "ts", "author", kind.alias("kind"), text.alias("description"))

@@ -41,16 +41,21 @@ _R = _P + ", nr as (select path, avg(strength) as s, count(*) as k from (select
 _pred = lambda s, d: T.predict(_h(s, d), T.cochange(load(s, d).changes, 2, 0.05))
 _q("h6_predictions", _H1 + _R, "select * from pred")(_pred)
 _q("h6_top_predictions", _H1 + _R, "select * from pred where risk >= 2e-1 order by risk desc, path limit 20")(lambda s, d: T.top_predictions(_pred(s, d), 20, 0.2))
-_q("h7_alerts", _H1 + _R + ", best as (select * from pred where risk >= 3e-1 order by risk desc, path limit 20)", "select 'hotspot' as kind, path, risk from best where risk > 7e-1 union all select 'systemic', path, risk from (select * from best order by risk desc, path limit 5) x where (select avg(risk) from pred) > 6e-1")(lambda s, d: T.alerts(_pred(s, d)))
+_q("h7_alerts", _H1 + _R + ", best as (select * from pred where risk >= 3e-1 order by risk desc, path limit 20)", "select 'hotspot' as kind, path, risk from best where risk > 5e-1 union all select 'systemic', path, risk from (select * from best order by risk desc, path limit 5) x where (select avg(risk) from pred) > 25e-2")(lambda s, d: T.alerts(_pred(s, d), hotspot=0.5, systemic=0.25))
 _E = ", din as (select target_id as id, count(*) as n_in from edges group by target_id), ev as (select u.id, complexity > 15 as a, change_count > 10 as b, stability_score < 3e-1 as c, coalesce(n_in, 0) > 10 as d from units u left join din on din.id = u.id)"
-_q("h8_evidence", _E, "select id, concat_ws('; ', case when a then 'bugs by complexity' end, case when b then 'needs refactoring' end, case when c then 'more changes' end, case when d then 'wide impact' end) as predictions, round(case when a or b or c or d then least(1e0, (case when a then 8e-1 else 0e0 end + case when b then 7e-1 else 0e0 end + case when c then 9e-1 else 0e0 end + case when d then 6e-1 else 0e0 end) / (cast(a as int) + cast(b as int) + cast(c as int) + cast(d as int))) else 3e-1 end, 6) as confidence from ev")(
-    lambda s, d: T.evidence(with_degrees(load(s, d)))
-)
+_said = "concat_ws('; ', case when not (a or b or c or d) then 'stable' end, case when a then 'bugs by complexity' end, case when b then 'needs refactoring' end, case when c then 'more changes' end, case when d then 'wide impact' end{more}) as predictions, round(case when a or b or c or d then least(1e0, (case when a then 8e-1 else 0e0 end + case when b then 7e-1 else 0e0 end + case when c then 8e-1 else 0e0 end + case when d then 9e-1 else 0e0 end) / (cast(a as int) + cast(b as int) + cast(c as int) + cast(d as int))) else 3e-1 end, 6) as confidence from ev"
+_q("h8_evidence", _E, "select id, " + _said.format(more=""))(lambda s, d: T.evidence(with_degrees(load(s, d))))
+_q("h8_if", _E, "select id, " + _said.format(more=", 'if split: more changes'"))(lambda s, d: T.evidence(with_degrees(load(s, d)), "split"))
+_q("h8_compare", _E, "select case id when 138 then 'a' else 'b' end as side, id, " + _said.format(more="") + " where id in (138, 169)")(lambda s, d: T.evidence_compare(with_degrees(load(s, d)), 138, 169))
+query("h8_pattern", "select 'factory' as pattern, 'needs more data' as predictions, 3e-1 as confidence")(lambda s, d: T.pattern_evidence(s, "factory"))
 _q("h8_module", "", "select count(*) as units, round(coalesce(avg(complexity), 0e0), 6) as complexity, cast(coalesce(sum(change_count), 0) as bigint) as changes, concat_ws('; ', case when avg(complexity) > 10 then 'complex module' end, case when sum(change_count) > 50 then 'volatile module' end) as verdict from units where qualified_name like 'brand1%'")(lambda s, d: T.module_evidence(load(s, d).units, "brand1"))
-_I = ", iv as (select id, stability_score, coalesce(n, 0) as changes, coalesce(bugfixes, 0) as bugfixes, coalesce(n_authors, 0) as n_authors, coalesce((latest - oldest) // 86400, 0) as age_days from units u left join h on h.path = 'p' || u.id)"
-_q("h9_investigate", _H1 + _I, "select id, changes, bugfixes, age_days, case when changes = 0 then 'unknown' when stability_score > 8e-1 and age_days > 180 then 'stable' when bugfixes * 1e0 / changes > 6e-1 and age_days > 90 then 'decaying' when age_days < 30 or changes > 10 then 'active' else 'maturing' end as phase, concat_ws('; ', case when age_days > 365 then 'mature' end, case when age_days < 30 then 'new' end, case when changes > 0 and bugfixes * 1e0 / changes > 5e-1 then 'problematic' end, case when n_authors > 5 then 'many hands' end) as explanation from iv")(
+_I = ", iv as (select id, stability_score, coalesce(n, 0) as changes, coalesce(bugfixes, 0) as bugfixes, coalesce(n_authors, 0) as n_authors, coalesce(churn, 0) as churn, coalesce((latest - oldest) // 86400, 0) as age_days from units u left join h on h.path = 'p' || u.id)"
+_q("h9_investigate", _H1 + _I, "select id, changes, bugfixes, age_days, case when changes = 0 then 'unknown' when stability_score > 8e-1 and age_days > 180 then 'stable' when bugfixes * 1e0 / changes > 6e-1 and age_days > 90 then 'decaying' when age_days < 30 or changes > 10 then 'active' else 'maturing' end as phase, case when changes = 0 then 'no history' else coalesce(nullif(concat_ws('; ', case when age_days > 365 then 'mature' end, case when age_days < 30 then 'new' end, case when bugfixes * 1e0 / changes > 5e-1 then 'problematic' end, case when n_authors > 3 then 'many hands' end, case when n_authors = 1 then 'one owner' end, case when churn > 500 then 'reworked' end, case when stability_score < 3e-1 then 'volatile' end, case when stability_score > 8e-1 then 'settled' end), ''), 'typical') end as explanation from iv")(
     lambda s, d: T.investigate(load(s, d).units.select("id", "stability_score", F.concat(F.lit("p"), F.col("id").cast("string")).alias("path")), _h(s, d))
 )
+_q("h9_when_changed", "", "select u.id, ts, author, case when is_bugfix then 'bugfix' else 'unknown' end as kind, change_type || ' by ' || author || ' (+' || lines_added || ' -' || lines_deleted || ')' as description from units u join changes on path = 'p' || u.id")(
+    lambda s, d: T.when_changed(load(s, d).units.select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("path")), load(s, d).changes)
+)
 _q("h10_change_kind", "", "select item_id, case when regexp_matches(lower(text), 'fix|bug|patch|hotfix') then 'bugfix' when regexp_matches(lower(text), 'refactor|cleanup|reorganize|restructure') then 'refactor' when regexp_matches(lower(text), 'perf|optimiz|speed|fast') then 'performance' when regexp_matches(lower(text), 'feat|add|implement|new') then 'feature' else 'unknown' end as kind from benchmark")(
     lambda s, d: s.read.parquet(f"{d}/benchmark.parquet").select("item_id", change_kind(F.col("text")).alias("kind"))
 )

@@ -41,11 +41,14 @@ _LG = ", lg as (select path as source_symbol, commit_id * 100 + lines_added as s
 _q("w7_translations", _LG, "select source_symbol, seq, status from lt")(lambda s, d: W.translations(_log(s, d)))
 _q("w7_progress", _LG + ", pg as (select count(*) as total, count(case when status in ('ported', 'verified', 'skipped') then 1 end) as done from lt)", "select total, done, total - done as remaining, round(1e2 * done / total, 6) as percent from pg")(lambda s, d: W.progress(_log(s, d)))
 _q("w7_remaining", _LG, "select source_symbol from lt where status not in ('ported', 'verified', 'skipped')")(lambda s, d: W.translations(_log(s, d)).where("status not in ('ported', 'verified', 'skipped')").select("source_symbol"))
-query("c1_delta")(lambda s, d: W.delta(s.read.parquet(f"{d}/documents.parquet").selectExpr("case doc_id % 3 when 0 then 'raw_text' when 1 then 'author' else 'metric' end as kind", "text")))
-query("e8_changed_files", "select path, change from (select coalesce(o.p, n.p) as path, case when o.p is null then 'added' when n.p is null then 'removed' when o.h <> n.h then 'modified' end as change from (select 'f' || doc_id as p, md5(text) as h from documents where doc_id % 5 <> 0) o full outer join (select 'f' || doc_id as p, md5(case when doc_id % 7 = 0 then text || '!' else text end) as h from documents where doc_id % 6 <> 0) n on o.p = n.p) x where change is not null")(
-    lambda s, d: W.changed_files(
-        s.read.parquet(f"{d}/documents.parquet").where("doc_id % 5 <> 0").selectExpr("concat('f', doc_id) as path", "text as content"), s.read.parquet(f"{d}/documents.parquet").where("doc_id % 6 <> 0").selectExpr("concat('f', doc_id) as path", "case when doc_id % 7 = 0 then concat(text, '!') else text end as content")
-    )
+_kind = "case doc_id % 3 when 0 then 'raw_text' when 1 then 'author' else 'metric' end as kind"
+query("c1_delta", f"select j as json, sha256(j) as delta_id from (select cast(to_json({{'kind': kind, 'text': text}}) as varchar) as j from (select {_kind}, text from documents) d where kind not in ('source_code', 'file_path', 'author', 'identity') and (kind <> 'raw_text' or not regexp_matches(lower(text), 'password|passwd|secret|api_key|apikey|token|credential|private_key|auth|bearer|access_key'))) x")(
+    lambda s, d: W.delta(s.read.parquet(f"{d}/documents.parquet").selectExpr(_kind, "text"))
+)
+#: The second listing: every fifth file has another name, every seventh another content.
+_then, _now = ("concat('f', doc_id) as path", "text as content"), ("case when doc_id % 5 = 0 then concat('g', doc_id) else concat('f', doc_id) end as path", "case when doc_id % 7 = 0 then concat(text, '!') else text end as content")
+query("e8_changed_files", f"select path, change from (select coalesce(o.path, n.path) as path, case when o.path is null then 'added' when n.path is null then 'removed' when o.content <> n.content then 'modified' end as change from (select {', '.join(_then)} from documents) o full outer join (select {', '.join(_now)} from documents) n on o.path = n.path) x where change is not null")(
+    lambda s, d: W.changed_files(s.read.parquet(f"{d}/documents.parquet").selectExpr(*_then), s.read.parquet(f"{d}/documents.parquet").selectExpr(*_now))
 )
 _q("m_resurrect_search", "", "select id, contains(lower(coalesce(doc_summary, '')), 'deprecated') as deprecated, t + cast(doc_summary is not null as int) + cast(signature is not null as int) as evidence, case when t + cast(doc_summary is not null as int) + cast(signature is not null as int) > 5 then 'high' when t + cast(doc_summary is not null as int) + cast(signature is not null as int) > 2 then 'medium' else 'low' end as confidence from full_u where contains(lower(name), 'token') or contains(lower(coalesce(doc_summary, '')), 'token')", True)(lambda s, d: N.resurrect(load(s, d), "token"))
 _q("m_versions", "", "select source_id as id, target_id as old_id, a.name, b.name as old_name from edges join units a on a.id = source_id join units b on b.id = target_id where edge_type = 'version_of'")(lambda s, d: N.versions(load(s, d)))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import DEPS
 from lodestone.graph import WITH, load
 from lodestone.operators import risk as R
-from lodestone.plans.structures import _at, reach
+from lodestone.operators.structure import dead_code
+from lodestone.plans.structures import _at, _roots, paths, reach
 from lodestone.registry import query
 
 UNIT, TARGET = 138, 169
@@ -68,16 +69,27 @@ for _k in _PROB:
         _q("e2_blast_radius", _chg + _rad, "select *, case when will_break > 10 or files > 20 then 'critical' when will_break > 3 or files > 10 or total > 30 then 'high' when will_break > 0 or total > 10 then 'medium' else 'low' end as risk_level from rad")(lambda s, d: R.blast_radius(load(s, d), R.analyze_change(load(s, d), TARGET, "signature", 3)))
 
 
-@query("e4_impact_json")
+_mit = "select * from (select 'keep the old signature as a wrapper' as description, 'low' as effort, 7e-1 as reduction union all select 'deprecate the old signature for a while', 'medium', 9e-1 union all select 'release step by step behind a flag', 'medium', 6e-1 from rad where will_break > 3 or files > 10 or total > 30 union all select 'add tests before the change', 'medium', 4e-1 from rad where tests = 0) x"
+_sig = reach(_at(TARGET), 3, _types, "backward") + f", chg as (select r.id, depth, {_KIND['signature']} as impact, round({_PROB['signature']} / (1 + 5e-1 * depth), 6) as probability from r join full_u f on f.id = r.id where depth > 0)" + _rad
+_q("e4_mitigations", _sig, _mit)(lambda s, d: R.mitigations("signature", R.blast_radius(load(s, d), R.analyze_change(load(s, d), TARGET, "signature", 3))))
+_q("e1a_impact_path", paths(TARGET, 3, _types, "backward"), "select id, depth, array_to_string(path, ',') as path from p where depth > 0")(lambda s, d: R.impact_paths(load(s, d), TARGET, 3).select("id", "depth", F.array_join("path", ",").alias("path")))
+_beh = paths(TARGET, 2, _types, "backward") + f", chg as (select p.id, depth, {_KIND['behavior']} as impact, round({_PROB['behavior']} / (1 + 5e-1 * depth), 6) as probability, path from p join full_u f on f.id = p.id where depth > 0)" + _rad
+_level = "case when will_break > 10 or files > 20 then 'critical' when will_break > 3 or files > 10 or total > 30 then 'high' when will_break > 0 or total > 10 then 'medium' else 'low' end"
+
+
+@_q(
+    "e4_impact_json", _beh,
+    f"select cast(to_json({{'nodes': (select list({{'id': id, 'name': name, 'type': t, 'distance': x, 'probability': p}} order by id) from (select id, name, 'change_target' as t, 0 as x, cast(1 as double) as p from units where id = {TARGET} union all select chg.id, name, impact, depth, cast(probability as double) from chg join units on units.id = chg.id) n), 'edges': (select list({{'from': path[-2], 'to': id}} order by path[-2], id) from chg), 'blast_radius': {{'files': files, 'functions': functions, 'modules': modules, 'tests': tests}}, 'risk_level': {_level}}}) as varchar) as json from rad",
+)
 def e4_impact_json(spark, sf_dir):
     g = load(spark, sf_dir)
     hit = R.analyze_change(g, TARGET, "behavior", 2)
-    return R.as_json(hit, R.blast_radius(g, hit))
+    return R.as_json(g, TARGET, hit, R.blast_radius(g, hit), R.impact_paths(g, TARGET, 2))
 
 
 _reg = reach(_at(TARGET), 4, "'calls', 'imports', 'tests', 'references', 'uses_type'", "backward") + f", reg as (select u.id, case when d.id is not null then 'likely' when 6e-1 / (1 + 3e-1 * depth) > 3e-1 then 'recommended' else 'skip' end as verdict, round(case when d.id is not null then 85e-2 when 6e-1 / (1 + 3e-1 * depth) > 3e-1 then 6e-1 / (1 + 3e-1 * depth) else 0e0 end, 6) as probability from units u left join (select distinct source_id as id from edges where edge_type = 'tests' and target_id = {TARGET}) d on d.id = u.id left join r on r.id = u.id where u.unit_type = 'test')"
 _q("e5_regression", _reg, "select *, verdict = 'likely' or probability > 4e-1 as minimal from reg")(lambda s, d: R.regression(load(s, d), TARGET, 4))
 _q("e6_minimal_test_set", _reg, "select id from reg where verdict = 'likely' or probability > 4e-1")(lambda s, d: R.regression(load(s, d), TARGET, 4).where("minimal").select("id"))
-_q("x5_health", _pr + _hot + f", gp as ({_gap.replace('2e1', '5e0').replace('>= 20', '>= 5')}), h as (select (select count(*) from pr where risk >= 45e-2) as risks, (select count(*) from pr where risk >= 7e-1) as high_risks, (select count(*) from gp) as gaps, (select count(*) from hot where score >= 55e-2) as hotspots, (select count(*) from units where unit_type = 'module') as dead)", "select *, case when high_risks >= 3 or gaps >= 8 then 'fail' when risks + gaps + hotspots + dead > 0 then 'warn' else 'pass' end as status from h")(
-    lambda s, d: R.health(load(s, d), load(s, d).units.where("unit_type = 'module'"))
+_q("x5_health", _pr + _hot + reach(_roots, None, "", "forward", "df") + reach(_roots, None, "", "backward", "db") + f", gp as ({_gap.replace('2e1', '5e0').replace('>= 20', '>= 5')}), h as (select (select count(*) from pr where risk >= 45e-2) as risks, (select count(*) from pr where risk >= 7e-1) as high_risks, (select count(*) from gp) as gaps, (select count(*) from hot where score >= 55e-2) as hotspots, (select count(*) from units where id not in (select id from df) and id not in (select id from db)) as dead)", "select *, case when high_risks >= 3 or gaps >= 8 then 'fail' when risks + gaps + hotspots + dead > 0 then 'warn' else 'pass' end as status from h")(
+    lambda s, d: R.health(load(s, d), dead_code(load(s, d)))
 )
