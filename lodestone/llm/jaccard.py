@@ -45,7 +45,7 @@ from lodestone.state import BROADCAST_BYTES, checkpoint, small
 N, THRESHOLD = 3, 0.5
 #: n-grams in a part, of which a task holds one at a time; occurrences of a bucket that aren't sent to one part; classes that meet at one
 #: n-gram in one place; connected sets in one block.
-PART, HEAVY, GROUP, BLOCK = 4_000_000, 1_000_000, 1 << 16, 4096
+PART, HEAVY, GROUP, BLOCK = 2_000_000, 500_000, 1 << 16, 4096
 #: n-grams that a task collects before it sends them on; keys at which sets meet first.
 SENT, FIRST = 1 << 20, 8
 #: Pairs that are compared at once.

@@ -63,12 +63,16 @@ def test_dedup(spark):
     assert M.deduplicate(df.limit(0), "doc_id", "text").count() == 0
 
 
-def test_lists_and_store_give_payloads_back(spark, sf):
+def wanted(df):
+    return sorted({(r["doc_id"], r["text"].encode()) for r in df.collect() if r["doc_id"] is not None and r["text"] is not None})
+
+
+def test_the_store_gives_payloads_back(spark, sf):
     for df in (table(spark), spark.read.parquet(f"{sf}/documents.parquet")):
-        data, lists = M.store(df, "doc_id", "text")
-        got = sorted((r["id"], bytes(r["payload"])) for r in M.restore(data, lists).collect())
-        assert got == sorted({(r["doc_id"], r["text"].encode()) for r in df.collect() if r["doc_id"] is not None and r["text"] is not None})
-    assert data.count() == data.select("digest").distinct().count()
+        store, lent = M.stored(df, "doc_id", "text")
+        assert sorted((r["id"], bytes(r["payload"])) for r in M.restore(store, lent).collect()) == wanted(df)
+        owned = [d for r in store.collect() for d in M._split(bytes(r["owned"]))]
+        assert len(owned) == len(set(owned)) and sum(len(r["data"]) for r in store.collect()) < sum(len(p) for _, p in wanted(df))
 
 
 def test_damage_is_noticed():
@@ -82,28 +86,24 @@ def test_damage_is_noticed():
 
 def test_every_list_gives_its_payload_back(spark):
     df = table(spark)
-    stored = {bytes(r["digest"]).hex(): bytes(r["data"]) for r in M.store(df, "doc_id", "text")[0].collect()}
-    got = {(r["doc_id"], b"".join(stored[c] for c in r["chunks"])) for r in M.deduplicate(df, "doc_id", "text").collect()}
-    assert got == {(r["doc_id"], r["text"].encode()) for r in df.collect() if r["doc_id"] is not None and r["text"] is not None}
-
-
-def test_damaged_lists_of_media_that_borrow_nothing(spark, monkeypatch):
-    right, seq = M.chunks, F.col("seq")
-    first = F.col("id") == 1
-    wrong = {
-        "digest": lambda c: c.withColumn("digest", F.when(first & (seq == 1), F.unhex(F.lit("00" * 16))).otherwise(F.col("digest"))),
-        "order": lambda c: c.withColumn("seq", F.when(first & (seq < 2), 1 - seq).otherwise(seq)),
-    }
-    for damage in wrong.values():
-        monkeypatch.setattr(M, "chunks", lambda media: damage(right(media)))  # noqa: B023
-        got = M.deduplicate(table(spark), "doc_id", "text").collect()
-        assert {r["doc_id"] for r in got if not r["verified"]} == {1}
-
-
-def test_read_back_checks_chunks_and_whole():
-    data = np.random.default_rng(3).integers(0, 256, 900, dtype=np.int64).astype(np.uint8).tobytes()
-    a, b = data[:400], data[400:]
-    listed = [(M.digest(a), 0, 400), (M.digest(b), 400, 500), (M.digest(a), 900, 400)]
-    assert M._back(a + b + a, listed, M.digest(a + b + a))
-    assert M._back(a + b + a, listed[:2], M.digest(a + b + a)) is None
-    assert M._back(a + b + a, [listed[0], (M.digest(b), 401, 500), listed[2]], M.digest(a + b + a)) is None
+    store, _ = M.stored(df, "doc_id", "text")
+    have = {}
+    for r in store.collect():
+        have |= M._parts(r["owned"], r["lengths"], r["data"])
+    got = {(r["doc_id"], b"".join(have[bytes.fromhex(c)] for c in r["chunks"])) for r in M.deduplicate(df, "doc_id", "text").collect()}
+    assert sorted(got) == wanted(df)
+
+
+def test_a_damaged_store(spark):
+    store, lent = M.stored(table(spark), "doc_id", "text")
+    assert all(r["verified"] for r in M.verify(store, lent).collect())
+    one, lone = F.col("id") == 1, F.col("id") == 9
+    flip = lambda c, at: F.concat(F.substring(c, 1, at - 1), F.unhex(F.lit("00")), F.expr(f"substring({c}, {at + 1})"))
+    bad = lambda s: {r["id"] for r in M.verify(s, lent).collect() if not r["verified"]}
+    # a chunk of 9, from which nobody borrows; the first one of 1, from which 2, 7 and 8 do; order and lack of chunks; the whole digest
+    assert bad(store.withColumn("data", F.when(lone, flip("data", 700)).otherwise(F.col("data")))) == {9}
+    assert {1, 2, 7} <= bad(store.withColumn("data", F.when(one, flip("data", 10)).otherwise(F.col("data")))) <= {1, 2, 3, 7, 8}
+    assert bad(store.withColumn("list", F.when(lone, F.concat(F.substring("list", 17, 16), F.substring("list", 1, 16), F.expr("substring(list, 33)"))).otherwise(F.col("list")))) == {9}
+    assert bad(store.withColumn("list", F.when(lone, F.expr("substring(list, 17)")).otherwise(F.col("list")))) == {9}
+    assert 1 in bad(store.withColumn("owned", F.when(one, F.expr("substring(owned, 17)")).otherwise(F.col("owned"))))
+    assert 2 in bad(store.where("id <> 1"))  # the owner's row is lost
