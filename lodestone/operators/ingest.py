@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.graph import Graph
+from lodestone.operators.concepts import design_patterns
 from lodestone.state import checkpoint
 
 STDLIB = {
@@ -31,7 +34,7 @@ def resolve(units: DataFrame) -> DataFrame:
 
     Each way is an equality join; the best way of a reference wins, then the least id.
     """
-    refs = units.select("id", "path", "language", F.posexplode("refs").alias("k", "r")).select("id", "path", "language", "k", "r.*")
+    refs = units.select("id", "path", "language", F.posexplode("refs").alias("k", "r")).select("id", "path", "language", "k", "r.*").where("kind <> 'pymodule'")
     last = F.regexp_extract("name", r"([A-Za-z0-9_]+)$", 1)
     targets = units.where("unit_type not in ('import', 'module')")
     t = lambda key, *more: targets.select(F.col("id").alias("t"), F.col(key).alias("tk"), *(F.col(c).alias(f"t_{c}") for c in more))
@@ -49,8 +52,16 @@ def resolve(units: DataFrame) -> DataFrame:
     return j.select("id", "name", "kind", "line", F.col("b.t").alias("target_id"), how.alias("how"))
 
 
-def compile_graph(raw: DataFrame, changes: DataFrame | None = None) -> Graph:
-    """The graph of raw units: containment by each file's module, and an edge for each resolved reference."""
+def compile_graph(raw: DataFrame, changes: DataFrame | None = None, languages: Sequence[str] = (), exclude: Sequence[str] = (), include_tests: bool = True, detect_patterns: bool = False, ffi: bool = False) -> Graph:
+    """The graph of raw units: containment by each file's module, and an edge for each resolved reference.
+
+    Of all, those of the languages and of paths that hold none of the excluded texts; on demand without tests, with a pattern unit and an edge for
+    each design pattern found, and with edges to the native modules that Python imports.
+    """
+    raw = raw.where(F.col("language").isin(*languages)) if languages else raw
+    for part in exclude:
+        raw = raw.where(~F.col("path").contains(part))
+    raw = raw if include_tests else raw.where("unit_type <> 'test'")
     units = checkpoint(number(raw.where("error is null")))
     found = resolve(units).where("target_id is not null")
     pairs = F.create_map(*(F.lit(x) for p in KINDS.items() for x in p))
@@ -62,11 +73,25 @@ def compile_graph(raw: DataFrame, changes: DataFrame | None = None) -> Graph:
         F.lit(0).alias("change_count"), F.lit(1.0).alias("stability_score"), F.lit(0).cast("long").alias("collective_usage"),
     )
     none = units.sparkSession.createDataFrame([], "path string, commit_id long, ts long, author string, is_bugfix boolean, lines_added int, lines_deleted int, change_type string")
-    return Graph(shape, edges.where("source_id <> target_id").unionByName(inside), changes if changes is not None else none)
+    every = edges.where("source_id <> target_id").unionByName(inside)
+    if ffi:
+        native = trace_ffi(units).where("target_id is not null").select(F.col("id").alias("source_id"), "target_id")
+        every = every.unionByName(native.select("source_id", "target_id", F.lit("ffi_binds").alias("edge_type"), F.lit(1.0).alias("weight"), F.lit(0).alias("context")))
+    if detect_patterns:
+        found = design_patterns(Graph(shape, every, none)).select(F.xxhash64("pattern", "id").alias("p"), "pattern", "id", "score")
+        of = shape.select("id", "language", "file_path", "qualified_name", "start_line", "end_line").join(found, "id")
+        own = of.select(F.col("p").alias("id"), F.lit("pattern").alias("unit_type"), "language", F.col("pattern").alias("name"), F.concat("qualified_name", F.lit("#"), "pattern").alias("qualified_name"), "file_path", "start_line", "end_line")
+        every = every.unionByName(found.select(F.col("p").alias("source_id"), F.col("id").alias("target_id"), F.lit("pattern_of").alias("edge_type"), F.col("score").alias("weight"), F.lit(0).alias("context")))
+        shape = shape.unionByName(own, allowMissingColumns=True)
+    return Graph(shape, every, changes if changes is not None else none)
 
 
-def trace_ffi(units: DataFrame, refs: DataFrame) -> DataFrame:
-    """(id, kind) of units that call into another language: ctypes or cffi, PyO3 attributes, HTTP clients."""
+def trace_ffi(units: DataFrame) -> DataFrame:
+    """(id, kind, target_id) of units whose references lead into another language: ctypes or cffi, HTTP clients, and imports of a native module, whose unit is the target."""
+    refs = units.select("id", "language", F.explode("refs").alias("r")).select("id", "language", "r.*")
     n = F.lower("name")
-    kind = F.when(n.rlike(r"\b(ctypes|cffi|cdll|dlopen)\b"), "ctypes").when(n.rlike("pyo3|pyfunction|pymodule"), "pyo3").when(n.rlike(r"\b(requests|fetch|axios|httpx|reqwest)\b"), "http")
-    return refs.select("id", kind.alias("kind")).where("kind is not null").distinct().join(units.select("id"), "id", "left_semi")
+    kind = F.when(n.rlike(r"\b(ctypes|cffi|cdll|dlopen)\b"), "ctypes").when(n.rlike(r"\b(requests|fetch|axios|httpx|reqwest)\b"), "http").when(n.rlike("pyo3|pyfunction"), "pyo3")
+    plain = refs.where("kind <> 'pymodule'").select("id", kind.alias("kind"), F.lit(None).cast("long").alias("target_id")).where("kind is not null")
+    native = refs.where("kind = 'pymodule'").select(F.col("name").alias("head"), F.col("id").alias("target_id"))
+    imports = refs.where("language = 'Python' and kind = 'import'").withColumn("head", F.regexp_extract("name", r"^([A-Za-z0-9_]+)", 1))
+    return plain.unionAll(imports.join(native, "head").select("id", F.lit("pyo3"), "target_id")).distinct()

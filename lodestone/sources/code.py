@@ -21,7 +21,7 @@ RAW = "path string, language string, unit_type string, name string, qualified_na
 _WORD = r"[A-Za-z_]\w*"
 _DECLARATIONS = {
     "Rust": [("function", rf"^\s*(?P<v>pub(?:\([a-z]+\))?\s+)?(?P<a>async\s+)?(?:unsafe\s+)?fn\s+(?P<n>{_WORD})"), ("type", rf"^\s*(?P<v>pub(?:\([a-z]+\))?\s+)?(?:struct|enum)\s+(?P<n>{_WORD})"), ("trait", rf"^\s*(?P<v>pub(?:\([a-z]+\))?\s+)?trait\s+(?P<n>{_WORD})"), ("impl", rf"^\s*impl(?:<[^>]*>)?\s+(?:(?P<i>{_WORD})(?:<[^>]*>)?\s+for\s+)?(?P<n>{_WORD})"), ("macro", rf"^\s*macro_rules!\s+(?P<n>{_WORD})"), ("import", r"^\s*use\s+(?P<n>[\w:]+)")],
-    "TypeScript": [("function", rf"^\s*(?:export\s+)?(?:default\s+)?(?P<a>async\s+)?function\s*\*?\s*(?P<n>{_WORD})"), ("type", rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:class|enum)\s+(?P<n>{_WORD})(?:\s+extends\s+(?P<b>{_WORD}))?"), ("trait", rf"^\s*(?:export\s+)?interface\s+(?P<n>{_WORD})(?:\s+extends\s+(?P<b>{_WORD}))?"), ("function", rf"^\s*(?:export\s+)?const\s+(?P<n>{_WORD})\s*=\s*(?P<a>async\s*)?(?:\([^)]*\)|{_WORD})\s*=>"), ("import", r"^\s*import\b.*?from\s+['\"](?P<n>[^'\"]+)")],
+    "TypeScript": [("function", rf"^\s*(?:export\s+)?(?:default\s+)?(?P<a>async\s+)?function\s*\*?\s*(?P<n>{_WORD})"), ("type", rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:class|enum)\s+(?P<n>{_WORD})(?:\s+extends\s+(?P<b>{_WORD}))?"), ("trait", rf"^\s*(?:export\s+)?interface\s+(?P<n>{_WORD})(?:\s+extends\s+(?P<b>{_WORD}))?"), ("function", rf"^\s*(?:export\s+)?const\s+(?P<n>{_WORD})\s*=\s*(?P<a>async\s*)?(?:\([^)]*\)|{_WORD})\s*=>"), ("import", r"^\s*import\b.*?from\s+['\"](?P<n>[^'\"]+)"), ("method", rf"^\s+(?:(?:public|private|protected|static|readonly|get|set)\s+)*(?P<a>async\s+)?\*?(?P<n>{_WORD})\s*\([^;]*\)\s*(?::[^{{;]+)?\{{")],
     "Go": [("function", rf"^func\s+(?:\([^)]*\)\s*)?(?P<n>{_WORD})"), ("trait", rf"^type\s+(?P<n>{_WORD})\s+interface"), ("type", rf"^type\s+(?P<n>{_WORD})"), ("import", r"^\s*(?:import\s+)?\"(?P<n>[\w./-]+)\"")],
     "Cpp": [("type", rf"^\s*(?:class|struct|enum)\s+(?P<n>{_WORD})(?:\s*:\s*(?:public|private|protected)?\s*(?P<b>{_WORD}))?[^;]*$"), ("module", rf"^\s*namespace\s+(?P<n>{_WORD})"), ("import", r"^\s*#include\s+[<\"](?P<n>[^>\"]+)"), ("function", rf"^\s*[\w:<>,&*\s]+?\s[*&]?(?:{_WORD}::)?(?P<n>{_WORD})\s*\([^;]*\)\s*(?:const\s*)?\{{?\s*$")],
     "Java": [("trait", rf"^\s*(?P<v>public|private|protected)?\s*interface\s+(?P<n>{_WORD})"), ("type", rf"^\s*(?P<v>public|private|protected)?\s*(?:abstract\s+|final\s+)*(?:class|enum|record)\s+(?P<n>{_WORD})(?:\s+extends\s+(?P<b>{_WORD}))?"), ("import", r"^\s*import\s+(?P<n>[\w.]+)"), ("function", rf"^\s*(?P<v>public|private|protected)\s+(?:static\s+|final\s+)*[\w<>\[\],\s]+\s(?P<n>{_WORD})\s*\([^;]*\{{?\s*$")],
@@ -31,13 +31,34 @@ _DECLARATIONS["CSharp"] = [(k, p.replace("import", "using", 1) if k == "import"
 _COMPILED = {lang: [(k, re.compile(p)) for k, p in ps] for lang, ps in _DECLARATIONS.items()}
 
 
-def scan(spark: SparkSession, root: str, languages: tuple[str, ...] = (), exclude: tuple[str, ...] = EXCLUDE) -> DataFrame:
-    """(path, length, language, reason) of all files; reason is null for those that are parsed."""
+def ignore_rules(text: str) -> list[tuple[str, bool]]:
+    """(regular expression of a path below the root, whether it takes files in again) of the lines of an ignore file."""
+    out = []
+    for line in text.splitlines():
+        p = line.rstrip()
+        if not p or p.startswith("#"):
+            continue
+        again, p = p.startswith("!"), p.removeprefix("!")
+        anchored, folder, p = "/" in p.rstrip("/"), p.endswith("/"), p.strip("/")
+        body = "".join({"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(x, re.escape(x)) for x in re.split(r"(\*\*/|/\*\*|\*\*|\*|\?)", p) if x)
+        out.append((("^" if anchored else "^(?:.*/)?") + body + ("/.*$" if folder else "(?:/.*)?$"), again))
+    return out
+
+
+def scan(spark: SparkSession, root: str, languages: tuple[str, ...] = (), exclude: tuple[str, ...] = EXCLUDE, ignore: str = "", most_bytes: int = MOST_BYTES) -> DataFrame:
+    """(path, length, language, reason) of all files; reason is null for those that are parsed. ignore: the text of an ignore file.
+
+    Files and folders whose names begin with a dot aren't listed by the source, so they are left out without a row.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
     ext = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     language = F.create_map(*(F.lit(x) for p in EXTENSIONS.items() for x in p))[ext]
     left_out = F.exists(F.array(*map(F.lit, exclude)), lambda x: F.col("path").contains(x)) if exclude else F.lit(False)
-    reason = F.when(F.col("language").isNull(), "unknown_language").when(~F.col("language").isin(*languages) if languages else F.lit(False), "language_filter").when(left_out, "excluded").when(F.col("length") > MOST_BYTES, "too_large")
+    below = F.substring("path", F.instr("path", root.rstrip("/").rsplit("/", 1)[-1] + "/") + len(root.rstrip("/").rsplit("/", 1)[-1]) + 1, 1 << 20)
+    hidden = F.lit(False)
+    for pattern, again in ignore_rules(ignore):  # the last rule that fits decides
+        hidden = F.when(below.rlike(pattern), not again).otherwise(hidden)
+    reason = F.when(hidden, "ignored").when(F.col("language").isNull(), "unknown_language").when(~F.col("language").isin(*languages) if languages else F.lit(False), "language_filter").when(left_out, "excluded").when(F.col("length") > most_bytes, "too_large")
     return files.withColumn("language", language).withColumn("reason", reason)
 
 
@@ -145,16 +166,17 @@ _RUST_DECISIONS = re.compile(r"\b(?:if|match|while|for|loop)\b|&&|\|\|")
 def _braces(path: str, language: str, module: str, text: str) -> list[tuple]:
     out, lines = [], text.split("\n")
     owners: list[tuple[int, str]] = []  # depth of the block, and its name
-    depth, doc, marked = 0, None, False
+    depth, doc, marked, module_mark = 0, None, False, False
     sep = "::" if language in ("Rust", "Cpp") else "."
     for k, line in enumerate(lines, 1):
         plain = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])'|//.*", lambda m: m[0] if m[0][0] != "/" and ("import" in line or "include" in line or language == "Go") else '""', line)
         comment = re.match(r"\s*(?:///|//!?|/\*\*?|\*)\s*(.*?)(?:\*/)?\s*$", line)
         for kind, pattern in _COMPILED[language]:
             m = pattern.match(plain)
-            if not m or m["n"] in ("if", "for", "while", "switch", "return", "catch", "else", "new"):
+            if not m or (kind == "method" and not owners) or m["n"] in ("if", "for", "while", "switch", "return", "catch", "else", "new"):
                 continue
             got = m.groupdict()
+            kind = "function" if kind == "method" else kind
             name, unit = m["n"], kind
             test = marked or (language == "Go" and name.startswith("Test")) or (language in ("TypeScript", "JavaScript") and re.search(r"\.(?:test|spec)\.", path) is not None)
             if kind == "function" and test:
@@ -168,7 +190,7 @@ def _braces(path: str, language: str, module: str, text: str) -> list[tuple]:
                     if (level <= 0 and "{" in "".join(lines[k - 1 : j + 1])) or (level == 0 and lines[j].rstrip().endswith(";")):
                         break
             refs = [(name, "import", k)] if kind == "import" and language in ("Rust", "TypeScript", "JavaScript") else []
-            refs += [(got.get("b"), "inherit", k)] * bool(got.get("b") and language in ("TypeScript", "JavaScript")) + [(got.get("i"), "implement", k)] * bool(got.get("i"))
+            refs += [(got.get("b"), "inherit", k)] * bool(got.get("b") and language in ("TypeScript", "JavaScript")) + [(got.get("i"), "implement", k)] * bool(got.get("i")) + [(name, "pymodule", k)] * module_mark
             cx = 1 + len(_RUST_DECISIONS.findall("\n".join(lines[k - 1 : end]))) if kind == "function" and language == "Rust" else 0
             prefix = sep.join([module, *(o for _, o in owners)])
             out.append((path, language, unit, name, f"{prefix}{sep}{name}", k, end, line.strip().rstrip("{").strip() if kind == "function" else None, doc, visibility(language, name, got.get("v")), cx, bool(got.get("a")), False, refs, None))
@@ -179,5 +201,6 @@ def _braces(path: str, language: str, module: str, text: str) -> list[tuple]:
         while owners and depth <= owners[-1][0]:
             owners.pop()
         marked = bool(re.match(r"\s*(?:#\[(?:\w+::)?test\]|@Test|\[(?:Test|Fact|Theory)\])", line))
+        module_mark = bool(re.match(r"\s*#\[pymodule\b", line))
         doc = comment[1].strip() or None if comment else (doc if marked else None)
     return out
