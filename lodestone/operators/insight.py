@@ -147,10 +147,47 @@ def projection(sizes: DataFrame, days: int, budget: int) -> DataFrame:
 
 
 def log_operation(log: DataFrame, session: str, operation: str, at: int) -> DataFrame:
-    """An operation log with one more row."""
+    """An operation log with one more row; sessions begin with ``start`` and may end with ``end``."""
     return log.unionByName(log.sparkSession.createDataFrame([(session, operation, at)], "session string, operation string, at long"))
 
 
+def sessions(log: DataFrame) -> DataFrame:
+    """(session, started, last, operations, is_open) of an operation log."""
+    a = log.groupBy("session").agg(F.min("at").alias("started"), F.max("at").alias("last"), F.count("*").alias("operations"), F.max(F.when(F.col("operation") == "end", F.col("at"))).alias("ended"))
+    return a.select("session", "started", "last", "operations", (F.col("ended").isNull() | (F.col("ended") < F.col("last"))).alias("is_open"))
+
+
+def resume(log: DataFrame, session: str, most: int = 20) -> DataFrame:
+    """(operation, at): the last operations of a session, the latest first."""
+    return log.where(F.col("session") == session).select("operation", "at").orderBy(F.desc("at"), "operation").limit(most)
+
+
+def attempt(g: Graph, unit: int) -> DataFrame:
+    """(id, uses, used_by, evidence, confidence): what is known about a unit that is to be brought back."""
+    one(g.units, unit)
+    d = with_degrees(g, g.units.where(F.col("id") == unit))
+    e = F.col("tests_in") + F.col("doc_summary").isNotNull().cast("int") + F.col("signature").isNotNull().cast("int")
+    return d.select("id", F.col("n_out").alias("uses"), F.col("n_in").alias("used_by"), e.alias("evidence"), case([(e > 5, "high"), (e > 2, "medium")], "low").alias("confidence"))
+
+
+def verify(g: Graph, name: str) -> DataFrame:
+    """(found, referenced, tested): whether a unit of that name is there again, and is used and tested."""
+    hit = with_degrees(g, g.units.where(F.col("name") == name))
+    return hit.agg((F.count("*") > 0).alias("found"), F.coalesce(F.bool_or(F.col("n_in") > 0), F.lit(False)).alias("referenced"), F.coalesce(F.bool_or(F.col("tests_in") > 0), F.lit(False)).alias("tested"))
+
+
+def preserve(g: Graph) -> DataFrame:
+    """(id, soul): name, type, language and traits of every unit as JSON."""
+    return soul(g).join(g.units.select("id", "name", "unit_type", "language"), "id").select("id", F.to_json(F.struct("name", "unit_type", "language", "traits")).alias("soul"))
+
+
+def reincarnate(souls: DataFrame, language: str) -> DataFrame:
+    """(id, name, language, effort) of preserved units in another language: none for their own, less for those that are tested."""
+    x = F.from_json("soul", "name string, unit_type string, language string, traits string")
+    effort = case([(F.col("x.language") == language, "none"), (F.col("x.traits").contains("tested"), "low")], "high")
+    return souls.withColumn("x", x).select("id", "x.name", F.lit(language).alias("language"), effort.alias("effort"))
+
+
 def api_usage(g: Graph, text: str) -> DataFrame:
     """(id, callers, files): how widely units of a name are called."""
     hit = g.units.where(F.lower("name").contains(text.lower())).select("id")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.state import numbered
+
 MOST_OUT = 16384
 
 
@@ -32,8 +34,8 @@ def build(units: DataFrame, edges: DataFrame) -> DataFrame:
 def add_units(units: DataFrame, more: DataFrame) -> DataFrame:
     """More units after the others, with ids that go on from the greatest, in the order of place."""
     top = units.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("top"))
-    place = F.row_number().over(Window.orderBy("file_path", "start_line", "qualified_name"))
-    return units.unionByName(more.crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + place).drop("top"), allowMissingColumns=True)  # one row
+    placed = numbered(more, "place", "file_path", "start_line", "qualified_name")
+    return units.unionByName(placed.crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + 1 + F.col("place")).drop("top", "place"), allowMissingColumns=True)  # one row
 
 
 def by_name(units: DataFrame, name: str, mode: str = "exact", types: Sequence[str] = (), languages: Sequence[str] = (), limit: int = 0, distance: int = 2) -> DataFrame:

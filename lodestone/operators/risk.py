@@ -109,7 +109,7 @@ def prophecy(g: Graph, top: int, least: float) -> DataFrame:
 
 
 def migration(g: Graph, old: int, new: int) -> DataFrame:
-    """(step, id, safety): the new unit, what depends on the old one (tested first), the old one."""
+    """(step, id, safety, description): the new unit, what depends on the old one (tested first), the old one."""
     one(g.units, new)
     d = dependencies(g, old, 1, ("calls", "imports", "uses_type", "inherits", "implements"), direction="backward").select("id")
     tested = g.edges.where("edge_type = 'tests'").select(F.col("target_id").alias("id")).distinct()
@@ -120,7 +120,8 @@ def migration(g: Graph, old: int, new: int) -> DataFrame:
     ends = spark.createDataFrame([(new, -1, "safe"), (old, 9, "caution")], "id long, rank int, safety string")
     names = F.array(*map(F.lit, ("safe", "caution", "risky")))
     every = ends.unionAll(marked.select("id", "rank", F.get(names, F.col("rank"))))
-    return every.select((F.row_number().over(Window.orderBy("rank", "id")) - 1).alias("step"), "id", "safety")  # the direct dependents of one unit
+    what = case([(F.col("rank") == -1, "bring in the new unit"), (F.col("rank") == 9, "take out the old unit"), (F.col("rank") == 0, "switch, its tests tell"), (F.col("rank") == 1, "switch, tests of a caller tell")], "switch, and add tests")
+    return every.select((F.row_number().over(Window.orderBy("rank", "id")) - 1).alias("step"), "id", "safety", what.alias("description"))  # the direct dependents of one unit
 
 
 def test_gap(g: Graph, changes: int, complexity: int, types: Sequence[str] = ("function",)) -> DataFrame:

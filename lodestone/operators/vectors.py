@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from lodestone.functions import cosine, r6
 
 
-def search(vectors: DataFrame, query: Sequence[float], top: int, least: float) -> DataFrame:
-    """(vec_id, score) against one vector; an empty query is an error, top 0 is all."""
+def search(vectors: DataFrame, query: Sequence[float], top: int, least: float, types: Sequence[str] = (), languages: Sequence[str] = ()) -> DataFrame:
+    """(vec_id, score) against one vector; an empty query is an error, top 0 is all. Types and languages, if given, select by the columns of these names."""
     if not len(query):
         raise ValueError("the query vector is empty")
+    vectors = vectors.where(F.col("unit_type").isin(*types)) if types else vectors
+    vectors = vectors.where(F.col("language").isin(*languages)) if languages else vectors
     q = F.array(*(F.lit(float(x)) for x in query))
     out = vectors.select("vec_id", r6(cosine(F.col("embedding"), q)).alias("score")).where(F.col("score") >= least)
     return out.orderBy(F.desc("score"), "vec_id").limit(top) if top else out

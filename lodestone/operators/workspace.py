@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import looks_like_credentials, r6
+from lodestone.state import numbered
 
 
 def workspace(contexts: Sequence[tuple[str, str, DataFrame]]) -> DataFrame:
@@ -30,6 +31,24 @@ def compare_symbol(ws: DataFrame, symbol: str) -> DataFrame:
     return have.select("context_id", F.col("id").isNotNull().alias("found"), "id", (F.col("id").isNotNull() & F.col("signature").eqNullSafe(F.col("s0"))).alias("same_signature"), F.col("unit_type").eqNullSafe(F.col("t0")).alias("same_type"))
 
 
+def connect(ws: DataFrame) -> DataFrame:
+    """(context_id, role, units, languages) of what a workspace joins."""
+    return ws.groupBy("context_id", "role").agg(F.count("*").alias("units"), F.countDistinct("language").alias("languages"))
+
+
+def listen(ws: DataFrame, topic: str) -> DataFrame:
+    """(context_id, hits, functions, tests) for a topic: how much each context has to say about it; contexts with nothing have no row."""
+    t = topic.lower()
+    hit = ws.where(F.lower("name").contains(t) | F.lower(F.coalesce("doc_summary", F.lit(""))).contains(t))
+    return hit.groupBy("context_id").agg(F.count("*").alias("hits"), F.count_if(F.col("unit_type") == "function").alias("functions"), F.count_if(F.col("unit_type") == "test").alias("tests"))
+
+
+def contrast(ws: DataFrame, text: str) -> DataFrame:
+    """(context_id, n, complexity, documented) of the units of a name in each context."""
+    hit = ws.where(F.lower("name").contains(text.lower()))
+    return hit.groupBy("context_id").agg(F.count("*").alias("n"), r6(F.avg("complexity")).alias("complexity"), r6(F.count("doc_summary") / F.count("*")).alias("documented"))
+
+
 def cross_reference(ws: DataFrame, symbol: str) -> DataFrame:
     """(context_id, found)."""
     return ws.groupBy("context_id").agg(F.coalesce(F.bool_or(F.lower("name") == symbol.lower()), F.lit(False)).alias("found"))
@@ -51,12 +70,11 @@ def directories(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def migration_plan(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(step, name, kind): names that b lacks, types before functions, tests and the rest; each step follows the one before."""
+    """(step, name, kind, after): names that b lacks, types before functions, tests and the rest; each step but the first comes after the one before."""
     missing = a.join(b.select("name").distinct(), "name", "left_anti").groupBy("name").agg(F.min("unit_type").alias("kind"))
     rank = F.when(F.col("kind") == "type", 0).when(F.col("kind") == "function", 1).when(F.col("kind") == "test", 2).otherwise(3)
-    start = missing.groupBy(rank.alias("rank")).agg(F.count("*").alias("n"))
-    base = start.select("rank", (F.sum("n").over(Window.orderBy("rank")) - F.col("n")).alias("base"))  # four rows
-    return missing.withColumn("rank", rank).join(F.broadcast(base), "rank").select((F.col("base") + F.row_number().over(Window.partitionBy("rank").orderBy("name"))).alias("step"), "name", "kind")
+    steps = numbered(missing.withColumn("rank", rank), "at", "rank", "name")
+    return steps.select((F.col("at") + 1).alias("step"), "name", "kind", F.when(F.col("at") > 0, F.col("at")).alias("after"))
 
 
 def translations(log: DataFrame) -> DataFrame:

@@ -64,6 +64,8 @@ _vec = lambda s, d: s.read.parquet(f"{d}/embeddings.parquet")
 _sim = "with v as (select vec_id, embedding::double[] as e from embeddings), q as (select e from v where vec_id = 7), sc as (select vec_id, round(coalesce(list_cosine_similarity(v.e, q.e), 0), 6) as score from v, q)"
 _near = lambda s, d: _vec(s, d).where("vec_id = 7").first()["embedding"]
 query("q8_semantic_search", f"{_sim} select * from sc where score >= 1e-1 order by score desc, vec_id limit 25")(lambda s, d: V.search(_vec(s, d), _near(s, d), 25, 0.1))
+_typed = lambda s, d: _vec(s, d).selectExpr("vec_id", "embedding", "case vec_id % 3 when 0 then 'function' when 1 then 'type' else 'test' end as unit_type", "case vec_id % 2 when 0 then 'Rust' else 'Go' end as language")
+query("q8_semantic_filters", f"{_sim} select * from sc where score >= 5e-2 and vec_id % 3 in (0, 1) and vec_id % 2 = 0 order by score desc, vec_id limit 25")(lambda s, d: V.search(_typed(s, d), _near(s, d), 25, 0.05, ["function", "type"], ["Rust"]))
 query("q22_similarity", f"{_sim} select * from sc where vec_id <> 7 and score >= 0 order by score desc, vec_id limit 10")(lambda s, d: V.similar(_vec(s, d), 7, 10, 0.0))
 query("i5_index_search", f"{_sim} select * from sc where score >= 2e-1 order by score desc, vec_id limit 40")(lambda s, d: V.index_search(_vec(s, d), _near(s, d), 40, 0.2))
 query("i8_find_similar", f"{_sim} select * from sc where vec_id <> 7 and score >= -1 order by score desc, vec_id limit 5")(lambda s, d: V.similar(_vec(s, d), 7, 5, -1.0))

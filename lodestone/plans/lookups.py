@@ -58,3 +58,6 @@ _q("i3_language_index", "select language, count(*) as n from units group by lang
 _q("i4_path_index", "select file_path, count(*) as n from units group by file_path")(lambda s, d: L.files(load(s, d).units))
 _q("x1_page", f"select {_SHORT} from units where unit_type = 'function' order by id limit 20 offset 40")(lambda s, d: L.page(load(s, d).units, "function", 20, 40).select(*_cols))
 _q("x4_unit_with_edges", f"select cast({UNIT} as bigint) as id, case when source_id = {UNIT} then 'out' else 'in' end as side, u.id as other_id, u.name as other_name, edge_type from edges join units u on u.id = case when source_id = {UNIT} then target_id else source_id end where source_id = {UNIT} or target_id = {UNIT}")(lambda s, d: L.with_edges(load(s, d).units, load(s, d).edges, UNIT))
+
+_NEW = ("'fresh' as unit_type", "'Go' as language", "name || '_copy' as name", "qualified_name", "file_path", "start_line")
+_q("g1_add_units", "select id, name from units union all select (select max(id) from units) + row_number() over (order by file_path, start_line, qualified_name), name || '_copy' from units where unit_type = 'type'")(lambda s, d: L.add_units(load(s, d).units, load(s, d).units.where("unit_type = 'type'").selectExpr(*_NEW)).select("id", "name"))

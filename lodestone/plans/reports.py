@@ -35,7 +35,7 @@ _q("w4_cross_reference", _WS, "select context_id, bool_or(lower(name) = 'supplie
 _q("w5_compare_codebases", _WS + f", na as (select distinct lower(name) as n from {_A} x), nb as (select distinct lower(name) as n from {_B} x), cn as (select (select count(*) from na where n in (select n from nb)) as common, (select count(*) from na where n not in (select n from nb)) as only_a, (select count(*) from nb where n not in (select n from na)) as only_b)", "select common, only_a, only_b, round(2e0 * common / (2 * common + only_a + only_b), 6) as similarity from cn")(lambda s, d: W.compare(*_ab(s, d)))
 _dir = "regexp_extract(file_path, '^(.*)/', 1) as directory, count(*) as n"
 _q("w5_directories", _WS + f", da as (select {_dir} from {_A} x group by 1), db as (select {_dir} from {_B} x group by 1)", "select coalesce(da.directory, db.directory) as directory, coalesce(da.n, 0) as n_a, coalesce(db.n, 0) as n_b from da full outer join db on da.directory = db.directory where coalesce(da.n, 0) <> coalesce(db.n, 0)")(lambda s, d: W.directories(*_ab(s, d)))
-_q("w6_migration_plan", _WS + f", mi as (select name, min(unit_type) as kind from {_A} x where name not in (select name from {_B} y) group by name)", "select row_number() over (order by case kind when 'type' then 0 when 'function' then 1 when 'test' then 2 else 3 end, name) as step, name, kind from mi")(lambda s, d: W.migration_plan(*_ab(s, d)))
+_q("w6_migration_plan", _WS + f", mi as (select name, min(unit_type) as kind from {_A} x where name not in (select name from {_B} y) group by name)", "select row_number() over (order by case kind when 'type' then 0 when 'function' then 1 when 'test' then 2 else 3 end, name) as step, name, kind, nullif(row_number() over (order by case kind when 'type' then 0 when 'function' then 1 when 'test' then 2 else 3 end, name) - 1, 0) as after from mi")(lambda s, d: W.migration_plan(*_ab(s, d)))
 _log = lambda s, d: load(s, d).changes.selectExpr("path as source_symbol", "commit_id * 100 + lines_added as seq", "case lines_deleted % 5 when 0 then 'pending' when 1 then 'ported' when 2 then 'verified' when 3 then 'skipped' else 'in_progress' end as status", "author").groupBy("source_symbol", "seq").agg(F.min("status").alias("status"))
 _LG = ", lg as (select path as source_symbol, commit_id * 100 + lines_added as seq, min(case lines_deleted % 5 when 0 then 'pending' when 1 then 'ported' when 2 then 'verified' when 3 then 'skipped' else 'in_progress' end) as status from changes group by 1, 2), lt as (select * from (select *, row_number() over (partition by source_symbol order by seq desc) as k from lg) x where k = 1)"
 _q("w7_translations", _LG, "select source_symbol, seq, status from lt")(lambda s, d: W.translations(_log(s, d)))
@@ -83,3 +83,17 @@ _q("w5_concepts", _ex + ", fx as (select concept, id from xc where s > 3e-1 + 1e
 _q("m_omniscience_api_usage", "", "select u.id, count(distinct e.source_id) as callers, count(distinct v.file_path) as files from units u left join edges e on e.target_id = u.id and e.edge_type = 'calls' left join units v on v.id = e.source_id where contains(lower(u.name), 'red') group by u.id")(lambda s, d: N.api_usage(load(s, d), "red"))
 _q("m_omniscience_solve", ", sv as (select id, round((cast(contains(t, 'deprecated') as int) + cast(contains(t, 'cache') as int) + cast(contains(t, 'tin') as int)) / 3e0, 6) as relevance from (select id, lower(concat_ws(' ', name, doc_summary)) as t from units) x)", "select * from sv where relevance > 0")(lambda s, d: N.solve(load(s, d).units, "deprecated tin cache"))
 _q("m_soul_extract", "", "select id, concat_ws(',', case when t > 0 then 'tested' end, case when doc_summary is not null then 'documented' end, case when stability_score > 8e-1 then 'stable' end, case when complexity < 10 then 'simple' end, case when is_async then 'asynchronous' end) as traits from full_u", True)(lambda s, d: N.soul(load(s, d)))
+_log_of = lambda s, d: s.read.parquet(f"{d}/events.parquet").selectExpr("cast(user_id as string) as session", "case event_type when 'purchase' then 'end' else event_type end as operation", "unix_timestamp(cast(ts as timestamp)) as at")
+_LOG = "with lg as (select cast(user_id as varchar) as session, case event_type when 'purchase' then 'end' else event_type end as operation, cast(floor(epoch(ts)) as bigint) as \"at\" from events)"
+query("m_sessions", _LOG + " select session, started, last, operations, ended is null or ended < last as is_open from (select session, min(\"at\") as started, max(\"at\") as last, count(*) as operations, max(case when operation = 'end' then \"at\" end) as ended from lg group by session) x")(lambda s, d: N.sessions(_log_of(s, d)))
+query("m_session_resume", _LOG + " select operation, \"at\" from lg where session = '7' order by \"at\" desc, operation limit 20")(lambda s, d: N.resume(_log_of(s, d), "7"))
+_kn = "t + cast(doc_summary is not null as int) + cast(signature is not null as int)"
+_q("m_resurrect_attempt", ", i as (select count(*) as c from edges where target_id = 138), o as (select count(*) as c from edges where source_id = 138)", f"select id, o.c as uses, i.c as used_by, {_kn} as evidence, case when {_kn} > 5 then 'high' when {_kn} > 2 then 'medium' else 'low' end as confidence from full_u, i, o where id = 138", True)(lambda s, d: N.attempt(load(s, d), 138))
+_q("m_resurrect_verify", "", "select count(*) > 0 as found, coalesce(bool_or(id in (select target_id from edges)), false) as referenced, coalesce(bool_or(t > 0), false) as tested from full_u where name = 'red_plate'", True)(lambda s, d: N.verify(load(s, d), "red_plate"))
+_tr = "concat_ws(',', case when t > 0 then 'tested' end, case when doc_summary is not null then 'documented' end, case when stability_score > 8e-1 then 'stable' end, case when complexity < 10 then 'simple' end, case when is_async then 'asynchronous' end)"
+_q("m_soul_preserve", "", f"select id, cast(to_json({{'name': name, 'unit_type': unit_type, 'language': language, 'traits': {_tr}}}) as varchar) as soul from full_u", True)(lambda s, d: N.preserve(load(s, d)))
+_q("m_soul_reincarnate", "", "select id, name, 'Go' as language, case when language = 'Go' then 'none' when t > 0 then 'low' else 'high' end as effort from full_u", True)(lambda s, d: N.reincarnate(N.preserve(load(s, d)), "Go"))
+_q("m_telepathy_connect", _WS, "select context_id, role, count(*) as units, count(distinct language) as languages from ws group by context_id, role")(lambda s, d: W.connect(_ws(s, d)))
+_q("m_telepathy_listen", _WS, "select context_id, count(*) as hits, count(case when unit_type = 'function' then 1 end) as functions, count(case when unit_type = 'test' then 1 end) as tests from ws where contains(lower(name), 'token') or contains(lower(coalesce(doc_summary, '')), 'token') group by context_id")(lambda s, d: W.listen(_ws(s, d), "Token"))
+_q("m_omniscience_search", _WS, "select context_id, id, name from ws where contains(lower(name), 'anvil')")(lambda s, d: W.find(_ws(s, d), "anvil"))
+_q("m_omniscience_compare", _WS, "select context_id, count(*) as n, round(avg(complexity), 6) as complexity, round(count(doc_summary) * 1e0 / count(*), 6) as documented from ws where contains(lower(name), 'red') group by context_id")(lambda s, d: W.contrast(_ws(s, d), "red"))

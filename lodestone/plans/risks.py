@@ -50,7 +50,7 @@ _pr = """, pr as (select id, round(least(1e0, case when stability_score < 3e-1 t
  case when change_count > 20 then 'changed often' end, case when b > 0 then 'breaks with others' end, case when unit_type = 'function' and t = 0 then 'no tests' end) as reasons from full_u)"""
 _q("q17_prophecy", _pr, "select * from pr where risk >= 5e-1 order by risk desc, id limit 20")(lambda s, d: R.prophecy(load(s, d), 20, 0.5))
 _q("q17_prophecy_all", _pr, "select * from pr where risk >= 3e-1")(lambda s, d: R.prophecy(load(s, d), 0, 0.3))
-_q("q19_migration_path", f", dp as (select distinct source_id as id from edges where target_id = {TARGET} and edge_type in ('calls', 'imports', 'uses_type', 'inherits', 'implements') and source_id <> {TARGET}), al as (select cast({UNIT} as bigint) as id, -1 as r, 'safe' as safety union all select {TARGET}, 9, 'caution' union all select id, case when id in (select id from tst) then 0 when id in (select target_id from edges where edge_type = 'calls' and source_id in (select id from tst)) then 1 else 2 end, null from dp)", "select cast(row_number() over (order by r, id) - 1 as integer) as step, id, coalesce(safety, case r when 0 then 'safe' when 1 then 'caution' else 'risky' end) as safety from al")(
+_q("q19_migration_path", f", dp as (select distinct source_id as id from edges where target_id = {TARGET} and edge_type in ('calls', 'imports', 'uses_type', 'inherits', 'implements') and source_id <> {TARGET}), al as (select cast({UNIT} as bigint) as id, -1 as r, 'safe' as safety union all select {TARGET}, 9, 'caution' union all select id, case when id in (select id from tst) then 0 when id in (select target_id from edges where edge_type = 'calls' and source_id in (select id from tst)) then 1 else 2 end, null from dp)", "select cast(row_number() over (order by r, id) - 1 as integer) as step, id, coalesce(safety, case r when 0 then 'safe' when 1 then 'caution' else 'risky' end) as safety, case r when -1 then 'bring in the new unit' when 9 then 'take out the old unit' when 0 then 'switch, its tests tell' when 1 then 'switch, tests of a caller tell' else 'switch, and add tests' end as description from al")(
     lambda s, d: R.migration(load(s, d), TARGET, UNIT)
 )
 _gap = "select id, round(least(1e0, 5e-1 * least(2e0, change_count / 2e1) + 5e-1 * least(2e0, complexity / 1e1)), 6) as priority from full_u where unit_type = 'function' and t = 0 and (change_count >= 20 or complexity >= 10)"

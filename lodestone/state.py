@@ -62,6 +62,17 @@ def _place(spark: SparkSession, path: str) -> tuple:
     return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def numbered(df: DataFrame, name: str, *keys) -> DataFrame:
+    """df with the numbers 0, 1, ... in the order of the keys: ranges are sorted apart, and only one count for each comes to the driver."""
+    bits = 33  # of monotonically_increasing_id, for the place in a partition
+    kept = checkpoint(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", bits)
+    sizes = sorted((r["p"], r["n"]) for r in kept.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    base = [(p, sum(n for _, n in sizes[:k])) for k, (p, _) in enumerate(sizes)]
+    before = df.sparkSession.createDataFrame(base, "_part long, _base long")
+    return kept.withColumn("_part", part).join(F.broadcast(before), "_part").withColumn(name, F.col("_base") + F.col("_at").bitwiseAND((1 << bits) - 1)).drop("_at", "_part", "_base")
+
+
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if its counted rows take at most so many bytes, as it is otherwise."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
