@@ -134,7 +134,99 @@ def test_grounding(g, spark):
     assert R.suggest(spark.createDataFrame([("proces_payment",)], "ref string"), g.units, 1).first()["name"] == "process_payment"
     assert {(r["claim_id"], r["ref"], r["kind"]) for r in R.contradictions(claims, g.units).collect()} == {(2, "no_such_thing", "not_found"), (4, "proces_payment", "contradicted")}
     h = {r["claim_id"]: r["safe"] for r in R.hallucinations(claims, g.units).collect()}
-    assert h == {1: True, 2: False, 4: False}
+    assert h == {1: True, 2: False, 3: True, 4: False, 5: True}
+
+
+def one_text(spark, text):
+    return spark.createDataFrame([(1, text)], "claim_id long, text string")
+
+
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("HTTPServer and XMLParser, GitHub too", ["GitHub", "HTTPServer", "XMLParser"]),
+        ("`the` `The` ` ` `` `x`", ["x"]),
+        ("`a_b` says a_b and `a_b` of B_C", ["B_C", "a_b", "a_b"]),
+        ("Hello HTTP World x _y y_ a__b A_ 1_2", []),
+        ("say `foo bar_baz` now", ["bar_baz", "foo bar_baz"]),
+    ],
+)
+def test_references(spark, text, names):
+    assert sorted(r["ref"] for r in R.exploded(one_text(spark, text)).collect()) == names
+
+
+def test_wrong_places_and_fixes(spark, g):
+    text = "process_payment with no_such is in src/other.rs here.\nUse valid in `validate_input`. The sendx_it of send_notification is in file src/app.rs"
+    bad = {(r["k"], r["ref"], r["kind"], r["severity"]) for r in R.hallucinated(one_text(spark, text), g.units).collect()}
+    assert bad == {(0, "process_payment", "wrong_location", "moderate"), (0, "no_such", "non_existent", "severe"), (2, "sendx_it", "non_existent", "severe")}
+    row = R.hallucinations(one_text(spark, text), g.units).first()
+    assert (row["claims"], row["missing"], row["misplaced"], row["score"], row["safe"]) == (3, 2, 1, 1.0, False)
+    fixes = {r["ref"]: r["fix"] for r in R.fixes(one_text(spark, text + ". And `valid` or `login_x` in it"), g.units).collect()}
+    assert fixes["process_payment"] == "actually in src/app.rs" and fixes["no_such"] == "remove" and fixes["valid"] == "replace by one of: Validator, validate_input" and fixes["login_x"] == "replace by one of: login"
+
+
+def test_truths(spark, g):
+    claims = spark.createDataFrame([(1, "`login` and `logout`"), (2, "`helper_internal`"), (3, "none")], "claim_id long, text string")
+    first = R.refresh(R.register(claims, 5), g.units, 10)
+    assert {r["claim_id"]: (r["status"], r["invalidated_at"]) for r in first.collect()} == {1: ("valid", None), 2: ("valid", None), 3: ("deleted", 10)}
+    later = R.refresh(first, g.units.where("name not in ('logout', 'helper_internal')"), 20)
+    assert {r["claim_id"]: (r["status"], r["invalidated_at"]) for r in later.collect()} == {1: ("stale", 20), 2: ("deleted", 20), 3: ("deleted", 10)}
+    back = R.refresh(later, g.units, 30)  # what is invalid stays so
+    assert {r["claim_id"] for r in R.truth_diff(back).collect()} == {1, 2, 3}
+
+
+@pytest.mark.parametrize(
+    ("roles", "pattern", "layers"),
+    [
+        (("controller", "model"), "mvc", 1), (("controller", "model", "service"), "mvc", 2), (("controller", "service", "repository", "model"), "layered", 3), (("service", "repository"), "hexagonal", 2),
+        (("utility", "test", "entrypoint"), "monolith", 0), (("controller", "service"), "monolith", 2), (("controller", "service", "configuration"), "unknown", 2), ((), "monolith", 0),
+    ],
+)
+def test_architectures(spark, roles, pattern, layers):
+    row = C.infer_architecture(spark.createDataFrame([(r, 2) for r in roles], "role string, n long")).first()
+    assert (row["pattern"], row["layers"]) == (pattern, layers)
+
+
+def test_singletons(spark, g):
+    rows = [(1, "type", "Config", "app::Config", "public"), (2, "function", "get_instance", "app::Config::get_instance", "public"), (3, "function", "new", "app::Config::new", "private"), (4, "type", "Pool", "app::Pool", "private"), (5, "function", "new", "app::Pool::new", "public"), (6, "type", "Bus", "app::Bus", "public"), (7, "function", "shared", "app::Bus::shared", "public")]
+    units = spark.createDataFrame(rows, "id long, unit_type string, name string, qualified_name string, visibility string")
+    assert {(r["id"], r["score"]) for r in C.design_patterns(Graph(units, g.edges, g.changes)).where("pattern = 'singleton'").collect()} == {(1, 1.0), (6, 0.5)}
+
+
+def test_patterns_to_follow(spark):
+    rows = [(k, "function", f"get_{n}", f"src/api/{n}.py") for k, n in enumerate(("one_item", "two_item", "three_item"))] + [(9, "function", "fetch", "src/api/x.py"), (10, "type", "Other", "lib/y.py")]
+    units = spark.createDataFrame(rows, "id long, unit_type string, name string, file_path string")
+    assert {r["pattern"] for r in C.check_patterns(units, 9).collect()} == {"get_*", "*_item"} and C.check_patterns(units, 0).count() == C.check_patterns(units, 10).count() == 0
+    assert {r["pattern"]: r["n"] for r in C.suggest_patterns(units, "src/api/new.py").collect()} == {"get_*": 3, "*_item": 3, "dir:src/api:function": 4}
+    assert C.suggest_patterns(units, "top.py").count() == 0
+    with pytest.raises(ValueError):
+        C.match_pattern(Graph(units, None, None), "struct { x }")
+
+
+def test_questions_as_expressions(spark):
+    texts = ["Where is the payment function in module core?", "tests for login.py", "who uses retry", "struct for config", "How is it", "", "logic for été_1 and naïve", "def x"]
+    got = {r["text"]: (r["intent"], [k for k in r["keywords"].split(",") if k], r["scope"]) for r in C.parse_questions(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert got == {t: C.parse_question(t) for t in texts}
+
+
+def test_numbers_follow_ranges(spark):
+    from lodestone import state
+
+    df = spark.range(1000, numPartitions=7).selectExpr("id * 7919 % 1000 as k", "id")
+    got = state.numbered(df, "n", "k").collect()
+    assert len(got) == 1000 and all(r["n"] == r["k"] for r in got) and state.numbered(df.limit(0), "n", "k").count() == 0
+
+
+def test_a_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace as Made
+
+    from lodestone import state
+
+    session = lambda master, named=None: Made(conf=Made(get=lambda *_: named), sparkContext=Made(master=master))
+    assert state.shared_folder(session("spark://x", "hdfs://shared")) == "hdfs://shared" and state.shared_folder(session("local[4]"))
+    for master in ("spark://x", "yarn", "local-cluster[2,1,512]"):
+        with pytest.raises(RuntimeError):
+            state.shared_folder(session(master))
 
 
 def test_vectors(spark):
@@ -220,6 +312,10 @@ def test_parsers(spark, tmp_path):
     assert rows["Rust", "Config", "type"]["visibility"] == "public" and rows["Rust", "Show", "trait"] and rows["Rust", "it_works", "test"] and rows["Rust", "std::fs", "import"]
     assert rows["TypeScript", "Dog", "type"]["refs"][0]["name"] == "Animal" and rows["TypeScript", "go", "function"]["is_async"] and rows["TypeScript", "f", "function"] and rows["TypeScript", "Shape", "trait"]
     assert rows["Go", "Show", "function"]["visibility"] == "public" and rows["Go", "hidden", "function"]["visibility"] == "private"
+    assert {r["reason"] for r in code.scan(spark, str(tmp_path), ignore="*.rs\n/a/*\n!mod.py\n").where("reason = 'ignored'").collect()} == {"ignored"}
+    taken = {r["path"].rsplit("/", 1)[-1] for r in code.scan(spark, str(tmp_path), ignore="*.rs\n/a/*\n!mod.py\n# no\n").where("reason is null").collect()}
+    assert taken == {"mod.py", "d.ts", "m.go"}
+    assert code.scan(spark, str(tmp_path), most_bytes=1).where("reason = 'too_large'").count() == 5
     from lodestone.operators import ingest
 
     graph = ingest.compile_graph(code.read(spark, str(tmp_path)))
