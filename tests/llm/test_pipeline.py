@@ -60,3 +60,22 @@ def test_every_operator_has_a_query_of_its_number():
     from lodestone.llm import queries
 
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+def test_odd_rows_from_end_to_end(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    t = " ".join(f"w{k}" for k in range(50))
+    item = "Which of the seven rivers flows north past the old granite mill? The river called Aldra does so."
+    long = " ".join(f"v{k % 977}x{k % 1013}" for k in range(200_000))
+    rows = [(1, t), (1, t), (2, t), (None, t), (3, None), (4, ""), (5, "?!"), (6, "x " + item), (7, long), (8, long + " end"), (None, None), (9, "other words")]
+    clash = {c: F.lit(1) for c in ("id", "component", "part", "whole", "gone_id", "class_id", "item_id", "toxic", "tokens", "y", "n_tokens", "exact")}
+    spark.createDataFrame(rows, "doc_id long, text string").withColumns(clash).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 0, 1), (2, 0, None), (None, 1, 1), (9, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(10, item), (None, None), (11, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"] > 0) for r in got) == [(0, False), (0, True), (1, True), (1, True), (3, False), (4, False), (5, True), (7, True), (9, True)]
+    for name in ("documents", "labels", "benchmark"):
+        empty = spark.read.parquet(f"{tmp_path}/{name}.parquet").limit(0)
+        empty.write.parquet(f"{tmp_path}/empty/{name}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0

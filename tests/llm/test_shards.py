@@ -36,3 +36,11 @@ def test_odd_rows(spark):
     got = sorted(S.assign(docs).collect(), key=lambda r: r["row"])
     assert [r["doc_id"] for r in got] == [None, None, 1, 3, 3] and sorted(r["place"] for r in got) == [0, 1, 2, 3, 4]
     assert S.assign(docs.limit(0)).count() == 0
+
+
+def test_keys_of_other_types(spark):
+    docs = spark.createDataFrame([("b",), (None,), ("a",), ("",), ("ä",), ("b",)], "k string")
+    got = sorted(S.assign(docs, "k", shards=2).collect(), key=lambda r: r["row"])
+    assert [r["k"] for r in got] == [None, "", "a", "b", "b", "ä"] and [r["place"] for r in got] == S.permute(np.arange(6), 6).tolist()
+    days = spark.sql("select date_add(date'2020-01-01', cast(id * 7 % 10 as int)) as d from range(10)")
+    assert [r["d"].day for r in sorted(S.assign(days, "d").collect(), key=lambda r: r["row"])] == list(range(1, 11))
