@@ -22,21 +22,20 @@ def within(changes: DataFrame, since: int | None = None, until: int | None = Non
 
 
 def history(changes: DataFrame, now: int, window_days: int = 30) -> DataFrame:
-    """One row for each path, from one aggregation."""
+    """One row for each path. Changes are aggregated by path and author first, so a hot path is spread over its authors, and these needn't be collected to be counted."""
     recent = F.col("ts") >= now - window_days * DAY
-    return changes.groupBy("path").agg(
-        F.count("*").alias("n"),
-        F.count_if("is_bugfix").alias("bugfixes"),
-        F.array_join(F.array_sort(F.collect_set("author")), ",").alias("authors"),
-        F.countDistinct("author").alias("n_authors"),
-        F.sum("lines_added").alias("added"),
-        F.sum("lines_deleted").alias("deleted"),
-        F.sum(F.col("lines_added") + F.col("lines_deleted")).alias("churn"),
-        F.max("ts").alias("latest"),
-        F.min("ts").alias("oldest"),
-        F.count_if(recent).alias("recent"),
-        F.count_if(recent & F.col("is_bugfix")).alias("recent_bugfixes"),
-    )
+    by = changes.groupBy("path", "author").agg(
+        F.count("*").alias("n"), F.count_if("is_bugfix").alias("bugfixes"), F.sum("lines_added").alias("added"), F.sum("lines_deleted").alias("deleted"),
+        F.max("ts").alias("latest"), F.min("ts").alias("oldest"), F.count_if(recent).alias("recent"), F.count_if(recent & F.col("is_bugfix")).alias("recent_bugfixes"),
+    )
+    total = [F.sum(c).alias(c) for c in ("n", "bugfixes", "added", "deleted", "recent", "recent_bugfixes")]
+    out = by.groupBy("path").agg(*total, F.count("author").alias("n_authors"), F.max("latest").alias("latest"), F.min("oldest").alias("oldest"))
+    return out.select("path", "n", "bugfixes", "n_authors", "added", "deleted", (F.col("added") + F.col("deleted")).alias("churn"), "latest", "oldest", "recent", "recent_bugfixes")
+
+
+def authors(changes: DataFrame) -> DataFrame:
+    """(path, author, n) of everyone who changed a path."""
+    return changes.where("author is not null").groupBy("path", "author").agg(F.count("*").alias("n"))
 
 
 def stability(h: DataFrame) -> DataFrame:

@@ -12,8 +12,7 @@ from lodestone.operators.risk import with_degrees
 from lodestone.registry import query
 
 NOW = 996624000
-_H = f", h as (select path, count(*) as n, count(case when is_bugfix then 1 end) as bugfixes, (select string_agg(a, ',' order by a) from (select distinct author as a from changes c2 where c2.path = c.path) z) as authors, count(distinct author) as n_authors, cast(sum(lines_added) as bigint) as added, cast(sum(lines_deleted) as bigint) as deleted, cast(sum(lines_added + lines_deleted) as bigint) as churn, max(ts) as latest, min(ts) as oldest, count(case when ts >= {NOW - 180 * 86400} then 1 end) as recent, count(case when ts >= {NOW - 180 * 86400} and is_bugfix then 1 end) as recent_bugfixes from changes c group by path)"
-_H1 = _H.replace("(select string_agg(a, ',' order by a) from (select distinct author as a from changes c2 where c2.path = c.path) z) as authors, ", "")
+_H1 = f", h as (select path, count(*) as n, count(case when is_bugfix then 1 end) as bugfixes, count(distinct author) as n_authors, cast(sum(lines_added) as bigint) as added, cast(sum(lines_deleted) as bigint) as deleted, cast(sum(lines_added + lines_deleted) as bigint) as churn, max(ts) as latest, min(ts) as oldest, count(case when ts >= {NOW - 180 * 86400} then 1 end) as recent, count(case when ts >= {NOW - 180 * 86400} and is_bugfix then 1 end) as recent_bugfixes from changes c group by path)"
 _h = lambda s, d: T.history(load(s, d).changes, NOW, 180)
 
 
@@ -24,7 +23,8 @@ def _q(name: str, ctes: str, sql: str):
 _q("h1_changes_for_path", "", "select commit_id, ts, author, is_bugfix from changes where path = 'p138'")(lambda s, d: load(s, d).changes.where("path = 'p138'").select("commit_id", "ts", "author", "is_bugfix"))
 _q("h1_files_in_commit", "", "select distinct path from changes where commit_id = 7")(lambda s, d: load(s, d).changes.where("commit_id = 7").select("path").distinct())
 _q("h1_commits", "", "select commit_id, count(*) as n, min(ts) as ts from changes group by commit_id")(lambda s, d: load(s, d).changes.groupBy("commit_id").agg(F.count("*").alias("n"), F.min("ts").alias("ts")))
-_q("h2_history", ", au as (select path, string_agg(author, ',' order by author) as authors from (select distinct path, author from changes) x group by path)" + _H1, "select h.*, authors from h join au on au.path = h.path")(_h)
+_q("h2_history", _H1, "select * from h")(_h)
+_q("h2_authors", "", "select path, author, count(*) as n from changes group by path, author")(lambda s, d: T.authors(load(s, d).changes))
 _q("h3_options", "", f"select path, commit_id, ts from changes where ts >= {NOW - 900 * 86400} and ts <= {NOW} and path like 'p1%' and commit_id in (select commit_id from changes where ts >= {NOW - 900 * 86400} and ts <= {NOW} and path like 'p1%' group by commit_id order by max(ts) desc, commit_id limit 100)")(
     lambda s, d: T.within(load(s, d).changes, NOW - 900 * 86400, NOW, "p1", 100).select("path", "commit_id", "ts")
 )
