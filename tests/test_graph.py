@@ -323,3 +323,12 @@ def test_parsers(spark, tmp_path):
     edges = {(names[r["source_id"]], names[r["target_id"]], r["edge_type"]) for r in graph.edges.collect()}
     assert {("run", "helper", "calls"), ("test_helper", "helper", "calls"), ("Child", "Base", "inherits"), ("mod", "Child", "contains"), ("Config", "Show", "implements")} <= edges
     assert len(names) == graph.units.count() == len(set(names))
+
+
+def test_traversal_of_empty_tables(spark):
+    none = spark.createDataFrame([], "source_id long, target_id long, edge_type string")
+    start = spark.createDataFrame([(1,)], "id long")
+    for edges in (none, spark.createDataFrame([(1, 2, "calls")], none.schema).where("edge_type = 'x'")):
+        for s, n in ((start, 1), (start.where("id < 0"), 0)):
+            assert T.bfs(edges, s, 3).count() == T.closure(edges, s).count() == n
+        assert T.on_cycles(edges, ()).count() == T.simple_paths(edges, 1, 2, 3).count() == 0 and not T.shortest_path(edges, 1, 2).first()["found"]
