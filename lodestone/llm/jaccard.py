@@ -636,9 +636,8 @@ def _connected(sets: DataFrame) -> DataFrame:
     wanted = checkpoint(apart.groupBy("whole").agg(F.collect_list("keys").alias("wanted")))
     left = wanted.agg(F.sum(F.aggregate("wanted", F.lit(0).cast("long"), lambda x, y: x + F.octet_length(y)))).first()[0] or 0
     parts = _parts(sets, left // 8, PART // 4)
-    # lists of keys take several times their bytes on the driver
-    near = F.broadcast(wanted) if left + 24 * wanted.count() <= BROADCAST_BYTES // 16 else wanted
-    rest = known.join(near, "whole").select("whole", "n", "grams", "rank", "component", "wanted")
+    # lists of keys take several times their bytes on the driver, so no broadcast is asked for
+    rest = known.join(wanted, "whole").select("whole", "n", "grams", "rank", "component", "wanted")
     met = rest.mapInArrow(_meet(parts), _MEET).repartitionById(parts, "part").sortWithinPartitions("part")
     more = met.mapInArrow(_connect, "a long, b long")
     return checkpoint(components(more.unionAll(first.select(F.col("whole").alias("a"), F.col("component").alias("b"))))).withColumnRenamed("id", "whole")
