@@ -13,7 +13,7 @@ if their sets have a Jaccard similarity of at least ``threshold``. Identical set
    at FIRST n-grams each, and then at those of all where sets meet that aren't connected.
 3. Connected sets come together. They go into one prefix tree, frequent n-grams first, so that near copies share long paths. One
    traversal carries the overlaps with all sets at once; a subtree is left as soon as no set can reach the threshold with
-   what remains below it. More than BLOCK connected sets are joined block by block in different tasks.
+   what remains below it. More than BLOCK connected sets, or sets of more than GRAMS n-grams, are joined block by block in different tasks.
 
 Hot values: n-grams whose bucket of the value range has more than HEAVY occurrences aren't sent to one part; they are taken as shared, in
 the place that the bucket's count gives them. An n-gram that more than GROUP classes have is split by class, and each two of its splits
@@ -46,8 +46,10 @@ N, THRESHOLD = 3, 0.5
 #: n-grams in a part, of which a task holds one at a time; occurrences of a bucket that aren't sent to one part; classes that meet at one
 #: n-gram in one place; connected sets in one block.
 PART, HEAVY, GROUP, BLOCK = 2_000_000, 500_000, 1 << 16, 4096
-#: n-grams that a task collects before it sends them on; keys at which sets meet first.
-SENT, FIRST = 1 << 20, 8
+#: n-grams that a task collects before it sends them on; keys at which sets meet first; n-grams of the sets in one block, of which a task holds two.
+SENT, FIRST, GRAMS = 1 << 20, 8, 1 << 20
+#: Texts that a task turns into Python's strings at once.
+TEXTS = 1000
 #: Pairs that are compared at once.
 PAIRS = 1 << 19
 _EPS = 1e-9
@@ -65,7 +67,7 @@ def _part(keys: np.ndarray, parts: int) -> np.ndarray:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
     """(ids, whole, sizes, n-grams) of consecutive texts; whole is a hash of each set, 0 for an empty one."""
-    for batch in batches:
+    for batch in (b.slice(k, TEXTS) for b in batches for k in range(0, b.num_rows, TEXTS)):
         for first, end, words, of in X.hashes(batch.column(1).to_pylist()):
             sets, bounds = X.sets(words, of, N)
             sizes, whole = np.diff(bounds), np.zeros(end - first, X.U)
@@ -506,7 +508,7 @@ def trie_join(sets: list[np.ndarray], sizes: np.ndarray, others: list[np.ndarray
 
     paths = [path(s) for s in sets]
     long = np.array([len(p) for p in paths])
-    by_path = sorted(range(len(sets)), key=lambda k: paths[k].tolist())
+    by_path = sorted(range(len(sets)), key=lambda k: paths[k].astype(">u4").tobytes())  # bytes, as numbers of Python take ten times as much
     # how many leading n-grams neighbours of the sorted list share: the inner nodes of the tree
     shared = [0]
     for x, y in zip(by_path, by_path[1:]):
@@ -598,9 +600,10 @@ def _parts(df: DataFrame, amount: int, each: int) -> int:
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, dict[int, int]]:
     """Documents (id, whole, n); classes (whole, n, rep, copies); and buckets with more than HEAVY occurrences."""
     own = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id is not null")
-    read = checkpoint(own.mapInArrow(_describe, "id long, whole long, n long"))
-    heavy = {r["whole"]: r["n"] for r in read.where("id is null").groupBy("whole").agg(F.sum("n").alias("n")).where(F.col("n") > HEAVY).collect()}  # 65,536 buckets at most
-    units = read.where("id is not null").distinct()
+    # repeats come together before the write, so that it makes few files and nothing shuffles them again
+    read = checkpoint(own.mapInArrow(_describe, "id long, whole long, n long").groupBy("id", "whole", "n").agg(F.count("*").alias("times")))
+    heavy = {r["whole"]: r["n"] for r in read.where("id is null").groupBy("whole").agg(F.sum(F.col("n") * F.col("times")).alias("n")).where(F.col("n") > HEAVY).collect()}  # 65,536 buckets at most
+    units = read.where("id is not null").select("id", "whole", "n")
     return units, checkpoint(units.groupBy("whole", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))), heavy
 
 
@@ -648,18 +651,19 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     units, classes, heavy = _classes(docs)
     sets = _candidates(docs, units, classes, heavy)
     members = _connected(sets)
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    members = checkpoint(members.join(classes.select("whole", "n", "copies"), "whole"))
+    sizes = members.groupBy("component").agg(F.least(F.count("*"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / GRAMS))).cast("int").alias("blocks"))
     several = checkpoint(sizes.where("blocks > 1"))
+    members = members.drop("n")
     placed = members.join(small(several, 20), "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("whole"), F.col("blocks")).cast("int"))
-    known = checkpoint(placed.join(classes.select("whole", "copies"), "whole"))
-    rows = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "whole", "copies")
-    if (known.agg(F.sum("blocks")).first()[0] or 0) * 80 <= BROADCAST_BYTES:
+    if (placed.agg(F.sum("blocks")).first()[0] or 0) * 80 <= BROADCAST_BYTES:
         rows = F.broadcast(rows)
     together = sets.select("whole", "n", "grams").join(rows, "whole").select("component", "low", "high", "block", "whole", "n", "copies", "grams")
     keys = ["component", "low", "high"]
     solved = together.repartition(_parts(docs, 0, 1), *keys).sortWithinPartitions(*keys).mapInArrow(_solve, "whole long, links long, root long")
-    return units, classes, checkpoint(solved)
+    return units, classes, checkpoint(solved.groupBy("whole", "root").agg(F.sum("links").alias("links")))
 
 
 def linked(docs: DataFrame) -> DataFrame:

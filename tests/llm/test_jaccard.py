@@ -1,5 +1,7 @@
 import re
+import tracemalloc
 from itertools import combinations
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -104,6 +106,55 @@ def test_hot_values_and_blocks_change_nothing(spark, monkeypatch):
     assert got(docs) == want
 
 
+def test_blocks_are_bounded_by_their_ngrams(spark, monkeypatch):
+    """Few sets of many n-grams are as much for a task as many small ones."""
+    solve, most = J._solve, 2500
+
+    def bounded(batches):
+        def seen():
+            held = {}
+            for batch in batches:
+                for row in batch.to_pylist():
+                    key = row["component"], row["low"], row["high"]
+                    held[key] = held.get(key, 0) + len(row["grams"]) // 8
+                yield batch
+            assert max(held.values(), default=0) <= most, max(held.values())
+
+        yield from solve(seen())
+
+    rows = near_copies()  # the chain alone has about 4,600 n-grams
+    monkeypatch.setattr(J, "GRAMS", 500, raising=False)
+    monkeypatch.setattr(J, "_solve", bounded)
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+
+
+def test_tables_have_no_file_for_each_part_of_the_input(spark, monkeypatch, tmp_path):
+    """Each file that is written costs processes on the executor, so tables of small rows have few."""
+    made = []
+
+    def checkpoint(df):
+        made.append(f"{tmp_path}/{len(made)}")
+        df.write.parquet(made[-1])
+        return spark.read.parquet(made[-1])
+
+    rows = near_copies()
+    monkeypatch.setattr(J, "checkpoint", checkpoint)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(24)
+    assert got(docs) == brute(rows)
+    assert max(len(list(Path(m).glob("*.parquet"))) for m in made) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_trie_join_holds_no_numbers_of_python():
+    sets = [np.sort(np.random.default_rng(k).choice(40_000, 20_000, replace=False)).astype(np.uint64) for k in range(40)]
+    tracemalloc.start()
+    try:
+        found = sum(len(js) for _, js, _ in J.trie_join(sets, np.full(40, 20_000)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == 0 and peak < 70 * 40 * 20_000
+
+
 def test_many_leaders_in_one_place(spark):
     """Similar sets each of which is also like another: more of them than any small group, so none may be left out."""
     rng = np.random.default_rng(1)
