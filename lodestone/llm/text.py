@@ -19,7 +19,7 @@ _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)
 _WORD = np.array([chr(c).isalnum() or c == 95 for c in range(65536)])
 _MIX = np.random.default_rng(20240229).integers(1, 1 << 63, 65536, dtype=np.int64).astype(U)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers = np.empty(0, U), np.empty(0, U)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -30,13 +30,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        up, down = np.full(size, _P, U), np.full(size, _PINV, U)
-        up[0] = down[0] = 1
-        _powers[size] = np.cumprod(up), np.cumprod(down)
-    return _powers[size]
+    """Powers of _P and of its inverse, n of each at least. Those that two buffers need are kept."""
+    global _powers
+    if n <= len(_powers[0]):
+        return _powers
+    size = -(-n // 65536) * 65536
+    up, down = np.full(size, _P, U), np.full(size, _PINV, U)
+    up[0] = down[0] = 1
+    np.cumprod(up, out=up)
+    np.cumprod(down, out=down)
+    if size <= 2 * BUFFER:
+        _powers = up, down
+    return up, down
 
 
 def _astral(cp: np.ndarray, word: np.ndarray) -> None:

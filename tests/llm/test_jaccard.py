@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import jaccard as J
 from lodestone.llm import queries
+from lodestone.llm import text as X
 from lodestone.llm.components import components
 
 
@@ -144,6 +145,20 @@ def test_tables_have_no_file_for_each_part_of_the_input(spark, monkeypatch, tmp_
     assert max(len(list(Path(m).glob("*.parquet"))) for m in made) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_powers_of_a_buffer_are_made_once_and_no_longer_than_needed():
+    tracemalloc.start()
+    try:
+        up, down = X._pow(X.BUFFER + 500)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 3 * 8 * X.BUFFER
+    assert X._pow(X.BUFFER - 500)[0] is up and X._pow(X.BUFFER + 500)[0] is up
+    assert (up[1:] == up[:-1] * X.U(X._P)).all() and (up * down == 1).all()
+    long, _ = X._pow(3 * X.BUFFER)
+    assert (long[: len(up)] == up).all() and X._pow(5)[0] is up  # those of a very long text aren't kept
+
+
 def test_trie_join_holds_no_numbers_of_python():
     sets = [np.sort(np.random.default_rng(k).choice(40_000, 20_000, replace=False)).astype(np.uint64) for k in range(40)]
     tracemalloc.start()
