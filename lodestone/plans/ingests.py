@@ -20,6 +20,8 @@ FILES = (
     ("ts", "import { a } from './lib';\n\nexport class W{n} extends Base {\n  run() {\n    return 1;\n  }\n}\n\nexport async function load{n}(x: number) {\n  return x;\n}\n\nexport function create_box{n}() {\n  return 2;\n}\n\nexport interface I{n} {\n  a: string;\n}\n", ""),
     ("go", "package m\n\nimport \"fmt\"\n\ntype Box{n} struct {\n\ta int\n}\n\nfunc Open{n}(x int) int {\n\treturn x\n}\n\nfunc close{n}() {\n}\n\nfunc TestOpen{n}(t *testing.T) {\n}\n", ""),
 )
+#: Files that a task parses.
+FILES_A_TASK = 4000
 #: What is in them: kind, name, complexity (more for each repeat where it is 3), visibility.
 _DECLARED = (
     (("module", "m{n}", 0, "public"), ("import", "os", 0, "public"), ("import", "native_{n}", 0, "public"), ("import", "pkg.tool", 0, "public"), ("type", "C{n}", 0, "public"), ("function", "run", 1, "public"), ("function", "helper_{n}", 3, "public"), ("function", "_low", 1, "internal")),
@@ -35,14 +37,16 @@ _REFERRED = (
 
 
 def _files(s, d):
-    """A source file for each part, written from a template."""
+    """A source file for each part, written from a template. Keys are spread before that, as the table is one file that a single task would read and parse."""
+    parts = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("n"))
+    parts = parts.repartition(max(s.sparkContext.defaultParallelism, -(-parts.count() // FILES_A_TASK)))
     text = F.lit(None).cast("string")
     ext = F.lit(None).cast("string")
     for k, (e, t, more) in enumerate(FILES):
         here = F.col("n") % 4 == k
         text, ext = F.when(here, F.replace(F.lit(t), F.lit("{more}"), F.repeat(F.lit(more), (F.col("n") % 3).cast("int")))).otherwise(text), F.when(here, F.lit(e)).otherwise(ext)
     filled = F.replace(F.replace(text, F.lit("{n}"), F.col("n").cast("string")), F.lit("{m}"), (F.col("n") - 1).cast("string"))
-    return s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("n")).select(F.concat(F.lit("src/m"), "n", F.lit("."), ext).alias("path"), filled.cast("binary").alias("content"))
+    return parts.select(F.concat(F.lit("src/m"), "n", F.lit("."), ext).alias("path"), filled.cast("binary").alias("content"))
 
 
 def _raw(s, d):
