@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,24 +29,33 @@ def number(raw: DataFrame) -> DataFrame:
     return raw.withColumn("nth", nth).withColumn("id", F.when(F.col("nth") == 1, key).otherwise(F.xxhash64(key, "nth"))).drop("nth")
 
 
+def _two_least(targets: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, t1, t2): the two least ids t of targets, both the same if there is one."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("t"))
+    return targets.withColumn("nth", nth).where("nth <= 2").groupBy(*keys).agg(F.min("t").alias("t1"), F.max("t").alias("t2"))
+
+
 def resolve(units: DataFrame) -> DataFrame:
     """(id, name, kind, line, target_id, how) of every reference: local by the qualified name, then by name in the file, then by name anywhere; imported
     by an import of the file that ends with it; external by the language's library; else unresolved.
 
-    Each way is an equality join; the best way of a reference wins, then the least id.
+    Each way is an equality join; the best way of a reference wins, then the least id. A name that many units share would make the product of them and
+    their references, so only two of its units are joined: the least, and the next for the reference that is in the least itself.
     """
     refs = units.select("id", "path", "language", F.posexplode("refs").alias("k", "r")).select("id", "path", "language", "k", "r.*").where("kind <> 'pymodule'")
     last = F.regexp_extract("name", r"([A-Za-z0-9_]+)$", 1)
     targets = units.where("unit_type not in ('import', 'module')")
-    t = lambda key, *more: targets.select(F.col("id").alias("t"), F.col(key).alias("tk"), *(F.col(c).alias(f"t_{c}") for c in more))
     asked = refs.withColumn("last", last)
-    full = asked.join(t("qualified_name"), F.col("name") == F.col("tk")).select("id", "k", "t", F.lit(1).alias("rank"))
-    local = asked.join(t("name", "path"), (F.col("last") == F.col("tk")) & (F.col("path") == F.col("t_path"))).select("id", "k", "t", F.lit(2).alias("rank"))
-    anywhere = asked.join(t("name"), F.col("last") == F.col("tk")).select("id", "k", "t", F.lit(3).alias("rank"))
-    imports = units.where("unit_type = 'import'").select(F.col("id").alias("t"), F.col("path").alias("t_path"), F.explode(F.array_distinct(F.array(F.regexp_extract("name", r"([A-Za-z0-9_]+)$", 1), F.regexp_extract("name", r"^([A-Za-z0-9_]+)", 1)))).alias("tk"))
     head = F.regexp_extract("name", r"^([A-Za-z0-9_]+)", 1)
-    imported = asked.where("kind <> 'import'").withColumn("head", head).join(imports, (F.col("path") == F.col("t_path")) & ((F.col("head") == F.col("tk")))).select("id", "k", "t", F.lit(4).alias("rank"))
-    best = full.unionAll(local).unionAll(anywhere).unionAll(imported).where("t <> id").groupBy("id", "k").agg(F.min(F.struct("rank", "t")).alias("b"))
+    imports = units.where("unit_type = 'import'").select(F.col("id").alias("t"), "path", F.explode(F.array_distinct(F.array(F.regexp_extract("name", r"([A-Za-z0-9_]+)$", 1), head))).alias("tk"))
+    ways = [
+        (asked.withColumn("tk", F.col("name")), targets.select(F.col("id").alias("t"), F.col("qualified_name").alias("tk")), ["tk"]),
+        (asked.withColumn("tk", F.col("last")), targets.select(F.col("id").alias("t"), "path", F.col("name").alias("tk")), ["path", "tk"]),
+        (asked.withColumn("tk", F.col("last")), targets.select(F.col("id").alias("t"), F.col("name").alias("tk")), ["tk"]),
+        (asked.where("kind <> 'import'").withColumn("tk", head), imports, ["path", "tk"]),
+    ]
+    found = reduce(DataFrame.unionAll, (a.join(_two_least(t, keys), keys).select("id", "k", F.when(F.col("t1") != F.col("id"), F.col("t1")).when(F.col("t2") != F.col("id"), F.col("t2")).alias("t"), F.lit(rank).alias("rank")) for rank, (a, t, keys) in enumerate(ways, 1)))
+    best = found.where("t is not null").groupBy("id", "k").agg(F.min(F.struct("rank", "t")).alias("b"))
     known = units.sparkSession.createDataFrame([(lang, n) for lang, ns in STDLIB.items() for n in ns], "language string, head string").withColumn("std", F.lit(True))
     j = refs.withColumn("head", head).join(best, ["id", "k"], "left").join(F.broadcast(known), ["language", "head"], "left")  # known is a constant
     how = F.when(F.col("b.rank") <= 3, "local").when(F.col("b.rank") == 4, "imported").when(F.col("std"), "external").otherwise("unresolved")

@@ -24,3 +24,18 @@ def test_rows_of_many_files_leave_python_in_one_batch(spark):
     plain = lambda r: (*r[:13], [tuple(x) for x in r[13]], r[14])
     assert sorted(map(repr, map(plain, got.collect()))) == sorted(map(repr, map(plain, want)))
     assert code._batch(want).num_rows == len(want)
+
+
+def test_a_name_that_many_units_share_is_joined_twice_at_most(spark):
+    n = 2000
+    rows = [(k, f"src/a{k % 50}.py", "Python", "function", "f", f"a{k % 50}.f{k}", [("f", "call", 1), ("x.f", "call", 2)]) for k in range(n)]
+    units = spark.createDataFrame(rows, "id long, path string, language string, unit_type string, name string, qualified_name string, refs array<struct<name:string,kind:string,line:int>>")
+    least = I._two_least(units.select(F.col("id").alias("t"), "path", "name"), ["path", "name"])
+    assert {(r["path"], r["t1"], r["t2"]) for r in least.collect()} == {(f"src/a{m}.py", m, m + 50) for m in range(50)}
+    got = {(r["id"], r["line"]): (r["target_id"], r["how"]) for r in I.resolve(units).collect()}
+    assert got == {(k, line): (k % 50 if k >= 50 else k + 50, "local") for k in range(n) for line in (1, 2)}
+
+
+def test_a_reference_in_the_only_unit_of_its_name_has_no_target(spark):
+    units = spark.createDataFrame([(1, "a.py", "Python", "function", "f", "a.f", [("f", "call", 1)])], "id long, path string, language string, unit_type string, name string, qualified_name string, refs array<struct<name:string,kind:string,line:int>>")
+    assert [(r["target_id"], r["how"]) for r in I.resolve(units).collect()] == [(None, "unresolved")]
