@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import ingest as I
+from lodestone.operators import traverse as T
 from lodestone.plans import ingests
 from lodestone.sources import code
 
@@ -39,3 +40,12 @@ def test_a_name_that_many_units_share_is_joined_twice_at_most(spark):
 def test_a_reference_in_the_only_unit_of_its_name_has_no_target(spark):
     units = spark.createDataFrame([(1, "a.py", "Python", "function", "f", "a.f", [("f", "call", 1)])], "id long, path string, language string, unit_type string, name string, qualified_name string, refs array<struct<name:string,kind:string,line:int>>")
     assert [(r["target_id"], r["how"]) for r in I.resolve(units).collect()] == [(None, "unresolved")]
+
+
+def test_a_path_longer_than_the_bound_is_not_found(spark):
+    edges = spark.createDataFrame([(k, k + 1, "calls") for k in range(1, 7)], "source_id long, target_id long, edge_type string")
+    found = lambda end, most: tuple(T.shortest_path(edges, 1, end, ["calls"], most).first())
+    assert found(5, 4) == (True, [1, 2, 3, 4, 5], 4, ["calls"] * 4)
+    assert found(6, 4) == (False, [], 0, [])
+    assert found(1, 0) == (True, [1], 0, [])
+    assert found(7, -1)[2] == 6
