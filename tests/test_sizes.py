@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
+from lodestone import registry
+from lodestone.functions import nearest
+from lodestone.operators import grounding as R
 from lodestone.operators import ingest as I
 from lodestone.operators import traverse as T
 from lodestone.plans import ingests
 from lodestone.sources import code
 
+registry.register()
+
 
 def test_files_are_spread_before_they_are_parsed(spark, sf):
     files = ingests._files(spark, sf)
@@ -49,3 +57,47 @@ def test_a_path_longer_than_the_bound_is_not_found(spark):
     assert found(6, 4) == (False, [], 0, [])
     assert found(1, 0) == (True, [1], 0, [])
     assert found(7, -1)[2] == 6
+
+
+def _levenshtein(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_distances_to_all_names_at_once():
+    r = random.Random(3)
+    for t in range(200):
+        letters = "ab" if t % 2 else "abcd\xe9\U0001f600z_0"
+        word = lambda *sizes: "".join(r.choice(letters) for _ in range(r.choice(sizes)))  # noqa: B023, E731
+        names = sorted(word(0, 1, 3, 8, 70, 130) if t % 3 == 0 else word(*range(10)) for _ in range(r.randint(0, 20)))
+        text, most = word(0, 1, 5, 63, 64, 65, 128, 140), r.choice([0, 1, 3, 8, 1000])
+        want = [_levenshtein(text, n) for n in names]
+        assert np.minimum(nearest.Names(names).distances(text, most), most + 1).tolist() == [min(d, most + 1) for d in want]
+        best = sorted((d, n) for d, n in zip(want, names) if 0 < d <= most)[:3]
+        assert nearest.closest(nearest.by_length(names, names), text, most, 3) == [(n, d) for d, n in best]
+
+
+def test_suggestions_are_those_of_all_pairs_in_any_blocks(spark, monkeypatch):
+    monkeypatch.setattr(R, "NAMES", 7)
+    monkeypatch.setattr(R, "REFS", 2)
+    names = [f"Box{k}" for k in range(30)] + ["box3", "open_box", "Open_Box", "x", "boxes" * 30]
+    asked = ["BOX", "box31", "bax3", "opn_box", "nothing", "boxes" * 29 + "boxer", "\xe9", ""]
+    units = spark.createDataFrame([(n,) for n in names], "name string")
+    want = set()
+    for ref in asked:
+        all_ = [(0 if n.lower().startswith(ref.lower()) or ref.lower().startswith(n.lower()) else _levenshtein(n.lower(), ref.lower()), n) for n in set(names)]
+        want |= {(ref, n, d, k) for k, (d, n) in enumerate(sorted(x for x in all_ if x[0] <= len(ref) // 2)[:3])}
+    got = R.suggest(spark.createDataFrame([(a,) for a in asked], "ref string"), units)
+    assert {(r["ref"], r["name"], r["distance"], round(10 * (1 - r["relevance"]))) for r in got.collect()} == want
+    assert "BroadcastNestedLoopJoin" not in got._jdf.queryExecution().toString()
+
+
+def test_suggestions_are_made_for_all_claims(spark, sf):
+    asked = registry.QUERIES["r4_suggestions"](spark, sf).select("claim_id")
+    assert asked.where("claim_id % 100 <> 0").count() > 0
+    assert "% 100" not in registry.ORACLE["r4_suggestions"]
