@@ -7,7 +7,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone import registry
+from lodestone import graph, registry, state
 from lodestone.functions import nearest
 from lodestone.operators import grounding as R
 from lodestone.operators import ingest as I
@@ -101,3 +101,18 @@ def test_suggestions_are_made_for_all_claims(spark, sf):
     asked = registry.QUERIES["r4_suggestions"](spark, sf).select("claim_id")
     assert asked.where("claim_id % 100 <> 0").count() > 0
     assert "% 100" not in registry.ORACLE["r4_suggestions"]
+
+
+def test_a_session_of_few_partitions_makes_the_graph_in_many(spark, sf, monkeypatch):
+    monkeypatch.setattr(state, "SHUFFLE_BYTES", 1 << 14)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", *state.MOST_MB)}
+    own = state.sized(spark, 100 << 14)
+    assert own.conf.get("spark.sql.shuffle.partitions") == "100"
+    assert own.conf.get("spark.sql.session.timeZone") == "UTC"
+    assert {k: spark.conf.get(k) for k in before} == before
+    assert state.sized(spark, 1).conf.get("spark.sql.shuffle.partitions") == before["spark.sql.shuffle.partitions"]
+    monkeypatch.setattr(graph, "_loaded", {})
+    g = graph.load(spark, sf)
+    assert all(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")) > int(before["spark.sql.shuffle.partitions"]) for t in (g.units, g.edges, g.changes))
+    joined = g.units.join(spark.createDataFrame([(138,)], "id long"), "id")
+    assert int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions")) > 4 and joined.count() == 1
