@@ -116,3 +116,21 @@ def test_a_session_of_few_partitions_makes_the_graph_in_many(spark, sf, monkeypa
     assert all(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")) > int(before["spark.sql.shuffle.partitions"]) for t in (g.units, g.edges, g.changes))
     joined = g.units.join(spark.createDataFrame([(138,)], "id long"), "id")
     assert int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions")) > 4 and joined.count() == 1
+
+
+def test_the_plan_of_truths_does_not_grow_with_each_refresh(spark, sf):
+    units = graph.load(spark, sf).units
+    claims = units.where("id < 20").selectExpr("id as claim_id", "'see `' || name || '` and no_such_name' as text")
+    sizes, truths = [], R.register(claims, 100)
+    for at in (200, 300, 400):
+        truths = R.refresh(truths, units, at)
+        sizes.append(len(truths._jdf.queryExecution().optimizedPlan().toString()))
+    assert max(sizes) < 1.2 * min(sizes)
+    assert {r["invalidated_at"] for r in R.truth_diff(truths).collect()} == {200}
+
+
+def test_evidence_is_never_joined_by_a_broadcast(spark, sf):
+    units = graph.load(spark, sf).units
+    claims = units.where("id < 20").selectExpr("id as claim_id", "'see `' || name || '`' as text")
+    found = R.find_evidence(R.exploded(claims), units)
+    assert found.count() > 20 and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
