@@ -109,6 +109,7 @@ def test_a_session_of_few_partitions_makes_the_graph_in_many(spark, sf, monkeypa
     own = state.sized(spark, 100 << 14)
     assert own.conf.get("spark.sql.shuffle.partitions") == "100"
     assert own.conf.get("spark.sql.session.timeZone") == "UTC"
+    assert own.conf.get("spark.sql.autoBroadcastJoinThreshold") == f"{1 << 20}b"  # ten times as much by default
     assert {k: spark.conf.get(k) for k in before} == before
     assert state.sized(spark, 1).conf.get("spark.sql.shuffle.partitions") == before["spark.sql.shuffle.partitions"]
     monkeypatch.setattr(graph, "_loaded", {})
